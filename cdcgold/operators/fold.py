@@ -63,11 +63,12 @@ def hot_parents(children: list[DataFrame], max_items: int) -> DataFrame | None:
     """
     if not children:
         return None
-    n = F.count(F.lit(1)).alias("n")
-    counts = [c.groupBy("_key").agg(n).where(F.col("n") > max_items) for c in children]
-    need = F.ceil(F.max("n") / max_items).cast("int").alias("_segments")
-    both = reduce(DataFrame.unionByName, counts)
-    hot = materialise(both.groupBy("_key").agg(need), "hot-parents")
+    keys = [c.select("_key", F.lit(i).alias("_child")) for i, c in enumerate(children)]
+    counts = [F.count_if(F.col("_child") == i) for i in range(len(children))]
+    most = counts[0] if len(counts) == 1 else F.greatest(*counts)
+    sized = reduce(DataFrame.unionByName, keys).groupBy("_key").agg(most.alias("_most"))
+    need = F.ceil(F.col("_most") / max_items).cast("int").alias("_segments")
+    hot = materialise(sized.where(F.col("_most") > max_items).select("_key", need), "hot-parents")
     return None if hot.isEmpty() else hot
 
 
