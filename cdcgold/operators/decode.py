@@ -22,10 +22,16 @@ def flat_schema(ddl: str | T.StructType) -> T.StructType:
     return T.StructType(schema_of(ddl).fields + schema_of(META_SCHEMA).fields)
 
 
-def _parse(value: Column, schema: T.StructType) -> Column:
+def _parsed(raw: DataFrame, schema: T.StructType) -> DataFrame:
+    """Records with their parsed value in ``_p``, tombstones dropped.
+
+    The parse sits in a one-element explode: a filter on ``_p`` is then applied to its
+    result, where a plain column would be parsed again inside the pushed-down filter.
+    """
     with_corrupt = T.StructType(schema.fields + [T.StructField(_CORRUPT, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
-    return F.from_json(value, with_corrupt, options)
+    parsed = F.from_json("value", with_corrupt, options)
+    return drop_tombstones(raw).withColumn("_p", F.explode(F.array(parsed)))
 
 
 def _is_poison(parsed: Column) -> Column:
@@ -48,7 +54,7 @@ def decode(raw: DataFrame, table: str | T.StructType) -> tuple[DataFrame, DataFr
     """
     row = flat_schema(table)
     both = T.StructType([T.StructField("payload", row), *row.fields])
-    parsed = drop_tombstones(raw).withColumn("_p", _parse(F.col("value"), both))
+    parsed = _parsed(raw, both)
     wrapped = F.col("_p.payload").isNotNull()
     fields = [
         F.when(wrapped, F.col("_p.payload")[f.name]).otherwise(F.col("_p")[f.name]).alias(f.name)
@@ -80,7 +86,7 @@ def envelope_schema(table: str | T.StructType) -> T.StructType:
 
 def parse_envelope(raw: DataFrame, table: str | T.StructType) -> tuple[DataFrame, DataFrame]:
     """Change envelopes as structs (column ``event``), and the rejects."""
-    parsed = drop_tombstones(raw).withColumn("_p", _parse(F.col("value"), envelope_schema(table)))
+    parsed = _parsed(raw, envelope_schema(table))
     kept = _coordinates(raw)
     names = ("before", "after", "op", "source")
     event = F.struct(*[F.col("_p")[n].alias(n) for n in names]).alias("event")

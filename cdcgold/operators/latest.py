@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cdcgold.functions.cdc import is_deleted
@@ -16,16 +16,14 @@ LOG_ORDER = ("partition", "offset")
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str] = LOG_ORDER) -> DataFrame:
     """The newest row of every key.
 
-    ``max_by`` is combined before the shuffle, so a key that holds a large share of the log
-    sends one row per task.  Rows without a key are skipped.
+    The rank filter is applied within each task before the shuffle as well as after it, so
+    a key that holds a large share of the log sends one row per task.  Rows without a key
+    are skipped.
     """
-    keys = list(keys)
-    rest = [c for c in df.columns if c not in keys]
-    present = df.dropna(subset=keys)
-    newest = present.groupBy(*keys).agg(
-        F.max_by(F.struct(*rest), F.struct(*order)).alias("_newest")
-    )
-    return newest.select(*keys, "_newest.*").select(*df.columns)
+    newest_first = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
+    present = df.dropna(subset=list(keys))
+    ranked = present.withColumn("_rank", F.row_number().over(newest_first))
+    return ranked.where(F.col("_rank") == 1).drop("_rank")
 
 
 def live(df: DataFrame) -> DataFrame:
