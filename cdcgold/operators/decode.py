@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cdcgold.functions.cdc import event_id, operation_name
+from cdcgold.operators.latest import POSITION
 
 COORDINATES = ("topic", "partition", "offset", "key")
 META_SCHEMA = "__op string, __table string, __source_ts_ms bigint, __deleted string"
@@ -53,6 +54,9 @@ def decode(raw: DataFrame, table: str | T.StructType) -> tuple[DataFrame, DataFr
     fields of one parse schema, so each record is parsed once.
     """
     row = flat_schema(table)
+    taken = set(row.names) & set(POSITION)
+    if taken:
+        raise ValueError(f"columns {sorted(taken)} are names of log positions: rename them at capture")
     both = T.StructType([T.StructField("payload", row), *row.fields])
     parsed = _parsed(raw, both)
     wrapped = F.col("_p.payload").isNotNull()

@@ -20,11 +20,10 @@ from cdcgold.operators.latest import LOG_ORDER, current_child, current_root
 from cdcgold.session import materialise
 from cdcgold.spec import ChildSpec, ProfileSpec
 
-_HIDDEN = {*META_COLUMNS, "topic", "partition", "offset", "timestamp", "batch_id"}
 
 
 def _visible(columns: list[str]) -> list[str]:
-    return [c for c in columns if c not in _HIDDEN]
+    return [c for c in columns if c not in META_COLUMNS and c != "_key"]
 
 
 def child_rows(spec: ProfileSpec, child: ChildSpec, df: DataFrame) -> DataFrame:
@@ -33,14 +32,10 @@ def child_rows(spec: ProfileSpec, child: ChildSpec, df: DataFrame) -> DataFrame:
         df = either_end(df, child.fk, child.other_fk, "_key")
     else:
         df = df.where(F.col(child.fk).isNotNull()).withColumn("_key", F.col(child.fk))
-    item = F.struct(*[F.col(c).alias(n) for c, n in child.pairs(_visible_of(df))])
+    item = F.struct(*[F.col(c).alias(n) for c, n in child.pairs(_visible(df.columns))])
     return df.select("_key", F.struct(*child.pk).alias("_pk"), item.alias("_item"))
 
 
-def _visible_of(df: DataFrame) -> list[str]:
-    return [c for c in _visible(df.columns) if c != "_key"]
-
-
 def root_rows(spec: ProfileSpec, df: DataFrame) -> DataFrame:
     """(key, struct of the root's document fields)."""
     pairs = (

@@ -12,6 +12,9 @@ from cdcgold.spec import ChildSpec, ProfileSpec
 
 LOG_ORDER = ("partition", "offset")
 
+# Where a row came from in the log; not part of the row.
+POSITION = ("topic", "partition", "offset", "key", "timestamp", "batch_id")
+
 
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str] = LOG_ORDER) -> DataFrame:
     """The newest row of every key.
@@ -49,8 +52,8 @@ def snapshot_then_log(
 
 
 def current_root(spec: ProfileSpec, log: DataFrame, order: Sequence[str] = LOG_ORDER) -> DataFrame:
-    """One row per root key under the spec's delete policy, metadata still on it."""
-    newest = latest(log, [spec.key], order)
+    """One row per root key under the spec's delete policy, without its log position."""
+    newest = latest(log, [spec.key], order).drop(*POSITION)
     gone = is_deleted(newest.columns)
     if spec.root_delete == "drop":
         return newest.where(~gone)
@@ -67,4 +70,4 @@ def current_child(
     keys = list(child.pk)
     if spec.reparent == "keep_both":
         keys = [child.fk, *(k for k in keys if k != child.fk)]
-    return live(latest(log, keys, order))
+    return live(latest(log, keys, order)).drop(*POSITION)

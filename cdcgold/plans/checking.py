@@ -165,7 +165,7 @@ def constraints(spark, directory):
 
 @query(
     """
-    SELECT field, 0 AS bronze_lacking, 0 AS gold_leaking
+    SELECT field, CAST(0 AS BIGINT) AS bronze_lacking, CAST(0 AS BIGINT) AS gold_leaking
     FROM (VALUES ('__op'), ('__table'), ('__source_ts_ms'), ('__deleted')) t(field)
     """
 )
