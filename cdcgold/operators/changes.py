@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cdcgold.functions.arrays import apply_changes
+from cdcgold.functions.values import slot
 from cdcgold.operators.latest import latest
 from cdcgold.spec import ChildSpec
 
@@ -46,19 +47,27 @@ def patch_arrays(
     ``feed``: parent key ``key``, single-column child key, ``operation`` and the embedded
     fields, ordered by ``order``.  The last change of each element counts; a changed element
     moves to the end of its array, in change order.  Changes of unknown parents are skipped.
-    The feed is one micro-batch, so what is gathered per parent is bounded by the batch.
+    Changes of a document in several segments go to the segment of their element, so no
+    group outgrows a segment by more than the batch brings to it.
     """
     (pk,) = child.pk
+    by = [key]
+    last = latest(feed, [key, pk], order)
+    if "segments" in docs.columns:
+        by = [key, "segment"]
+        split = docs.where((F.col("segments") > 1) & (F.col("segment") == 0)).select(key, "segments")
+        last = last.join(split, key, "left")
+        number = F.when(F.col("segments").isNull(), 0).otherwise(slot([F.col(pk)], F.col("segments")))
+        last = last.withColumn("segment", number)
     element = docs.schema[child.array].dataType.elementType
     item = F.struct(*[F.col(n).cast(element[n].dataType).alias(n) for n in element.names])
-    last = latest(feed, [key, pk], order)
     gone = F.col("operation") == "delete"
     live = F.collect_list(F.when(~gone, F.struct(*order, item.alias("_item"))))
-    per_parent = last.groupBy(key).agg(
+    per_parent = last.groupBy(*by).agg(
         F.collect_list(F.col(pk).cast(element[pk].dataType)).alias("_changed"),
         F.transform(F.sort_array(live), lambda e: e["_item"]).alias("_live"),
     )
-    joined = docs.join(per_parent, key, "left")
+    joined = docs.join(per_parent, by, "left")
     patched = apply_changes(child.array, pk, F.col("_changed"), F.col("_live"))
     touched = F.col("_changed").isNotNull()
     value = F.when(touched, patched).otherwise(F.col(child.array))

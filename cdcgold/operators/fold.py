@@ -49,21 +49,36 @@ def root_rows(spec: ProfileSpec, df: DataFrame) -> DataFrame:
     )
 
 
-def hot_parents(children: list[DataFrame], max_items: int) -> DataFrame | None:
+def _child_counts(children: list[DataFrame]) -> DataFrame:
+    """Largest number of rows of any one child per parent, in one shuffle of key columns."""
+    keys = [c.select("_key", F.lit(i).alias("_child")) for i, c in enumerate(children)]
+    counts = [F.count_if(F.col("_child") == i) for i in range(len(children))]
+    most = counts[0] if len(counts) == 1 else F.greatest(*counts)
+    return reduce(DataFrame.unionByName, keys).groupBy("_key").agg(most.alias("_most"))
+
+
+def hot_parents(
+    children: list[DataFrame], max_items: int, at_most: list[DataFrame] | None = None
+) -> DataFrame | None:
     """Parents that need more than one segment, with the number they need.
 
-    Counts are combined before the shuffle and read only key columns.  The result is a
-    written table: the planner sees its true size and broadcasts it only below the
+    Counts are combined before the shuffle and read only key columns.  ``at_most``: rows
+    that are cheaper to count and at least as many, such as the log the children are the
+    latest state of; only parents over the limit there are counted exactly.  The result is
+    a written table: the planner sees its true size and broadcasts it only below the
     session's threshold, else it joins by shuffle.
     """
     if not children:
         return None
-    keys = [c.select("_key", F.lit(i).alias("_child")) for i, c in enumerate(children)]
-    counts = [F.count_if(F.col("_child") == i) for i in range(len(children))]
-    most = counts[0] if len(counts) == 1 else F.greatest(*counts)
-    sized = reduce(DataFrame.unionByName, keys).groupBy("_key").agg(most.alias("_most"))
+    if at_most is not None:
+        over = _child_counts(at_most).where(F.col("_most") > max_items).select("_key")
+        suspects = materialise(over, "hot-suspects")
+        if suspects.isEmpty():
+            return None
+        children = [c.join(suspects, "_key", "left_semi") for c in children]
     need = F.ceil(F.col("_most") / max_items).cast("int").alias("_segments")
-    hot = materialise(sized.where(F.col("_most") > max_items).select("_key", need), "hot-parents")
+    sized = _child_counts(children).where(F.col("_most") > max_items)
+    hot = materialise(sized.select("_key", need), "hot-parents")
     return None if hot.isEmpty() else hot
 
 
@@ -101,17 +116,25 @@ def attach(parents: DataFrame, folded: DataFrame, array: str, by: list[str]) ->
 
 
 def build_profiles(
-    spec: ProfileSpec, tables: Mapping[str, DataFrame], *, plan: str = "join"
+    spec: ProfileSpec,
+    tables: Mapping[str, DataFrame],
+    *,
+    plan: str = "join",
+    logs: Mapping[str, DataFrame] | None = None,
 ) -> DataFrame:
     """Documents from the current rows of every table.
 
     plan ``join``: each child is folded by itself and left-joined, all on one key.
     plan ``union``: root and children are stacked and meet in a single shuffle.
+    logs: what the tables are the latest state of, to look for hot parents more cheaply.
     Output: the root's fields, one array per child, ``segment`` and ``segments``.
     """
     roots = root_rows(spec, tables[spec.root])
     children = {c.array: child_rows(spec, c, tables[c.table]) for c in spec.children}
-    hot = hot_parents(list(children.values()), spec.max_items)
+    at_most = None
+    if logs is not None:
+        at_most = [child_rows(spec, c, logs.get(c.table, tables[c.table])) for c in spec.children]
+    hot = hot_parents(list(children.values()), spec.max_items, at_most)
     roots = _segment_roots(roots, hot)
     children = {a: _segment_children(rows, hot) for a, rows in children.items()}
     by = ["_key"] if hot is None else ["_key", "segment"]
@@ -151,7 +174,7 @@ def tables_from_logs(spec: ProfileSpec, logs: Mapping[str, DataFrame], order=LOG
 def profiles_from_logs(
     spec: ProfileSpec, logs: Mapping[str, DataFrame], *, order=LOG_ORDER, plan: str = "join"
 ) -> DataFrame:
-    return build_profiles(spec, tables_from_logs(spec, logs, order), plan=plan)
+    return build_profiles(spec, tables_from_logs(spec, logs, order), plan=plan, logs=logs)
 
 
 def items(docs: DataFrame, key: str, array: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cdcgold.functions.arrays import size_or_zero
+from cdcgold.operators.edges import left_join_many
 
 
 def scan_ids(docs: DataFrame, ids: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
@@ -17,10 +18,9 @@ def scan_ids(docs: DataFrame, ids: DataFrame, key: str, columns: Sequence[str])
 
 def lookup(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """One answer per asked key (and segment), ``found`` false where there is no document."""
-    asked = ids.select(key).distinct()
-    hit = docs.withColumn("_hit", F.lit(True))
-    joined = asked.join(hit, key, "left")
-    return joined.withColumn("found", F.col("_hit").isNotNull()).drop("_hit")
+    hit = docs.withColumn("found", F.lit(True))
+    answers = left_join_many(ids.select(key).distinct(), hit, key)
+    return answers.fillna(False, subset=["found"])
 
 
 def find_by(docs: DataFrame, field: str, value) -> DataFrame:

@@ -46,7 +46,8 @@ def fold_live_children(spark, directory):
 
 @query(DOCUMENTS_SQL)
 def profile_documents(spark, directory):
-    return documents_flat(build_profiles(SHOP, shop_tables(spark, directory)))
+    logs = {"pref": pref_log(spark, directory)}
+    return documents_flat(build_profiles(SHOP, shop_tables(spark, directory), logs=logs))
 
 
 @query(DOCUMENTS_SQL)

@@ -9,13 +9,17 @@ from cdcgold.operators.fold import build_profiles
 from cdcgold.operators.latest import latest
 from cdcgold.plans.registry import query
 from cdcgold.plans.shop import (
+    LIVE_SQL,
     LOG_SQL,
     PREFS,
+    SEGMENTS_SQL,
     SHOP,
     load,
     pref_log,
     root_log,
     root_snapshot,
+    shop_tables,
+    slot_sql,
     text_of,
 )
 
@@ -200,25 +204,25 @@ def change_feed(spark, directory):
 
 
 @query(
-    f"""WITH {LOG_SQL},
+    f"""WITH {LIVE_SQL},
+    {SEGMENTS_SQL},
     changed AS (
       SELECT user_id, k, max(event_id) AS pos, arg_max(event_type, event_id) AS event_type
       FROM log GROUP BY user_id, k
     ),
     p AS (
-      SELECT user_id, count(*) AS n, string_agg(k || ':' || event_type, ',' ORDER BY pos) AS t
-      FROM changed WHERE event_type <> 'error' GROUP BY 1
+      SELECT c_custkey, segment, count(*) AS n, string_agg(k || ':' || event_type, ',' ORDER BY pos) AS t
+      FROM roots JOIN changed ON user_id = c_custkey AND segment = {slot_sql('CAST(k AS VARCHAR)', 'segments')}
+      WHERE event_type <> 'error' GROUP BY 1, 2
     )
-    SELECT c_custkey, coalesce(n, 0) AS n_prefs, coalesce(t, '') AS prefs_text
-    FROM customer LEFT JOIN p ON user_id = c_custkey
+    SELECT c_custkey, CAST(segment AS INTEGER) AS segment, coalesce(n, 0) AS n_prefs, coalesce(t, '') AS prefs_text
+    FROM roots LEFT JOIN p USING (c_custkey, segment)
     """
 )
 def feed_patches_arrays(spark, directory):
-    """Every event patched into documents that start with empty arrays; order is change order."""
-    spec = SHOP.with_(children=(PREFS,), max_items=50_000)
-    log = pref_log(spark, directory)
-    docs = build_profiles(spec, {"customer": root_snapshot(spark, directory), "pref": log.limit(0)})
-    feed = log.select(
+    """Every event patched over documents that hold its outcome; elements end in change order."""
+    docs = build_profiles(SHOP, shop_tables(spark, directory))
+    feed = pref_log(spark, directory).select(
         F.col("user_id").alias("c_custkey"),
         "k",
         "event_type",
@@ -229,6 +233,7 @@ def feed_patches_arrays(spark, directory):
     patched = changes.patch_arrays(docs, "c_custkey", PREFS, feed, ["pos"])
     return patched.select(
         "c_custkey",
+        "segment",
         F.size("prefs").cast("bigint").alias("n_prefs"),
         text_of("prefs", "k", "event_type").alias("prefs_text"),
     )

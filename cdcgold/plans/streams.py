@@ -15,6 +15,7 @@ from cdcgold.plans.shop import (
     TOPIC,
     pref_log,
     root_snapshot,
+    slot_sql,
     text_of,
 )
 from cdcgold.session import settings, workspace
@@ -72,9 +73,9 @@ def _run(spark, engine, folder, checkpoint):
     engine.start(records, checkpoint, {"availableNow": True}).awaitTermination()
 
 
-def _flat(docs):
+def _flat(docs, *extra):
     return docs.select(
-        "c_custkey", "c_name", F.size("prefs").cast("bigint").alias("n_prefs"),
+        "c_custkey", "c_name", *extra, F.size("prefs").cast("bigint").alias("n_prefs"),
         text_of("prefs", "k", "event_type").alias("prefs_text"),
     )
 
@@ -134,7 +135,22 @@ def stream_audit_and_dead_letters(spark, directory):
     return rejected.unionByName(audited)
 
 
-@query(_STREAM_SQL)
+_SLICED_SQL = f"""
+WITH {LOG_SQL},
+state AS (
+  SELECT user_id, k, arg_max(event_type, event_id) AS event_type FROM log WHERE {_KIND_SQL} = 'good' GROUP BY 1, 2
+),
+p AS (
+  SELECT user_id, {slot_sql('CAST(k AS VARCHAR)', '2')} AS segment, count(*) AS n,
+         string_agg(k || ':' || event_type, ',' ORDER BY k) AS t
+  FROM state WHERE event_type <> 'error' GROUP BY 1, 2
+)
+SELECT c_custkey, c_name, CAST(s AS INTEGER) AS segment, coalesce(n, 0) AS n_prefs, coalesce(t, '') AS prefs_text
+FROM customer JOIN range(2) slices(s) ON TRUE LEFT JOIN p ON user_id = c_custkey AND segment = s
+"""
+
+
+@query(_SLICED_SQL)
 def stream_fold_state(spark, directory):
     folder, checkpoint = _landed(spark, directory), workspace(spark, "checkpoint")
     records = stream_files(spark, folder, files_per_trigger=1)
@@ -148,15 +164,7 @@ def stream_fold_state(spark, directory):
         )
         writer = docs.writeStream.outputMode("update").foreachBatch(gold.append)
         writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    current = gold.current()
-    # a slice is answered by itself; its parts are put together by their number of elements
-    slices = current.select("c_custkey", "c_name", F.explode_outer("prefs").alias("p"))
-    text = F.transform(
-        F.sort_array(F.collect_list("p")), lambda p: F.concat_ws(":", p["k"].cast("string"), p["event_type"])
-    )
-    return slices.groupBy("c_custkey", "c_name").agg(
-        F.count("p").alias("n_prefs"), F.array_join(text, ",").alias("prefs_text")
-    )
+    return _flat(gold.current(), "segment")
 
 
 @query(

@@ -80,7 +80,8 @@ class IncrementalProfiles:
         """The documents' table; its schema is that of the first build."""
         if self._gold is None:
             if schema is None:
-                schema = self._documents(self.spark.createDataFrame([], self._key_schema())).schema
+                nobody = self.spark.createDataFrame([], self._key_schema())
+                schema = build_profiles(self.spec, self._current(nobody)).schema
             gone = T.StructField(GONE, T.BooleanType())
             self._gold = KeyedTable(
                 self.spark, f"{self.path}/gold", T.StructType([*schema.fields, gone]), [self.spec.key],
@@ -157,9 +158,6 @@ class IncrementalProfiles:
             out[child.table] = current_child(self.spec, child, rows)
         return out
 
-    def _documents(self, touched: DataFrame) -> DataFrame:
-        return build_profiles(self.spec, self._current(touched))
-
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """Apply one micro-batch; running it again with the same id gives the same tables."""
         stamped = batch.select(*_RECORD, F.current_timestamp().alias("ingested_at"))
@@ -178,9 +176,12 @@ class IncrementalProfiles:
         bronze_ms = _now_ms()
 
         touched = self._touched(batch_id)
-        docs = self._documents(touched)
-        built = docs.withColumn(GONE, F.lit(False))
-        rows = touched.join(built, self.spec.key, "left").fillna(True, subset=[GONE])
+        tables = self._current(touched)
+        docs = build_profiles(self.spec, tables)
+        gone = touched.join(tables[self.spec.root].select(self.spec.key), self.spec.key, "left_anti")
+        rows = docs.withColumn(GONE, F.lit(False)).unionByName(
+            gone.withColumn(GONE, F.lit(True)), allowMissingColumns=True
+        )
         self.gold(docs.schema).append(rows, batch_id)
 
         upto = raw.groupBy("topic", "partition").agg(F.max("offset").alias("end_offset"))
