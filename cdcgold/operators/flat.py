@@ -46,8 +46,9 @@ def assemble(spec: ProfileSpec, flat: DataFrame, *, plan: str = "join") -> DataF
         once = present.groupBy(spec.key, f"{c.array}.key").agg(
             F.first(f"{c.array}.item").alias("_item")
         )
-        keys = [F.col("key")[p].alias(f"_k{i}") for i, p in enumerate(c.pk)]
-        names = [f.name for f in flat.schema[c.array].dataType["item"].dataType.fields]
+        parts = flat.schema[c.array].dataType["key"].dataType.names
+        keys = [F.col("key")[p].alias(f"_k{i}") for i, p in enumerate(parts)]
+        names = flat.schema[c.array].dataType["item"].dataType.names
         tables[c.array] = once.select(F.col(spec.key).alias("_fk"), *keys, "_item.*")
         children.append(
             type(c)(c.array, tuple(f"_k{i}" for i in range(len(c.pk))), "_fk", c.array, tuple(names))

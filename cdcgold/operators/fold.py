@@ -32,8 +32,11 @@ def child_rows(spec: ProfileSpec, child: ChildSpec, df: DataFrame) -> DataFrame:
         df = either_end(df, child.fk, child.other_fk, "_key")
     else:
         df = df.where(F.col(child.fk).isNotNull()).withColumn("_key", F.col(child.fk))
-    item = F.struct(*[F.col(c).alias(n) for c, n in child.pairs(_visible(df.columns))])
-    return df.select("_key", F.struct(*child.pk).alias("_pk"), item.alias("_item"))
+    pairs = child.pairs(_visible(df.columns))
+    item = F.struct(*[F.col(c).alias(n) for c, n in pairs])
+    embedded = dict(pairs)
+    pk = F.struct(*[F.col(c).alias(embedded.get(c, f"_{c}")) for c in child.pk])
+    return df.select("_key", pk.alias("_pk"), item.alias("_item"))
 
 
 def root_rows(spec: ProfileSpec, df: DataFrame) -> DataFrame:
@@ -98,14 +101,33 @@ def _segment_roots(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
     return wide.withColumn("segment", F.explode(numbers))
 
 
-def _array(collected: Column) -> Column:
-    """Collected (key, item) pairs as items in key order."""
-    return F.transform(F.sort_array(collected), lambda e: e["_item"])
+def _element(rows: DataFrame) -> Column:
+    """What to collect of a child row so that sorting the collected array orders it by key.
+
+    An item that begins with its key fields sorts by itself; otherwise the key goes along.
+    """
+    pk, item = rows.schema["_pk"].dataType.names, rows.schema["_item"].dataType.names
+    return F.col("_item") if item[: len(pk)] == pk else F.struct("_pk", "_item")
+
+
+def _array(collected: Column, keyed: bool) -> Column:
+    ordered = F.sort_array(collected)
+    return F.transform(ordered, lambda e: e["_item"]) if keyed else ordered
+
+
+def _is_keyed(element) -> bool:
+    return element.names == ["_pk", "_item"]
 
 
 def fold_children(rows: DataFrame, array: str, by: list[str]) -> DataFrame:
-    collected = F.collect_list(F.struct("_pk", "_item"))
-    return rows.groupBy(*by).agg(_array(collected).alias(array))
+    """One array per parent.
+
+    Collecting shrinks nothing, so rows are shuffled as they are and gathered behind the
+    shuffle only; gathering in front of it too would sort every task's input for no gain.
+    """
+    gathered = rows.select(*by, _element(rows).alias("_e")).repartition(*by)
+    keyed = _is_keyed(gathered.schema["_e"].dataType)
+    return gathered.groupBy(*by).agg(_array(F.collect_list("_e"), keyed).alias(array))
 
 
 def attach(parents: DataFrame, folded: DataFrame, array: str, by: list[str]) -> DataFrame:
@@ -156,12 +178,15 @@ def _by_joins(roots: DataFrame, children: dict[str, DataFrame], by: list[str]) -
 def _by_union(roots: DataFrame, children: dict[str, DataFrame], by: list[str]) -> DataFrame:
     stacked = roots.select(*by, F.struct("_root", "_segments").alias("_parent"))
     for array, rows in children.items():
-        tagged = rows.select(*by, F.struct("_pk", "_item").alias(f"_c_{array}"))
+        tagged = rows.select(*by, _element(rows).alias(f"_c_{array}"))
         stacked = stacked.unionByName(tagged, allowMissingColumns=True)
-    folds = [_array(F.collect_list(f"_c_{a}")).alias(a) for a in children]
+    folds = [
+        _array(F.collect_list(f"_c_{a}"), _is_keyed(stacked.schema[f"_c_{a}"].dataType)).alias(a)
+        for a in children
+    ]
     parent = F.first("_parent", ignorenulls=True).alias("_parent")
-    grouped = stacked.groupBy(*by).agg(parent, *folds).where(F.col("_parent").isNotNull())
-    return grouped.select(*by, "_parent.*", *children)
+    grouped = stacked.repartition(*by).groupBy(*by).agg(parent, *folds)
+    return grouped.where(F.col("_parent").isNotNull()).select(*by, "_parent.*", *children)
 
 
 def tables_from_logs(spec: ProfileSpec, logs: Mapping[str, DataFrame], order=LOG_ORDER):
