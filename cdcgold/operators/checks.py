@@ -78,6 +78,11 @@ def verify_changes(
     return out.select(key, "op", "field", "expected", "actual", verdict.alias("verdict"))
 
 
+def missing(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Source rows whose key the target does not have."""
+    return source.join(target.select(*keys), list(keys), "left_anti")
+
+
 def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that occur more than once."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)

@@ -189,6 +189,25 @@ def _by_union(roots: DataFrame, children: dict[str, DataFrame], by: list[str]) -
     return grouped.where(F.col("_parent").isNotNull()).select(*by, "_parent.*", *children)
 
 
+def only_parents(
+    spec: ProfileSpec, tables: Mapping[str, DataFrame], ids: DataFrame
+) -> dict[str, DataFrame]:
+    """The tables cut down to the rows of some parents, before anything is folded.
+
+    ``ids`` has one column.  Repeated ids change nothing.
+    """
+    out = {spec.root: tables[spec.root].join(ids.toDF(spec.key), spec.key, "left_semi")}
+    for c in spec.children:
+        rows = tables[c.table]
+        mine = rows.join(ids.toDF(c.fk), c.fk, "left_semi").select(*rows.columns)
+        if spec.direction == "both" and c.other_fk:
+            others = rows.join(ids.toDF(c.fk), c.fk, "left_anti")
+            far = others.join(ids.toDF(c.other_fk), c.other_fk, "left_semi").select(*rows.columns)
+            mine = mine.unionByName(far)
+        out[c.table] = mine
+    return out
+
+
 def tables_from_logs(spec: ProfileSpec, logs: Mapping[str, DataFrame], order=LOG_ORDER):
     """Current rows of every table from its decoded change log."""
     tables = {c.table: current_child(spec, c, logs[c.table], order) for c in spec.children}

@@ -117,6 +117,12 @@ def verify_changes(spark, directory):
     return checks.verify_changes(expected, docs, "c_custkey", _FIELDS)
 
 
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey % 17 = 0")
+def missing_rows(spark, directory):
+    gone = checks.missing(root_snapshot(spark, directory), _damaged(spark, directory), ["c_custkey"])
+    return gone.select("c_custkey", "c_name")
+
+
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def uniqueness(spark, directory):
     return checks.duplicates(load(spark, directory, "lineitem"), ["l_orderkey", "l_linenumber"])

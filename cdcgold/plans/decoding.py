@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cdcgold.functions.cdc import table_of
+from cdcgold.functions.cdc import is_deleted, key_text, table_of
 from cdcgold.operators import decode as D
 from cdcgold.plans.registry import query
 from cdcgold.plans.shop import LOG_SQL, TOPIC, load, pref_log
@@ -53,8 +53,6 @@ CASE WHEN event_id % 70 = 1 THEN 'tombstone' WHEN event_id % 70 = 2 THEN 'empty
     """
 )
 def decode_records(spark, directory):
-    from cdcgold.functions.cdc import is_deleted
-
     good, _ = D.decode(raw_records(spark, directory), PREF_SCHEMA)
     return good.select(
         F.col("offset").alias("pos"),
@@ -176,6 +174,39 @@ def typed_values(spark, directory):
     return typed.select("event_id", F.col("day").cast("string").alias("day"), F.unix_millis("at").alias("ms"), "flagged")
 
 
+@query(
+    f"""WITH {LOG_SQL}
+    SELECT event_id, user_id || ' ' || event_type AS joined, lpad(CAST(user_id AS VARCHAR), 6, '0') AS padded,
+           split_part('src.shop.' || event_type, '.', 3) AS last_part, left(md5(event_type), 8) AS prefix,
+           lower(event_type) = lower('SIGNUP') AS same_text, event_type IN ('signup', 'error') AS listed,
+           CAST(floor(value) AS BIGINT) AS low, CAST(ceil(value) AS BIGINT) AS high,
+           event_id * 30 // 100 AS part, CAST(k AS VARCHAR) AS parsed, coalesce(nullif(k, 7), -1) AS filled,
+           '{{"k":' || k || '}}' AS written, sha256('e|' || event_id) AS ident
+    FROM log
+    """
+)
+def scalar_values(spark, directory):
+    """Text, arithmetic, JSON and null handling as the engine's reports and keys use them."""
+    log = pref_log(spark, directory)
+    topic = F.concat(F.lit("src.shop."), "event_type")
+    return log.select(
+        F.col("offset").alias("event_id"),
+        F.concat(F.col("user_id").cast("string"), F.lit(" "), "event_type").alias("joined"),
+        F.lpad(F.col("user_id").cast("string"), 6, "0").alias("padded"),
+        table_of(topic).alias("last_part"),
+        F.substring(F.md5("event_type"), 1, 8).alias("prefix"),
+        (F.lower("event_type") == F.lower(F.lit("SIGNUP"))).alias("same_text"),
+        F.col("event_type").isin("signup", "error").alias("listed"),
+        F.floor("value").alias("low"),
+        F.ceil("value").alias("high"),
+        F.expr("offset * 30 div 100").alias("part"),
+        key_text("k").alias("parsed"),
+        F.coalesce(F.nullif("k", F.lit(7)), F.lit(-1)).alias("filled"),
+        F.to_json(F.struct("k")).alias("written"),
+        F.sha2(F.concat_ws("|", F.lit("e"), F.col("offset").cast("string")), 256).alias("ident"),
+    )
+
+
 @query(
     f"""SELECT '{TOPIC}' AS topic, CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) % 4 AS INTEGER) AS part,
         count(*) AS n, CAST(max(event_id) AS BIGINT) AS last_pos FROM events GROUP BY 1, 2"""

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from cdcgold.operators.edges import either_end, left_join_many, one_end
 from cdcgold.operators.flat import assemble, baseline_profiles, flat_rows, rows_scanned
-from cdcgold.operators.fold import build_profiles, profiles_from_logs
-from cdcgold.operators.latest import snapshot_then_log
+from cdcgold.operators.fold import build_profiles, only_parents, profiles_from_logs
+from cdcgold.operators.latest import latest, snapshot_then_log
 from cdcgold.plans.registry import query
 from cdcgold.plans.shop import (
     DOCUMENTS_SQL,
@@ -154,8 +154,6 @@ def reparent_move(spark, directory):
     """
 )
 def snapshot_plus_log(spark, directory):
-    from cdcgold.operators.latest import latest
-
     log = snapshot_then_log(root_snapshot(spark, directory), root_log(spark, directory))
     return latest(log, ["c_custkey"]).select(
         "c_custkey", "c_mktsegment", F.col("__op").alias("op"), F.col("offset").alias("pos")
@@ -310,6 +308,30 @@ def baseline_profile(spark, directory):
     )
 
 
+@query(
+    f"""WITH {LOG_SQL},
+    ids AS (SELECT DISTINCT user_id * 3 AS id FROM log),
+    o AS (SELECT o_custkey, count(*) AS n, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS t FROM orders GROUP BY 1),
+    ends AS (
+      SELECT user_id AS key, event_id FROM log UNION ALL SELECT k, event_id FROM log WHERE k <> user_id
+    ),
+    l AS (SELECT key, count(*) AS n FROM ends GROUP BY 1)
+    SELECT c_custkey, c_name, coalesce(o.n, 0) AS n_orders, coalesce(o.t, '') AS orders_text, coalesce(l.n, 0) AS n_links
+    FROM customer JOIN ids ON id = c_custkey LEFT JOIN o ON o_custkey = c_custkey LEFT JOIN l ON key = c_custkey
+    """
+)
+def profiles_of_ids(spark, directory):
+    """Documents of a list of keys: every table is cut to the list before it is folded."""
+    tables = shop_tables(spark, directory)
+    ids = tables["link"].select(F.col("from_user") * 3).distinct()
+    spec = LINKED.with_(children=(ORDERS, *LINKED.children), max_items=50_000)
+    docs = build_profiles(spec, only_parents(spec, tables, ids))
+    return docs.select(
+        "c_custkey", "c_name", F.size("orders").cast("bigint").alias("n_orders"),
+        text_of("orders", "o_orderkey").alias("orders_text"), F.size("links").cast("bigint").alias("n_links"),
+    )
+
+
 @query(
     """
     WITH l AS (

@@ -33,18 +33,19 @@ def session(app: str = "cdcgold", master: str | None = None, **conf) -> SparkSes
 def workspace(spark: SparkSession, name: str) -> str:
     """A fresh folder path under the cluster's shared checkpoint folder.
 
+    All folders of one application are below one, to be removed when it has ended.
     Only a local master, where driver and tasks share one disk, may fall back to a
     temporary folder.
     """
+    app = spark.sparkContext.applicationId
     base = spark.conf.get(CHECKPOINT_CONF, None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
-        app = spark.sparkContext.applicationId
         if app not in _LOCAL_BASE:
             _LOCAL_BASE[app] = tempfile.mkdtemp(prefix="cdcgold-")
         base = _LOCAL_BASE[app]
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{base.rstrip('/')}/cdcgold-{app}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
