@@ -17,7 +17,7 @@ from cdcgold.functions.cdc import META_COLUMNS
 from cdcgold.functions.values import slot
 from cdcgold.operators.edges import either_end
 from cdcgold.operators.latest import LOG_ORDER, current_child, current_root
-from cdcgold.session import materialise
+from cdcgold.session import materialise_counted
 from cdcgold.spec import ChildSpec, ProfileSpec
 
 
@@ -75,14 +75,14 @@ def hot_parents(
         return None
     if at_most is not None:
         over = _child_counts(at_most).where(F.col("_most") > max_items).select("_key")
-        suspects = materialise(over, "hot-suspects")
-        if suspects.isEmpty():
+        suspects, n = materialise_counted(over, "hot-suspects")
+        if n == 0:
             return None
         children = [c.join(suspects, "_key", "left_semi") for c in children]
     need = F.ceil(F.col("_most") / max_items).cast("int").alias("_segments")
     sized = _child_counts(children).where(F.col("_most") > max_items)
-    hot = materialise(sized.select("_key", need), "hot-parents")
-    return None if hot.isEmpty() else hot
+    hot, n = materialise_counted(sized.select("_key", need), "hot-parents")
+    return hot if n else None
 
 
 def _segment_children(rows: DataFrame, hot: DataFrame | None) -> DataFrame:

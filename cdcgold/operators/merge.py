@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cdcgold.session import materialise
+from cdcgold.session import materialise, materialise_counted
 
 
 def replace_upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -107,9 +107,9 @@ def insert_ignore(
         )
         return first.select(key, "_first.*").select(*batch.columns).unionByName(nulls)
 
-    rows = materialise(_without(batch, target, unique_keys), "insert-candidates")
+    rows, left = materialise_counted(_without(batch, target, unique_keys), "insert-candidates")
     accepted = []
-    while not rows.isEmpty():
+    while left:
         winners = rows
         for k in unique_keys:
             first = _first_by(rows, k, order).select(order).unionByName(
@@ -119,7 +119,7 @@ def insert_ignore(
         winners = materialise(winners.select(*batch.columns), "insert-winners")
         accepted.append(winners)
         rest = rows.join(winners.select(order), order, "left_anti")
-        rows = materialise(_without(rest, winners, unique_keys), "insert-candidates")
+        rows, left = materialise_counted(_without(rest, winners, unique_keys), "insert-candidates")
     if not accepted:
         return batch.limit(0)
     return reduce(DataFrame.unionByName, accepted).select(*batch.columns)

@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterator, Mapping
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 _LOCAL_BASE: dict[str, str] = {}
@@ -54,9 +55,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     The copy survives lost executors, and its file size tells the planner truthfully
     whether a join with it may be a broadcast.
     """
-    path = workspace(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return materialise_counted(df, name)[0]
+
+
+def materialise_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``materialise``, and the number of rows, counted while they are written."""
+    path, rows = workspace(df.sparkSession, name), Observation()
+    df.observe(rows, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), rows.get["n"]
 
 
 @contextmanager
