@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -102,39 +102,57 @@ def facts(docs: DataFrame, key: str, arrays: Mapping[str, str], fields: Mapping[
     ``arrays``: array field -> key field of its elements.
     """
     skip = {key, "segment", "segments", *arrays}
-    own = (fields or {}).get("", [c for c in docs.columns if c not in skip])
-    roots = docs.where(F.col("segment") == 0) if "segment" in docs.columns else docs
-    out = [_unpivot(roots.select(F.col(key).alias("key"), F.lit("").alias("child"), F.lit("").alias("child_key"), *own), own)]
+    chosen = fields or {}
+    own = _pairs("", F.lit(""), {f: F.col(f) for f in chosen.get("", [c for c in docs.columns if c not in skip])})
+    if "segment" in docs.columns:
+        own = F.when(F.col("segment") == 0, own).otherwise(F.slice(own, 1, 0))
+    parts = [own]
     for array, pk in arrays.items():
-        element = docs.schema[array].dataType.elementType
-        names = (fields or {}).get(array, [n for n in element.names if n != pk])
-        rows = docs.select(F.col(key).alias("key"), F.explode(array).alias("_e"))
-        rows = rows.select(
-            "key",
-            F.lit(array).alias("child"),
-            F.col("_e")[pk].cast("string").alias("child_key"),
-            *[F.col("_e")[n].alias(n) for n in names],
-        )
-        out.append(_unpivot(rows, names))
-    return reduce(DataFrame.unionByName, out)
+        names = docs.schema[array].dataType.elementType.names
+        wanted = chosen.get(array, [n for n in names if n != pk])
+        parts.append(F.flatten(F.transform(array, _facts_of(array, pk, wanted))))
+    # all facts of a row come from one pass over it, whatever the documents cost to build
+    return docs.select(F.col(key).cast("string").alias("key"), F.inline(F.concat(*parts)))
 
 
-def _unpivot(rows: DataFrame, fields: Sequence[str]) -> DataFrame:
-    pairs = F.array(
-        *[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields]
-    )
-    return rows.select(
-        F.col("key").cast("string").alias("key"), "child", "child_key", F.inline(pairs)
+def _pairs(child: str, child_key: Column, values: Mapping[str, Column]) -> Column:
+    return F.array(
+        *[
+            F.struct(
+                F.lit(child).alias("child"),
+                child_key.alias("child_key"),
+                F.lit(f).alias("field"),
+                v.cast("string").alias("value"),
+            )
+            for f, v in values.items()
+        ]
     )
 
 
+def _facts_of(array: str, pk: str, names: Sequence[str]):
+    return lambda e: _pairs(array, e[pk].cast("string"), {n: e[n] for n in names})
+
+
+_FACT = ["key", "child", "child_key", "field"]
+
+
+def _paired(a: DataFrame, b: DataFrame) -> DataFrame:
+    left = a.select(*_FACT, F.struct("value").alias("left"))
+    right = b.select(*_FACT, F.struct("value").alias("right"))
+    return left.join(right, _FACT, "full_outer")
+
+
 def parity(a: DataFrame, b: DataFrame) -> DataFrame:
     """Facts (see ``facts``) on which two builds disagree, or which one of them lacks."""
-    ident = ["key", "child", "child_key", "field"]
-    left = a.select(*ident, F.struct("value").alias("left"))
-    right = b.select(*ident, F.struct("value").alias("right"))
-    joined = left.join(right, ident, "full_outer")
-    return joined.where(~F.col("left").eqNullSafe(F.col("right")))
+    return _paired(a, b).where(~F.col("left").eqNullSafe(F.col("right")))
+
+
+def parity_summary(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Per child table, the facts of the first build and how many differ between the two."""
+    return _paired(a, b).groupBy("child").agg(
+        F.count("left").alias("n_facts"),
+        F.count_if(~F.col("left").eqNullSafe(F.col("right"))).alias("n_differences"),
+    )
 
 
 @dataclass(frozen=True)

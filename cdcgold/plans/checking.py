@@ -198,10 +198,7 @@ def path_parity(spark, directory):
     tables = shop_tables(spark, directory)
     folded = checks.facts(build_profiles(SHOP, tables, plan="union"), "c_custkey", _ARRAYS)
     regrouped = checks.facts(assemble(SHOP, flat_rows(SHOP, tables)), "c_custkey", _ARRAYS)
-    total = folded.groupBy("child").agg(F.count(F.lit(1)).alias("n_facts"))
-    differing = checks.parity(folded, regrouped).groupBy("child").agg(F.count(F.lit(1)).alias("n_differences"))
-    joined = total.join(differing, "child", "left")
-    return joined.select("child", "n_facts", F.coalesce("n_differences", F.lit(0)).cast("bigint").alias("n_differences"))
+    return checks.parity_summary(folded, regrouped)
 
 
 @query(

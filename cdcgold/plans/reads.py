@@ -21,6 +21,7 @@ from cdcgold.plans.shop import (
     slot_sql,
     text_of,
 )
+from cdcgold.session import materialise
 
 
 def _docs(spark, directory):
@@ -125,8 +126,9 @@ def sample_first_n(spark, directory):
     """
 )
 def summary_view(spark, directory):
+    gold = materialise(_docs(spark, directory), "gold")
     slim = views.summary(
-        _docs(spark, directory),
+        gold,
         "c_custkey",
         name=("c_name", "c_mktsegment"),
         first={
