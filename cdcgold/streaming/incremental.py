@@ -36,7 +36,10 @@ def _now_ms() -> int:
 
 
 class IncrementalProfiles:
-    """State under ``path``: audit/, dead_letters/, bronze/<table>/, gold/, ledger/."""
+    """State under ``path``: audit/, dead_letters/, bronze/<table>/, gold/, ledger/.
+
+    ``compact_every``: fold bronze and gold into one base each so many batches.
+    """
 
     def __init__(
         self,
@@ -46,8 +49,10 @@ class IncrementalProfiles:
         path: str,
         *,
         buckets: int = 64,
+        compact_every: int | None = None,
     ):
         self.spark, self.spec, self.path, self.buckets = spark, spec, path.rstrip("/"), buckets
+        self.compact_every = compact_every
         self.schemas = {t: schema_of(schemas[t]) for t in self.tables}
         self.bronze = {t: self._bronze(t) for t in self.tables}
         self._gold: KeyedTable | None = None
@@ -187,6 +192,8 @@ class IncrementalProfiles:
         upto = raw.groupBy("topic", "partition").agg(F.max("offset").alias("end_offset"))
         times = [F.lit(bronze_ms).alias("bronze_ms"), F.lit(_now_ms()).alias("gold_ms")]
         write_batch(upto.select("*", *times), f"{self.path}/ledger", batch_id)
+        if self.compact_every and batch_id % self.compact_every == self.compact_every - 1:
+            self.compact()
 
     def _together(self, writes: list) -> None:
         """Independent writes as concurrent jobs, so small tables do not wait for each other."""
