@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cdcgold.llm import decontaminate, jaccard, mixing, quality, sharding, urls, warc
+from cdcgold.llm import (
+    decontaminate,
+    extract,
+    jaccard,
+    kneser_ney,
+    mixing,
+    pseudonyms,
+    quality,
+    sharding,
+    urls,
+    warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -55,3 +66,19 @@ def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
+
+
+@query
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.held_out_scores(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = spark.conf.get(pseudonyms.KEY_CONF, pseudonyms.TEST_KEY)
+    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents"), key)
