@@ -17,7 +17,10 @@ Equal sets are one class from the start.  Sets that share a signature form a buc
 pairs are compared: first each set with the bucket's lowest one, and after the links found have
 been contracted to components, the pairs of sets of different components that are left, so a
 group of n near copies costs about n comparisons while no link between components is missed.
-Candidates are verified on the whole texts.
+
+Candidates are thinned out by bit maps: a set's map has the parity of its tokens at each of about
+n places, two maps differ in no more places than the sets in tokens, and so a pair whose maps
+differ in too many cannot link.  What is left is verified on the whole texts.
 
 Defined cases: null, empty and wordless texts have empty sets and link with nothing; fewer than
 `SHINGLE` words are one token; rows without an id have no component; rows that share an id count
@@ -62,6 +65,26 @@ def sets(texts: pa.Array, k: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
+def bit_map(own: np.ndarray) -> bytes:
+    """Parities of a set's tokens at 2^k places, as many as the set has tokens or a bit more."""
+    places = max(8, 1 << (len(own) - 1).bit_length()) if len(own) else 8
+    count = np.bincount((mix(own) & U(places - 1)).astype(np.int64), minlength=places)
+    return np.packbits(count & 1).tobytes()
+
+
+def may_link(bits_a: bytes, bits_b: bytes, n_a: int, n_b: int, percent: int) -> bool:
+    """Whether set sizes and maps leave room for a link."""
+    if 100 * min(n_a, n_b) < percent * max(n_a, n_b):
+        return False
+    a, b = (np.frombuffer(x, np.uint8) for x in (bits_a, bits_b))
+    size = min(len(a), len(b))
+    # the lower part of a place is its place in a smaller map
+    a, b = (np.bitwise_xor.reduce(x.reshape(-1, size), axis=0) for x in (a, b))
+    differ = int(np.bitwise_count(a ^ b).sum())
+    common = (n_a + n_b - differ) // 2
+    return 100 * common >= percent * (n_a + n_b - common)
+
+
 def _counted(chunk: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Tokens that are frequent in a chunk, and how often they occur there."""
     token = np.sort(np.concatenate(chunk)) if chunk else np.zeros(0, U)
@@ -71,7 +94,7 @@ def _counted(chunk: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return token[edge[often]].view(np.int64), times[often]
 
 
-_FACTS = "doc_id {id}, n long, digest binary, token array<long>, times array<long>"
+_FACTS = "doc_id {id}, n long, digest binary, bits binary, token array<long>, times array<long>"
 
 
 def _facts(docs: DataFrame, text: str, k: int) -> DataFrame:
@@ -79,20 +102,27 @@ def _facts(docs: DataFrame, text: str, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, size, kind = [], 0, None
-        none = [pa.nulls(1, pa.binary()), pa.nulls(1, pa.list_(pa.int64()))]
 
         def counts() -> pa.RecordBatch:
             token, times = _counted(chunk)
             one = [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (token, times)]
-            return pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.array([size], pa.int64()), none[0], *one], names)
+            none = [pa.nulls(1, pa.binary())] * 2
+            return pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.array([size], pa.int64()), *none, *one], names)
 
-        names = ["doc_id", "n", "digest", "token", "times"]
+        names = ["doc_id", "n", "digest", "bits", "token", "times"]
         for part in slices(batches, text):
             own, kind = sets(part.column(text), k), part.column("doc_id").type
             digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in own]
             blank = pa.nulls(len(own), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(s) for s in own], pa.int64()), pa.array(digest), blank, blank],
+                [
+                    part.column("doc_id"),
+                    pa.array([len(s) for s in own], pa.int64()),
+                    pa.array(digest, pa.binary()),
+                    pa.array(map(bit_map, own), pa.binary()),
+                    blank,
+                    blank,
+                ],
                 names,
             )
             chunk += own
@@ -207,7 +237,7 @@ def _left_over(members: DataFrame, sizes: DataFrame, tried: DataFrame, found: Da
     apart = _in_components(_in_components(tried, "a", found, "ca"), "b", found, "cb").filter("ca <> cb")
     open_ = members.join(apart.select(F.col("a").alias("low"), F.col("b").alias("doc")), ["low", "doc"])
     rows = members.join(open_.select("sig").distinct(), "sig").select("sig", "doc")
-    rows = _in_components(rows, "doc", found, "comp").join(sizes, "doc")
+    rows = _in_components(rows, "doc", found, "comp").join(sizes.select("doc", "n"), "doc")
     rows = materialise(rows.select("sig", "doc", "comp", "n"), "buckets")
     kinds = rows.groupBy("sig", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     close = (F.col("hi_a") * 100 >= F.col("lo_b") * percent) & (F.col("hi_b") * 100 >= F.col("lo_a") * percent)
@@ -234,28 +264,29 @@ def link_groups(
     facts = materialise(_facts(docs, "text", k), "shingle-facts")
     top = docs.sparkSession.sparkContext.broadcast(frequent(facts))
 
-    rows = facts.filter("token is null").select("doc_id", "n", "digest")
+    rows = facts.filter("token is null").select("doc_id", "n", "digest", "bits")
     linked = rows.filter("doc_id is not null and n > 0")
-    classes = linked.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.first("n").alias("n"))
+    classes = linked.groupBy("digest").agg(
+        F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.max("n").alias("n"), F.max("bits").alias("bits")
+    )
     copies = linked.join(classes.filter("rep <> last"), "digest").filter("doc_id <> rep")
     copies = copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    sizes = materialise(classes.filter("n > 1").groupBy("rep").agg(F.max("n").alias("n")), "sets")
-    sizes = sizes.withColumnRenamed("rep", "doc")
+    sizes = materialise(classes.filter("n > 1").select(F.col("rep").alias("doc"), "n", "bits"), "sets")
 
     index = _index(docs, "text", k, percent, top).filter("doc_id is not null and size(sigs) > 0")
-    index = index.withColumnRenamed("doc_id", "doc").join(sizes.select("doc"), "doc", "left_semi")
+    index = index.withColumnRenamed("doc_id", "doc").join(sizes, "doc", "left_semi")
     index = materialise(index, "signatures").select("doc", F.explode("sigs").alias("sig"))
     buckets = index.groupBy("sig").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
     members = index.join(buckets.filter("low <> high").select("sig", "low"), "sig")
     members = materialise(members.select("sig", "low", "doc"), "members")
 
     first = members.filter("low <> doc").select(F.col("low").alias("a"), F.col("doc").alias("b")).distinct()
-    tried = _near(first, sizes, percent)
-    tried = materialise(tried, "candidates")
-    links = materialise(_verified(tried, docs, "text", k, percent), "verified")
+    first = materialise(first, "candidates")
+    near = materialise(_near(first, sizes, percent), "near")
+    links = materialise(_verified(near, docs, "text", k, percent), "verified")
     found = materialise(components(links, "a", "b"), "components")
 
-    rest = materialise(_left_over(members, sizes, first, found, percent), "left-over")
+    rest = materialise(_near(_left_over(members, sizes, first, found, percent), sizes, percent), "left-over")
     links = links.union(_verified(rest, docs, "text", k, percent)).union(copies)
     found = components(links, "a", "b")
     out = _in_components(rows.withColumnRenamed("n", "n_shingles"), "doc_id", found, "component_id")
@@ -263,9 +294,18 @@ def link_groups(
 
 
 def _near(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose set sizes allow a link."""
-    out = pairs.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b")
-    return out.filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b")
+    """Pairs whose set sizes and bit maps allow a link."""
+    both = pairs.join(sizes.toDF("a", "n_a", "bits_a"), "a").join(sizes.toDF("b", "n_b", "bits_b"), "b")
+    both = both.filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    names = ["bits_a", "bits_b", "n_a", "n_b"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*[batch.column(c).to_pylist() for c in names], strict=True)
+            keep = pa.array([may_link(*row, percent) for row in rows], pa.bool_())
+            yield batch.select(["a", "b"]).filter(keep)
+
+    return both.select("a", "b", *names).mapInArrow(run, pairs.schema)
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
