@@ -3,8 +3,8 @@
 Links are given by hubs: documents of one hub, here of one text, are linked to each other, so a
 hub of n documents is n rows and not n * n links.  Every round counts each hub's documents by
 shard, sums the counts of a document's hubs to votes, and lets documents move to the shard with
-most votes as far as it has room; where more want to move than have room, those with most to
-gain go first, by a table of demand by gain.  Documents without links fill the shards up.
+most votes, as many from a to b as from b to a, and more as far as b has room; where more want to
+move than may, those with most to gain go first, by a table of demand by gain.  Documents without links fill the shards up.
 
 The law is `rows`: counts of any two shards differ by one at most.  A hub larger than a shard is
 spread over shards, as it must be.
@@ -58,30 +58,26 @@ def propagate(members: DataFrame, shards: int, room: int, rounds: int = ROUNDS)
         )
         votes = members.join(counts, "hub").groupBy("node").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in each])
         here = labels.join(votes, "node")
-        has = {r[0]: r[1] for r in labels.groupBy("shard").count().collect()}  # a row a shard
-        free = [max(0, room - has.get(k, 0)) for k in each]
-        # a full shard takes nobody, so the next best one with room is sought
-        open_ = [F.when(F.lit(free[k] > 0) | (F.col("shard") == k), F.col(f"c{k}")).otherwise(-1) for k in each]
-        to = _argmax(open_, F.col("hub"))
+        # a shard that a hub fills alone takes no more of it, so the next best is sought
+        open_ = [
+            F.when((F.col(f"c{k}") < 0.98 * room) | (F.col("shard") == k), F.col(f"c{k}")).otherwise(-1) for k in each
+        ]
         own = F.element_at(F.array(*[F.col(f"c{k}") for k in each]), F.col("shard") + 1)
-        here = here.withColumn("to", to)
+        here = here.withColumn("to", _argmax(open_, F.col("hub")))
         gain = F.element_at(F.array(*[F.col(f"c{k}") for k in each]), F.col("to") + 1) - own + 1
         step = F.floor(F.log2(F.greatest(gain, F.lit(1)))).cast("int")
         wish = (F.col("to") != F.col("shard")) & (gain > 0)
         here = materialise(
             here.select("node", "hub", "shard", "to", step.alias("step"), wish.alias("wish")), "wishes"
         )
-        demand = here.filter("wish").groupBy("to", "step").count().collect()  # some forty rows a shard
-        part = {}
-        for k in each:
-            left = free[k]
-            for row in sorted((r for r in demand if r["to"] == k), key=lambda r: -r["step"]):
-                part[k, row["step"]] = min(1.0, left / row["count"])
-                left -= min(left, row["count"])
+        load = {r[0]: r[1] for r in here.groupBy("shard").count().collect()}  # a row a shard
+        demand = here.filter("wish").groupBy("shard", "to", "step").count().collect()  # some forty rows a pair of shards
+        part, moved = _quotas(demand, {k: room - load.get(k, 0) for k in each})
         if not part:
             break
-        share = F.create_map(*[x for (k, s), p in part.items() for x in (F.lit(k * 64 + s), F.lit(p))])
-        chance = F.coalesce(F.try_element_at(share, F.col("to") * 64 + F.col("step")), F.lit(0.0))
+        share = F.create_map(*[x for (a, b, s), p in part.items() for x in (F.lit((a * shards + b) * 64 + s), F.lit(p))])
+        wanted = (F.col("shard") * shards + F.col("to")) * 64 + F.col("step")
+        chance = F.coalesce(F.try_element_at(share, wanted), F.lit(0.0))
         # a hub moves as one, but for hubs that take a good part of a shard
         big = F.pow(F.lit(2.0), F.col("step")) > room / 100
         coin = F.when(big, _unit(F.col("node"), F.lit(turn))).otherwise(_unit(F.col("hub"), F.lit(turn)))
@@ -89,11 +85,34 @@ def propagate(members: DataFrame, shards: int, room: int, rounds: int = ROUNDS)
         labels, _ = materialise_counted(
             here.select("node", "hub", F.when(go, F.col("to")).otherwise(F.col("shard")).alias("shard")), "labels"
         )
-        if sum(min(free[r["to"]], r["count"]) for r in demand) < STILL * n:
+        if moved < STILL * n:
             break
     return labels
 
 
+def _quotas(demand: list, free: dict[int, int]) -> tuple[dict[tuple[int, int, int], float], float]:
+    """By from, to and step of gain: the share of those who wish so that may move; and their number.
+
+    As many move from a to b as from b to a, and more as far as b has room.
+    """
+    wish: dict[tuple[int, int], int] = {}
+    for r in demand:
+        wish[r["shard"], r["to"]] = wish.get((r["shard"], r["to"]), 0) + r["count"]
+    quota = {(a, b): float(min(n, wish.get((b, a), 0))) for (a, b), n in wish.items()}
+    for to in free:
+        rest = {ab: n - quota[ab] for ab, n in wish.items() if ab[1] == to}
+        if free[to] > 0 and sum(rest.values()):
+            for ab, n in rest.items():
+                quota[ab] += n * min(1.0, free[to] / sum(rest.values()))
+    part, moved = {}, sum(quota.values())
+    for r in sorted(demand, key=lambda r: -r["step"]):
+        ab = r["shard"], r["to"]
+        take = min(float(r["count"]), quota[ab])
+        quota[ab] -= take
+        part[*ab, r["step"]] = take / r["count"]
+    return part, moved
+
+
 def assign(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shards: int = 8) -> DataFrame:
     """Every document's shard and its slot there, counted from 0 without gaps."""
     body = F.coalesce(F.col(text), F.lit(""))
