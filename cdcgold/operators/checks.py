@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from cdcgold.functions.cdc import META_COLUMNS
 from cdcgold.functions.values import percent
 from cdcgold.operators.latest import latest
+from cdcgold.operators.views import first_slices
 
 # Verdicts of a reconciliation, and of a verified change.
 OK, STALE, MISSING = "OK", "STALE", "MISSING"
@@ -26,7 +27,7 @@ def reconcile(
     if limit is not None:
         source = source.orderBy(key).limit(limit)
     src = source.select(key, *[F.col(f).alias(f"_s_{f}") for f in fields])
-    tgt = target.select(key, F.lit(True).alias("_hit"), *[F.col(f).alias(f"_t_{f}") for f in fields])
+    tgt = first_slices(target).select(key, F.lit(True).alias("_hit"), *[F.col(f).alias(f"_t_{f}") for f in fields])
     joined = src.join(tgt, key, "left")
     pairs = F.array(
         *[
@@ -69,7 +70,7 @@ def verify_changes(
     as_text = F.create_map(
         *[x for f in fields for x in (F.lit(f), F.struct(F.col(f).cast("string").alias("v")))]
     )
-    actual = docs.select(key, as_text.alias("_values"))
+    actual = first_slices(docs).select(key, as_text.alias("_values"))
     joined = expected.join(actual, key, "left")
     found = F.try_element_at("_values", F.col("field"))
     value = F.when(found.isNull(), NOT_FOUND).otherwise(found["v"])

@@ -135,9 +135,23 @@ def standard_envelope(events: DataFrame, pk: str) -> DataFrame:
     )
 
 
-def publish(docs: DataFrame, key: str) -> DataFrame:
-    """Documents as key and JSON value, the shape a topic sink takes."""
+def _sliced(docs: DataFrame) -> bool:
+    """Whether the documents were built in more than one slice, as their schema tells."""
+    field = next((f for f in docs.schema if f.name == "segments"), None)
+    return field is not None and field.metadata.get("slices", 1) > 1
+
+
+def publish(docs: DataFrame, *key: str) -> DataFrame:
+    """Documents as key and JSON value, the shape a topic sink takes.
+
+    One message per key, so that a sink which replaces by key loses nothing: name the key
+    columns of a row, which are the document's key, and for sliced documents ``segment`` too.
+    A key of several columns is their JSON array.
+    """
+    if not key or ("segment" not in key and _sliced(docs)):
+        raise ValueError("the key of a sliced document is its key and its segment")
+    one = F.col(key[0]).cast("string") if len(key) == 1 else F.to_json(F.array(*[F.col(k).cast("string") for k in key]))
     return docs.select(
-        F.col(key).cast("string").alias("key"),
+        one.alias("key"),
         F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"}).alias("value"),
     )

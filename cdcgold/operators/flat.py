@@ -77,8 +77,11 @@ def rows_scanned(spec: ProfileSpec, tables: Mapping[str, DataFrame]) -> DataFram
         F.greatest(F.coalesce(F.col(c.array), F.lit(0)), F.lit(1)).cast("decimal(38,0)")
         for c in spec.children
     ]
-    product = reduce(lambda a, b: (a * b).cast("decimal(38,0)"), factors)
-    return joined.select(F.col("_key").alias(spec.key), product.alias("rows_scanned"))
+    product = reduce(F.try_multiply, factors).try_cast("decimal(38,0)")
+    size = reduce(lambda a, b: a + b, [F.log10(f) for f in factors])
+    return joined.select(
+        F.col("_key").alias(spec.key), product.alias("rows_scanned"), size.alias("rows_scanned_log10")
+    )
 
 
 def baseline_profiles(

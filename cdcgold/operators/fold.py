@@ -1,14 +1,13 @@
 """Folding child tables into arrays of their parents' documents.
 
 Every plan aggregates the children before they meet the root, so no product of children
-ever exists.  A parent with more children than ``max_items`` is spread over several rows
-(segments) by a digest of the child key, so no task has to hold all of a hot parent.
+ever exists.  A spec may declare ``slices``: a document is then always that many rows, and a
+digest of the child key deals its children to them, so no task has to hold all of a hot parent.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,11 +16,9 @@ from cdcgold.functions.cdc import META_COLUMNS
 from cdcgold.functions.values import slot
 from cdcgold.operators.edges import either_end
 from cdcgold.operators.latest import LOG_ORDER, current_child, current_root
-from cdcgold.session import materialise_counted
 from cdcgold.spec import ChildSpec, ProfileSpec
 
 
-
 def _visible(columns: list[str]) -> list[str]:
     return [c for c in columns if c not in META_COLUMNS and c != "_key"]
 
@@ -52,53 +49,17 @@ def root_rows(spec: ProfileSpec, df: DataFrame) -> DataFrame:
     )
 
 
-def _child_counts(children: list[DataFrame]) -> DataFrame:
-    """Largest number of rows of any one child per parent, in one shuffle of key columns."""
-    keys = [c.select("_key", F.lit(i).alias("_child")) for i, c in enumerate(children)]
-    counts = [F.count_if(F.col("_child") == i) for i in range(len(children))]
-    most = counts[0] if len(counts) == 1 else F.greatest(*counts)
-    return reduce(DataFrame.unionByName, keys).groupBy("_key").agg(most.alias("_most"))
-
-
-def hot_parents(
-    children: list[DataFrame], max_items: int, at_most: list[DataFrame] | None = None
-) -> DataFrame | None:
-    """Parents that need more than one segment, with the number they need.
-
-    Counts are combined before the shuffle and read only key columns.  ``at_most``: rows
-    that are cheaper to count and at least as many, such as the log the children are the
-    latest state of; only parents over the limit there are counted exactly.  The result is
-    a written table: the planner sees its true size and broadcasts it only below the
-    session's threshold, else it joins by shuffle.
-    """
-    if not children:
-        return None
-    if at_most is not None:
-        over = _child_counts(at_most).where(F.col("_most") > max_items).select("_key")
-        suspects, n = materialise_counted(over, "hot-suspects")
-        if n == 0:
-            return None
-        children = [c.join(suspects, "_key", "left_semi") for c in children]
-    need = F.ceil(F.col("_most") / max_items).cast("int").alias("_segments")
-    sized = _child_counts(children).where(F.col("_most") > max_items)
-    hot, n = materialise_counted(sized.select("_key", need), "hot-parents")
-    return hot if n else None
-
-
-def _segment_children(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
-    if hot is None:
+def _slice_children(rows: DataFrame, slices: int) -> DataFrame:
+    if slices == 1:
         return rows
     pk = [F.col("_pk")[f.name] for f in rows.schema["_pk"].dataType.fields]
-    number = F.when(F.col("_segments").isNull(), 0).otherwise(slot(pk, F.col("_segments")))
-    return rows.join(hot, "_key", "left").withColumn("segment", number).drop("_segments")
+    return rows.withColumn("segment", slot(pk, F.lit(slices)))
 
 
-def _segment_roots(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
-    if hot is None:
-        return rows.withColumn("_segments", F.lit(1))
-    wide = rows.join(hot, "_key", "left").fillna(1, subset=["_segments"])
-    numbers = F.sequence(F.lit(0), F.col("_segments") - 1)
-    return wide.withColumn("segment", F.explode(numbers))
+def _slice_roots(rows: DataFrame, slices: int) -> DataFrame:
+    if slices == 1:
+        return rows
+    return rows.withColumn("segment", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
 
 
 def _element(rows: DataFrame) -> Column:
@@ -137,35 +98,22 @@ def attach(parents: DataFrame, folded: DataFrame, array: str, by: list[str]) ->
     return joined.withColumn(array, F.coalesce(F.col(array), empty))
 
 
-def build_profiles(
-    spec: ProfileSpec,
-    tables: Mapping[str, DataFrame],
-    *,
-    plan: str = "join",
-    logs: Mapping[str, DataFrame] | None = None,
-) -> DataFrame:
-    """Documents from the current rows of every table.
+def build_profiles(spec: ProfileSpec, tables: Mapping[str, DataFrame], *, plan: str = "join") -> DataFrame:
+    """Documents from the current rows of every table, each table read once.
 
     plan ``join``: each child is folded by itself and left-joined, all on one key.
     plan ``union``: root and children are stacked and meet in a single shuffle.
-    logs: what the tables are the latest state of, to look for hot parents more cheaply.
-    Output: the root's fields, one array per child, ``segment`` and ``segments``.
+    Output: the root's fields, one array per child, ``segment`` and ``segments`` (the spec's slices).
     """
-    roots = root_rows(spec, tables[spec.root])
-    children = {c.array: child_rows(spec, c, tables[c.table]) for c in spec.children}
-    at_most = None
-    if logs is not None:
-        at_most = [child_rows(spec, c, logs.get(c.table, tables[c.table])) for c in spec.children]
-    hot = hot_parents(list(children.values()), spec.max_items, at_most)
-    roots = _segment_roots(roots, hot)
-    children = {a: _segment_children(rows, hot) for a, rows in children.items()}
-    by = ["_key"] if hot is None else ["_key", "segment"]
+    roots = _slice_roots(root_rows(spec, tables[spec.root]), spec.slices)
+    children = {
+        c.array: _slice_children(child_rows(spec, c, tables[c.table]), spec.slices) for c in spec.children
+    }
+    by = ["_key"] if spec.slices == 1 else ["_key", "segment"]
     build = {"join": _by_joins, "union": _by_union}[plan]
     docs = build(roots, children, by)
-    segment = F.lit(0) if hot is None else F.col("segment")
-    return docs.select(
-        "_root.*", *children, segment.alias("segment"), F.col("_segments").alias("segments")
-    )
+    segment = F.lit(0) if spec.slices == 1 else F.col("segment")
+    return docs.select("_root.*", *children, segment.alias("segment"), F.lit(spec.slices).alias("segments", metadata={"slices": spec.slices}))
 
 
 def _by_joins(roots: DataFrame, children: dict[str, DataFrame], by: list[str]) -> DataFrame:
@@ -176,7 +124,7 @@ def _by_joins(roots: DataFrame, children: dict[str, DataFrame], by: list[str]) -
 
 
 def _by_union(roots: DataFrame, children: dict[str, DataFrame], by: list[str]) -> DataFrame:
-    stacked = roots.select(*by, F.struct("_root", "_segments").alias("_parent"))
+    stacked = roots.select(*by, F.struct("_root").alias("_parent"))
     for array, rows in children.items():
         tagged = rows.select(*by, _element(rows).alias(f"_c_{array}"))
         stacked = stacked.unionByName(tagged, allowMissingColumns=True)
@@ -218,7 +166,7 @@ def tables_from_logs(spec: ProfileSpec, logs: Mapping[str, DataFrame], order=LOG
 def profiles_from_logs(
     spec: ProfileSpec, logs: Mapping[str, DataFrame], *, order=LOG_ORDER, plan: str = "join"
 ) -> DataFrame:
-    return build_profiles(spec, tables_from_logs(spec, logs, order), plan=plan, logs=logs)
+    return build_profiles(spec, tables_from_logs(spec, logs, order), plan=plan)
 
 
 def items(docs: DataFrame, key: str, array: str) -> DataFrame:

@@ -8,14 +8,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from cdcgold.operators.views import first_slices
+from cdcgold.session import materialise
+
 # The percentiles every report shows.
 PERCENTILES = (50, 95, 99)
 
 
-def _coarse(value: Column) -> Column:
-    """A coarse number that never falls as the value rises: logarithmic steps of about 1.5%."""
-    value = value.cast("double")
-    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * 64)
+# Fixed value: value ranges a large group is ranked in.
+RANGES = 256
+
+
+def _ranges(counted: DataFrame, group: list[str]) -> DataFrame:
+    """The rows with ``_range``, a number that never falls as the value rises.
+
+    Ranges end at approximate quantiles of the group's own distinct values, so they are about
+    even wherever the values lie; only their evenness depends on the approximation.
+    """
+    cuts = [i / RANGES for i in range(1, RANGES)]
+    bounds = counted.groupBy(*group).agg(F.percentile_approx("_v", cuts, 10 * RANGES).alias("_bounds"))
+    both = counted.join(bounds, group) if group else counted.join(F.broadcast(bounds))  # one row
+    below = F.size(F.filter("_bounds", lambda b: b < F.col("_v")))
+    return both.withColumn("_range", below).drop("_bounds")
 
 
 def nearest_rank(
@@ -24,7 +38,7 @@ def nearest_rank(
     """Exact nearest-rank percentiles: element ceil(p/100*n) of the sorted values, per group.
 
     ``percentile_disc`` keeps every distinct value of a group in one task's memory.  Here
-    equal values are counted first, ranks run within coarse value ranges, and the ranges
+    equal values are counted first, ranks run within value ranges of the group, and the ranges
     are offset by a running total over their counts, so a large group spreads over many tasks.
     """
     group = list(group)
@@ -32,8 +46,8 @@ def nearest_rank(
         df.where(F.col(value).isNotNull())
         .groupBy(*group, F.col(value).alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_range", _coarse(F.col("_v")))
     )
+    counted = _ranges(materialise(counted, "counted-values"), group)
     per_range = counted.groupBy(*group, "_range").agg(F.sum("_n").alias("_size"))
     running = Window.partitionBy(*group).orderBy("_range")
     before = running.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -131,6 +145,6 @@ def staleness(reads: DataFrame, docs: DataFrame, key: str, read_ms: str, updated
     Reads are joined to the one document of their key, so a key that is read very often is
     a skewed side the optimizer may split.
     """
-    versions = docs.select(key, F.col(updated_ms).alias("_updated"))
+    versions = first_slices(docs).select(key, F.col(updated_ms).alias("_updated"))
     joined = reads.join(versions, key, "left")
     return joined.withColumn("age_ms", F.col(read_ms) - F.col("_updated")).drop("_updated")

@@ -23,6 +23,11 @@ def lookup(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return answers.fillna(False, subset=["found"])
 
 
+def first_slices(docs: DataFrame) -> DataFrame:
+    """One row per document, that with the root fields to compare; sliced documents repeat them."""
+    return docs.where(F.col("segment") == 0) if "segment" in docs.columns else docs
+
+
 def find_by(docs: DataFrame, field: str, value) -> DataFrame:
     return docs.where(F.col(field) == value)
 
@@ -40,7 +45,7 @@ def reverse_index(docs: DataFrame, key: str, array: str, end: str) -> DataFrame:
 
 def newest(docs: DataFrame, by: str, n: int, tie: str) -> DataFrame:
     """The n most recently updated documents."""
-    return docs.orderBy(F.col(by).desc(), F.col(tie)).limit(n)
+    return first_slices(docs).orderBy(F.col(by).desc(), F.col(tie)).limit(n)
 
 
 def first_n(df: DataFrame, key: str, n: int) -> DataFrame:
@@ -64,7 +69,7 @@ def summary(
             of the smallest key, null when the array is empty
     counts  output name -> array whose elements are counted, all of them
 
-    A document in one segment is answered row by row; only continued documents are grouped.
+    A document in one row is answered by itself; only sliced documents are grouped.
     """
     first, counts = dict(first or {}), dict(counts or {})
     columns = [F.col(key), *[F.col(c) for c in keep]]

@@ -14,7 +14,6 @@ from cdcgold.plans.shop import (
     LINKED,
     LIVE_SQL,
     LOG_SQL,
-    MAX_ITEMS,
     ORDER_LINES,
     ORDERS,
     PREFS,
@@ -22,6 +21,7 @@ from cdcgold.plans.shop import (
     TALKS,
     cents,
     documents_flat,
+    documents_sql,
     links,
     live_prefs,
     load,
@@ -54,6 +54,11 @@ def profile_one_shuffle(spark, directory):
     return documents_flat(build_profiles(SHOP, shop_tables(spark, directory), plan="union"))
 
 
+@query(documents_sql(3))
+def profile_documents_sliced(spark, directory):
+    return documents_flat(build_profiles(SHOP.with_(slices=3), shop_tables(spark, directory)))
+
+
 @query(DOCUMENTS_SQL)
 def assemble_from_flat(spark, directory):
     return documents_flat(assemble(SHOP, flat_rows(SHOP, shop_tables(spark, directory))))
@@ -63,7 +68,7 @@ def _root_delete(policy):
     def build(spark, directory):
         log = snapshot_then_log(root_snapshot(spark, directory), root_log(spark, directory))
         orders = load(spark, directory, "orders").withColumn("partition", F.lit(0)).withColumn("offset", F.col("o_orderkey"))
-        spec = SHOP.with_(root_delete=policy, children=(ORDERS,), max_items=50_000)
+        spec = SHOP.with_(root_delete=policy, children=(ORDERS,))
         docs = profiles_from_logs(spec, {"customer": log, "orders": orders})
         return docs.groupBy("c_custkey", "c_name", "c_mktsegment").agg(
             F.sum(F.size("orders")).cast("bigint").alias("n_orders")
@@ -106,7 +111,7 @@ def root_delete_drop(spark, directory):
 
 def _reparent(policy, spark, directory):
     customers = root_snapshot(spark, directory).withColumn("partition", F.lit(0)).withColumn("offset", F.lit(0))
-    spec = SHOP.with_(reparent=policy, children=(PREFS,), max_items=50_000)
+    spec = SHOP.with_(reparent=policy, children=(PREFS,))
     docs = profiles_from_logs(spec, {"customer": customers, "pref": pref_log(spark, directory)})
     return docs.select(
         "c_custkey", "segment", F.size("prefs").cast("bigint").alias("n_prefs"),
@@ -202,7 +207,8 @@ def flat_stacked(spark, directory):
 def rows_scanned_per_root(spark, directory):
     spec = SHOP.with_(children=(ORDERS, ChildSpec("event", "event_id", "user_id", "events", ("event_id",))))
     tables = {**shop_tables(spark, directory), "event": load(spark, directory, "events")}
-    return rows_scanned(spec, tables).withColumn("rows_scanned", F.col("rows_scanned").cast("bigint"))
+    counted = rows_scanned(spec, tables)
+    return counted.select("c_custkey", F.col("rows_scanned").try_cast("bigint").alias("rows_scanned"))
 
 
 @query(
@@ -235,14 +241,7 @@ ends AS (
   SELECT user_id AS key, event_id, user_id, k FROM log
   UNION ALL SELECT k, event_id, user_id, k FROM log WHERE k <> user_id
 ),
-need AS (
-  SELECT key, CAST(ceil(count(*) / 64.0) AS BIGINT) AS segments FROM ends GROUP BY key HAVING count(*) > 64
-),
-roots AS (
-  SELECT c_custkey, coalesce(segments, 1) AS segments,
-         unnest(generate_series(0, coalesce(segments, 1) - 1)) AS segment
-  FROM customer LEFT JOIN need ON key = c_custkey
-),
+roots AS (SELECT c_custkey, 2 AS segments, s AS segment FROM customer, range(2) slices(s)),
 folded AS (
   SELECT c_custkey, segment, count(*) AS n,
          string_agg(event_id || ':' || user_id || ':' || k, ',' ORDER BY event_id) AS t
@@ -303,7 +302,7 @@ def baseline_profile(spark, directory):
         text_of("orders", "o_orderpriority", "o_orderkey").alias("orders_text"),
         F.size("prefs").cast("bigint").alias("n_prefs"),
         text_of("prefs", "event_type", "k").alias("prefs_text"),
-        F.col("rows_scanned").cast("bigint").alias("rows_scanned"),
+        F.col("rows_scanned").try_cast("bigint").alias("rows_scanned"),
     )
 
 
@@ -323,7 +322,7 @@ def profiles_of_ids(spark, directory):
     """Documents of a list of keys: every table is cut to the list before it is folded."""
     tables = shop_tables(spark, directory)
     ids = tables["link"].select(F.col("from_user") * 3).distinct()
-    spec = LINKED.with_(children=(ORDERS, *LINKED.children), max_items=50_000)
+    spec = LINKED.with_(children=(ORDERS, *LINKED.children), slices=1)
     docs = build_profiles(spec, only_parents(spec, tables, ids))
     return docs.select(
         "c_custkey", "c_name", F.size("orders").cast("bigint").alias("n_orders"),

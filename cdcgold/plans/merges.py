@@ -12,12 +12,12 @@ from cdcgold.plans.shop import (
     LIVE_SQL,
     LOG_SQL,
     PREFS,
-    SEGMENTS_SQL,
     SHOP,
     load,
     pref_log,
     root_log,
     root_snapshot,
+    roots_sql,
     shop_tables,
     slot_sql,
     text_of,
@@ -205,7 +205,7 @@ def change_feed(spark, directory):
 
 @query(
     f"""WITH {LIVE_SQL},
-    {SEGMENTS_SQL},
+    {roots_sql()},
     changed AS (
       SELECT user_id, k, max(event_id) AS pos, arg_max(event_type, event_id) AS event_type
       FROM log GROUP BY user_id, k

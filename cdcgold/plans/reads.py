@@ -14,9 +14,9 @@ from cdcgold.plans.shop import (
     LINKED,
     LIVE_SQL,
     LOG_SQL,
-    SEGMENTS_SQL,
     SHOP,
     load,
+    roots_sql,
     shop_tables,
     slot_sql,
     text_of,
@@ -28,7 +28,7 @@ def _docs(spark, directory):
     return build_profiles(SHOP, shop_tables(spark, directory))
 
 
-_ROOTS = f"WITH {LIVE_SQL},\n{SEGMENTS_SQL}"
+_ROOTS = f"WITH {LIVE_SQL},\n{roots_sql()}"
 _IN_SEGMENT = f"segment = {slot_sql('CAST(k AS VARCHAR)', 'segments')}"
 
 
@@ -90,7 +90,7 @@ def reverse_edge_lookup(spark, directory):
     """
 )
 def reverse_edge_of_one(spark, directory):
-    spec = LINKED.with_(direction="from", max_items=50_000)
+    spec = LINKED.with_(direction="from", slices=1)
     docs = build_profiles(spec, shop_tables(spark, directory))
     hit = views.reverse_edges(docs, "links", "to_user", 7)
     return hit.select("c_custkey", F.size("links").cast("bigint").alias("n"))
@@ -263,3 +263,19 @@ def element_reads(spark, directory):
         text_of(F.slice("prefs", 1, 2), "k").alias("first_two"),
         A.size_or_zero("prefs").cast("bigint").alias("n"),
     )
+
+
+@query(
+    """
+    SELECT CAST(1 AS INTEGER) AS slices, count(*) AS n_messages, count(DISTINCT c_custkey) AS n_keys FROM customer
+    UNION ALL SELECT CAST(3 AS INTEGER), 3 * count(*), 3 * count(DISTINCT c_custkey) FROM customer
+    """
+)
+def publish_keys(spark, directory):
+    """Messages and distinct keys of both layouts of the documents."""
+    out = []
+    for slices, key in ((1, ["c_custkey"]), (3, ["c_custkey", "segment"])):
+        sent = publish(build_profiles(SHOP.with_(slices=slices), shop_tables(spark, directory)), *key)
+        counts = sent.agg(F.count(F.lit(1)).alias("n_messages"), F.countDistinct("key").alias("n_keys"))
+        out.append(counts.select(F.lit(slices).alias("slices"), "n_messages", "n_keys"))
+    return out[0].unionByName(out[1])

@@ -10,8 +10,6 @@ from cdcgold.operators.latest import live, latest
 from cdcgold.sources.tables import read_parquet
 from cdcgold.spec import ChildSpec, ProfileSpec
 
-MAX_ITEMS = 32
-
 ORDERS = ChildSpec(
     "orders", "o_orderkey", "o_custkey", "orders",
     ("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority"),
@@ -22,10 +20,9 @@ LINKS = ChildSpec(
 )
 
 SHOP = ProfileSpec(
-    root="customer", key="c_custkey", children=(ORDERS, PREFS), max_items=MAX_ITEMS,
-    status_field="c_mktsegment",
+    root="customer", key="c_custkey", children=(ORDERS, PREFS), status_field="c_mktsegment"
 )
-LINKED = SHOP.with_(children=(LINKS,), direction="both", max_items=64)
+LINKED = SHOP.with_(children=(LINKS,), direction="both", slices=2)
 ORDER_LINES = ProfileSpec(
     root="orders",
     key="o_orderkey",
@@ -175,22 +172,20 @@ def slot_sql(text: str, slots: str) -> str:
     return f"CAST('0x' || left(md5({text}), 8) AS BIGINT) % {slots}"
 
 
-SEGMENTS_SQL = f"""
-need AS (
-  SELECT key, CAST(max(ceil(n / {MAX_ITEMS}.0)) AS BIGINT) AS segments FROM (
-    SELECT o_custkey AS key, count(*) AS n FROM orders GROUP BY 1
-    UNION ALL SELECT user_id, count(*) FROM live GROUP BY 1
-  ) GROUP BY key HAVING max(n) > {MAX_ITEMS}
-),
+def roots_sql(slices: int = 1) -> str:
+    """Every document's rows, as many as the spec has slices."""
+    return f"""
 roots AS (
-  SELECT c.c_custkey, c.c_name, c.c_mktsegment, coalesce(need.segments, 1) AS segments,
-         unnest(generate_series(0, coalesce(need.segments, 1) - 1)) AS segment
-  FROM customer c LEFT JOIN need ON need.key = c.c_custkey
+  SELECT c_custkey, c_name, c_mktsegment, {slices} AS segments, s AS segment
+  FROM customer, range({slices}) slices(s)
 )"""
 
-DOCUMENTS_SQL = f"""
+
+def documents_sql(slices: int = 1) -> str:
+    """The flat documents of ``documents_flat``."""
+    return f"""
 WITH {LIVE_SQL},
-{SEGMENTS_SQL},
+{roots_sql(slices)},
 o AS (
   SELECT c_custkey, segment, count(*) AS n, sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS cents,
          string_agg(o_orderkey || ':' || o_orderstatus || ':' || o_orderpriority, ',' ORDER BY o_orderkey) AS t
@@ -209,3 +204,6 @@ SELECT c_custkey, CAST(segment AS INTEGER) AS segment, CAST(segments AS INTEGER)
        coalesce(o.t, '') AS orders_text, coalesce(p.n, 0) AS n_prefs, coalesce(p.t, '') AS prefs_text
 FROM roots LEFT JOIN o USING (c_custkey, segment) LEFT JOIN p USING (c_custkey, segment)
 """
+
+
+DOCUMENTS_SQL = documents_sql()

@@ -28,7 +28,7 @@ from cdcgold.streaming.stateful import ROCKSDB, fold_stream
 CUSTOMER_SCHEMA = "c_custkey bigint, c_name string, c_mktsegment string"
 CUSTOMER_TOPIC = "src.shop.customer"
 SCHEMAS = {"customer": CUSTOMER_SCHEMA, "pref": PREF_SCHEMA}
-STREAMED = SHOP.with_(children=(PREFS,), max_items=50_000)
+STREAMED = SHOP.with_(children=(PREFS,))
 PARTS = 3
 
 

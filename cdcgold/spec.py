@@ -45,8 +45,9 @@ class ProfileSpec:
     reparent     keep_both: child state is per (parent, child), so a moved child stays with
                  its old parent too; move: the newest row of a child decides its one parent.
     direction    from: an edge belongs to its first end; both: to either end.
-    max_items    array elements of one child per document row.  A parent with more is
-                 continued on further rows numbered by ``segment``; nothing is cut off.
+    slices       rows per document.  1: one row per key.  More, for parents with very many
+                 children: always that many rows, numbered by ``segment``, over which a digest
+                 of the child key deals the children; the key of a row is then (key, segment).
     """
 
     root: str
@@ -57,7 +58,7 @@ class ProfileSpec:
     reparent: str = "keep_both"
     direction: str = "from"
     status_field: str = "status"
-    max_items: int = 50_000
+    slices: int = 1
 
     def __post_init__(self):
         object.__setattr__(self, "children", tuple(self.children))
@@ -68,6 +69,8 @@ class ProfileSpec:
         ):
             if getattr(self, name) not in allowed:
                 raise ValueError(f"{name} must be one of {allowed}")
+        if self.slices < 1:
+            raise ValueError("slices must be 1 or more")
 
     def child(self, array: str) -> ChildSpec:
         return next(c for c in self.children if c.array == array)

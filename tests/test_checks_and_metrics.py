@@ -79,6 +79,13 @@ def rank(values, p):
     return sorted(values)[max(0, math.ceil(p * len(values) / 100) - 1)]
 
 
+def test_clustered_values_spread_over_ranges(spark):
+    values = spark.range(20_000).select(F.lit("g").alias("g"), (F.col("id") + 1_700_000_000_000).alias("_v"), F.lit(1).alias("_n"))
+    sizes = metrics._ranges(values, ["g"]).groupBy("_range").count()
+    assert sizes.count() > metrics.RANGES // 2
+    assert sizes.agg(F.max("count")).first()[0] < 20_000 // 50
+
+
 @pytest.mark.parametrize("kind", ["ms", "narrow", "wide"])
 def test_nearest_rank_percentiles(spark, kind):
     rnd = random.Random(kind)

@@ -5,8 +5,8 @@ from party_data import ROWS, Log, address, contact, customer, documents, frames,
 from pyspark.sql import functions as F
 
 from cdcgold.functions.cdc import META_COLUMNS, table_of
-from cdcgold.operators import checks, views
-from cdcgold.operators.decode import decode
+from cdcgold.operators import checks, flat, views
+from cdcgold.operators.decode import decode, publish
 from cdcgold.operators.flat import assemble, baseline_profiles, child_counts, flat_rows, rows_scanned
 from cdcgold.operators.fold import build_profiles, profiles_from_logs
 from cdcgold.sources import party
@@ -172,26 +172,50 @@ def test_summary(spark):
 
 
 @pytest.mark.parametrize("plan", ["join", "union"])
-def test_hot_parent_is_continued_on_further_rows(spark, plan):
+def test_declared_slices_hold_all_children(spark, plan):
     rows = {**ROWS, "customer_address": [address(i, "p1") for i in range(90)] + [address(95, "p2")]}
     tables = frames(spark, rows)
-    docs = build_profiles(party.BULK.with_(max_items=20), tables, plan=plan)
+    whole_docs = build_profiles(party.BULK, tables)
+    n = whole_docs.count()
+    docs = build_profiles(party.BULK.with_(slices=5), tables, plan=plan)
+    assert docs.count() == 5 * n and docs.select("customer_id").distinct().count() == n
     parts = docs.where(F.col("customer_id") == "p1").collect()
-    assert {p.segments for p in parts} == {5} and [p.segment for p in sorted(parts, key=lambda p: p.segment)] == [0, 1, 2, 3, 4]
+    assert {p.segments for p in parts} == {5} and sorted(p.segment for p in parts) == [0, 1, 2, 3, 4]
     found = sorted(a.address_id for p in parts for a in p.addresses)
     assert found == sorted(f"a{i}" for i in range(90))
     assert max(len(p.addresses) for p in parts) < 40
-    assert docs.where(F.col("customer_id") == "p2").count() == 1
-    slim = documents(views.summary(docs, **party.SUMMARY))
-    whole = documents(views.summary(build_profiles(party.BULK, tables), **party.SUMMARY))
-    assert slim == whole
+    assert documents(views.summary(docs, **party.SUMMARY)) == documents(views.summary(whole_docs, **party.SUMMARY))
     facts = checks.facts(docs, "customer_id", {"addresses": "address_id"})
-    whole_facts = checks.facts(build_profiles(party.BULK, tables), "customer_id", {"addresses": "address_id"})
+    whole_facts = checks.facts(whole_docs, "customer_id", {"addresses": "address_id"})
     # root arrays other than addresses are compared per document above
     keep = F.col("child") == "addresses"
     assert checks.multiset_difference(facts.where(keep), whole_facts.where(keep)).count() == 0
 
 
+def test_one_message_and_verdict_per_declared_key(spark):
+    tables = frames(spark, ROWS)
+    whole, sliced = (build_profiles(party.BULK.with_(slices=k), tables) for k in (1, 3))
+    n = whole.count()
+    for docs, key in ((whole, ["customer_id"]), (sliced, ["customer_id", "segment"])):
+        sent = publish(docs, *key)
+        assert sent.count() == sent.select("key").distinct().count() == docs.count()
+        verdicts = checks.reconcile(tables["customer"], docs, "customer_id", ["status"])
+        assert verdicts.count() == tables["customer"].count()
+        assert views.newest(docs, "customer_id", 2, "customer_id").select("customer_id").distinct().count() == min(2, n)
+    with pytest.raises(ValueError):
+        publish(sliced, "customer_id")
+
+
+def test_rows_scanned_of_a_very_hot_root_is_null_with_its_size(spark, monkeypatch):
+    tables = frames(spark)
+    counts = tables["customer"].select(F.col("customer_id").alias("_key"))
+    for c in party.BASELINE.children:
+        counts = counts.withColumn(c.array, F.lit(10**8).cast("long"))
+    monkeypatch.setattr(flat, "child_counts", lambda *_: counts)
+    row = flat.rows_scanned(party.BASELINE, tables).first()
+    assert row.rows_scanned is None and row.rows_scanned_log10 == 8 * len(party.BASELINE.children)
+
+
 def test_links_of_a_party_to_itself_and_null_end(spark):
     rows = {**ROWS, "relationship": [link(1, "p1", "p1"), link(2, "p1", None), link(3, None, "p2")]}
     docs = documents(build_profiles(party.BULK, frames(spark, rows)))
