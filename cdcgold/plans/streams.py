@@ -189,8 +189,9 @@ def stream_change_apply(spark, directory):
     gold.append(docs, -1)
     folder = workspace(spark, "changes")
     changes = log.select("offset", "user_id", "k", "event_type", "value", "__op")
-    for part in _ranges(changes):
-        _land(part, folder)
+    # late parts come first, and each is several files
+    for part in reversed(_ranges(changes)):
+        _land(part.repartition(4), folder)
 
     def feed(batch):
         return batch.select(
@@ -202,7 +203,51 @@ def stream_change_apply(spark, directory):
             F.col("offset").alias("pos"),
         )
 
-    stream = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    stream = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 3).parquet(folder)
     applier = ChangeApplier(gold, "c_custkey", [PREFS], {"prefs": feed}, ["pos"])
     applier.start(stream, workspace(spark, "checkpoint"), {"availableNow": True}).awaitTermination()
     return _flat(gold.current())
+
+
+@query(
+    f"""WITH {LOG_SQL},
+    last AS (SELECT user_id, arg_max(event_type, event_id) AS event_type FROM log GROUP BY 1),
+    n AS (
+      SELECT user_id, count(*) AS n FROM (
+        SELECT user_id, k, arg_max(event_type, event_id) AS event_type FROM log GROUP BY 1, 2
+      ) WHERE event_type <> 'error' GROUP BY 1
+    )
+    SELECT c_custkey, c_name,
+           CASE WHEN last.event_type = 'error' THEN 'DELETED'
+                WHEN last.event_type IS NOT NULL THEN last.event_type ELSE c_mktsegment END AS c_mktsegment,
+           coalesce(n, 0) AS n_prefs
+    FROM customer LEFT JOIN last ON last.user_id = c_custkey LEFT JOIN n ON n.user_id = c_custkey
+    """
+)
+def stream_root_changes(spark, directory):
+    """Root patches and soft deletes through the stream beside child changes, parts out of order."""
+    log = pref_log(spark, directory)
+    docs = build_profiles(STREAMED, {"customer": root_snapshot(spark, directory), "pref": log.limit(0)})
+    gold = KeyedTable(spark, workspace(spark, "gold"), docs.schema, ["c_custkey"], by="c_custkey", whole=True, buckets=8)
+    gold.append(docs, -1)
+    folder = workspace(spark, "changes")
+    changes = log.select("offset", "user_id", "k", "event_type", "value", "__op")
+    first, second, *rest = _ranges(changes)
+    for part in (second, first, *rest):
+        _land(part.repartition(3), folder)
+
+    def feed(batch):
+        operation = F.when(F.col("__op") == "d", "delete").otherwise("update")
+        return batch.withColumnsRenamed({"user_id": "c_custkey", "offset": "pos"}).withColumn("operation", operation)
+
+    def root(batch):
+        rows = feed(batch).drop("k").withColumn("c_mktsegment", F.col("event_type"))
+        return rows.withColumn("c_name", F.concat(F.lit("user-"), "c_custkey"))
+
+    stream = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 4).parquet(folder)
+    applier = ChangeApplier(
+        gold, "c_custkey", [PREFS], {"prefs": feed}, ["pos"], root=root,
+        set_columns=["c_mktsegment"], set_on_insert=["c_name"], status_field="c_mktsegment",
+    )
+    applier.start(stream, workspace(spark, "checkpoint"), {"availableNow": True}).awaitTermination()
+    return gold.current().select("c_custkey", "c_name", "c_mktsegment", F.size("prefs").cast("bigint").alias("n_prefs"))

@@ -5,22 +5,33 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cdcgold.operators.changes import only, patch_arrays
 from cdcgold.operators.latest import latest
-from cdcgold.operators.merge import patch_upsert
+from cdcgold.operators.merge import patch_upsert, soft_delete
+from cdcgold.session import materialise
 from cdcgold.spec import ChildSpec
 from cdcgold.streaming.keyed import KeyedTable
 
+# Fixed value: the name under which the position of the root's own changes is kept.
+ROOT = ""
+
 
 class ChangeApplier:
-    """Applies root and child changes to a keyed table of one-row documents.
+    """Applies root and child changes to a keyed table of one-row documents, in any order.
 
     ``feeds``: array field -> function from a micro-batch to that child's change feed, and
-    ``root`` from a micro-batch to root patches.  Changes of a child whose document does not
-    exist are lost, as patching in place has nowhere to keep them.
+    ``root`` from a micro-batch to root patches; where these have an ``operation``, a delete only
+    marks ``status_field``.  The position (``order``) last applied to each element, removed ones
+    included, and to each root is kept in a second table; older changes are ignored, and changed
+    elements stand in the order of their changes behind those never changed.  So the result
+    depends neither on how records are cut into batches nor on their order.  Changes of a child
+    whose document does not exist are lost, as patching in place has nowhere to keep them.
+
+    A rerun of a batch reads earlier batches only.
     """
 
     def __init__(
@@ -34,34 +45,98 @@ class ChangeApplier:
         root=None,
         set_columns: Sequence[str] = (),
         set_on_insert: Sequence[str] = (),
+        status_field: str = "status",
     ):
         self.docs, self.key, self.children, self.feeds = docs, key, list(children), feeds
-        self.order, self.root = list(order), root
+        self.order, self.root, self.status_field = list(order), root, status_field
         self.set_columns, self.set_on_insert = list(set_columns), list(set_on_insert)
+        names = [key, "_array", "_element"]
+        kinds = [docs.schema[key].dataType, T.StringType(), T.StringType()]
+        fields = [T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]
+        fields += [T.StructField(c, T.LongType()) for c in self.order]
+        self.applied = KeyedTable(
+            docs.spark, f"{docs.path}-applied", T.StructType(fields), names, by=key, buckets=docs.buckets
+        )
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            self.docs.append(self._patched(batch), batch_id)
+            docs, applied = self._patched(batch, batch_id)
+            self.applied.append(applied, batch_id)
+            self.docs.append(docs, batch_id)
         finally:
             batch.unpersist()
 
-    def _patched(self, batch: DataFrame) -> DataFrame:
-        """The documents the batch touches, after its changes."""
+    def _at(self) -> Column:
+        return F.struct(*[F.col(c).cast("long").alias(c) for c in self.order])
+
+    def _fresh(self, feed: DataFrame, array: str, element, applied: DataFrame) -> DataFrame:
+        """The newest change of each element, if none as new was applied before."""
+        known = applied.where(F.col("_array") == array).select(self.key, "_element", self._at().alias("_seen"))
+        named = feed.withColumn("_element", element)
+        last = latest(named, [self.key, "_element"], self.order).withColumn("_now", self._at())
+        fresh = last.join(known, [self.key, "_element"], "left")
+        fresh = fresh.where(F.col("_seen").isNull() | (F.col("_now") > F.col("_seen"))).drop("_seen", "_now")
+        return materialise(fresh, "fresh-changes")
+
+    def _patched(self, batch: DataFrame, batch_id: int) -> tuple[DataFrame, DataFrame]:
+        """The documents the batch touches, after its changes, and the positions applied."""
         feeds = {c.array: only(self.feeds[c.array](batch)) for c in self.children}
-        patch = None if self.root is None else latest(self.root(batch), [self.key], self.order)
+        patch = None if self.root is None else self.root(batch)
         sources = [*feeds.values()] if patch is None else [*feeds.values(), patch]
         touched = reduce(DataFrame.unionByName, [s.select(self.key) for s in sources]).dropna().distinct()
-        docs = self.docs.current(touched).drop("batch_id")
+        touched = materialise(touched, "touched")
+        applied = materialise(self.applied.current(touched, before=batch_id), "applied")
+
+        for c in self.children:
+            feeds[c.array] = self._fresh(feeds[c.array], c.array, F.col(c.pk[0]).cast("string"), applied)
+        marks = [f.select(self.key, F.lit(a).alias("_array"), "_element", *self.order) for a, f in feeds.items()]
+        docs = self.docs.current(touched, before=batch_id).drop("batch_id")
         if patch is not None:
-            docs = patch_upsert(docs, patch, [self.key], self.set_columns, self.set_on_insert)
-            for c in self.children:
-                empty = F.array().cast(docs.schema[c.array].dataType)
-                docs = docs.withColumn(c.array, F.coalesce(F.col(c.array), empty))
+            patch = self._fresh(patch, ROOT, F.lit(ROOT), applied)
+            marks.append(patch.select(self.key, F.lit(ROOT).alias("_array"), "_element", *self.order))
+            docs = self._root_patched(docs, patch)
+        now = reduce(DataFrame.unionByName, marks).dropna(subset=[self.key])
         for c in self.children:
             docs = patch_arrays(docs, self.key, c, feeds[c.array], self.order)
-        return docs
+            docs = self._in_order(docs, c, applied.drop("batch_id").unionByName(now))
+        return docs, now
+
+    def _root_patched(self, docs: DataFrame, patch: DataFrame) -> DataFrame:
+        gone = F.lit(False)
+        if "operation" in patch.columns:
+            gone = F.col("operation") == "delete"
+        columns = docs.columns
+        docs = patch_upsert(docs, patch.where(~gone), [self.key], self.set_columns, self.set_on_insert)
+        docs = soft_delete(docs, patch.where(gone).select(self.key), self.key, self.status_field)
+        for c in self.children:
+            empty = F.array().cast(docs.schema[c.array].dataType)
+            docs = docs.withColumn(c.array, F.coalesce(F.col(c.array), empty))
+        return docs.select(*columns)
+
+    def _in_order(self, docs: DataFrame, child: ChildSpec, applied: DataFrame) -> DataFrame:
+        """Elements never changed first, as they were, then changed ones by their last change."""
+        mine = applied.where(F.col("_array") == child.array)
+        newest = mine.groupBy(self.key, "_element").agg(F.max(self._at()).alias("_at"))
+        places = newest.groupBy(self.key).agg(F.map_from_entries(F.collect_list(F.struct("_element", "_at"))).alias("_places"))
+        pk = child.pk[0]
+        placed = F.transform(
+            child.array,
+            lambda e, i: F.struct(F.try_element_at("_places", e[pk].cast("string")).alias("_at"), i.alias("_i"), e.alias("_e")),
+        )
+        ordered = F.transform(F.array_sort(placed, _before), lambda x: x["_e"])
+        joined = docs.join(places, self.key, "left")
+        value = F.when(F.col("_places").isNull(), F.col(child.array)).otherwise(ordered)
+        return joined.withColumn(child.array, value).select(*docs.columns)
 
     def start(self, stream: DataFrame, checkpoint: str, trigger: Mapping[str, object] | None = None):
         writer = stream.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint)
         return writer.trigger(**(trigger or {"processingTime": "1 second"})).start()
+
+
+def _before(a: Column, b: Column) -> Column:
+    """Compares by position, nulls first, then by index."""
+    x, y = a["_at"], b["_at"]
+    first = F.when(x.isNull() & y.isNull(), 0).when(x.isNull(), -1).when(y.isNull(), 1)
+    by_place = first.when(x < y, -1).when(x > y, 1).otherwise(0)
+    return F.when(by_place != 0, by_place).otherwise(a["_i"] - b["_i"])

@@ -84,11 +84,12 @@ class KeyedTable:
         numbers = touched.select(self._bucket_of(touched.columns[0]).alias(_BUCKET)).distinct()
         return [r[0] for r in numbers.collect()]
 
-    def rows(self, wanted: list[int] | None = None) -> DataFrame:
-        """All committed rows, or only the folders of some buckets."""
-        bases = self._bases()
+    def rows(self, wanted: list[int] | None = None, before: int | None = None) -> DataFrame:
+        """All committed rows, or only the folders of some buckets, or of earlier batches."""
+        bases = {n: p for n, p in self._bases().items() if before is None or n < before}
         base = max(bases, default=None)
         later = _folders(self.spark, f"{self.path}/batch=*")
+        later = {n: p for n, p in later.items() if before is None or n < before}
         parts = [] if base is None else [self._read([bases[base]], bases[base], wanted)]
         paths = [p for n, p in sorted(later.items()) if base is None or n > base]
         if paths:
@@ -114,16 +115,19 @@ class KeyedTable:
         version = rows.groupBy(self.by).agg(F.max("batch_id").alias("batch_id"))
         return rows.join(version, [self.by, "batch_id"], "left_semi").select(*rows.columns)
 
-    def current(self, touched: DataFrame | None = None, wanted: list[int] | None = None) -> DataFrame:
+    def current(
+        self, touched: DataFrame | None = None, wanted: list[int] | None = None, before: int | None = None
+    ) -> DataFrame:
         """Newest rows, of all keys or of the document keys in ``touched``.
 
         ``wanted`` saves asking for the buckets again when several tables share ``touched``.
+        ``before`` leaves out a batch and all later ones, so that a rerun does not read its own rows.
         Restricting first is only right while every row of a key has the same document key.
         """
         if touched is None:
-            return self._newest_of(self.rows())
+            return self._newest_of(self.rows(before=before))
         mine = touched.toDF(self.by)
-        rows = self.rows(self.buckets_of(mine) if wanted is None else wanted)
+        rows = self.rows(self.buckets_of(mine) if wanted is None else wanted, before)
         return self._newest_of(rows.join(mine, self.by, "left_semi"))
 
     def compact(self) -> None:
