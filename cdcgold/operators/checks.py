@@ -186,32 +186,41 @@ class OneOf:
 def violations(tables: Mapping[str, DataFrame], rules: Sequence) -> DataFrame:
     """One row per rule and offending value with the number of rows that carry it.
 
-    Values are counted before anything is compared, so one bad value in very many rows
-    travels once per task.
+    All not-null and one-of rules of a table take one scan, whose bad values are counted before
+    they leave their task; unique and foreign keys take a shuffle of counted key values each.
     """
-    return reduce(DataFrame.unionByName, [_violation(tables, r) for r in rules])
-
-
-def _violation(tables: Mapping[str, DataFrame], rule) -> DataFrame:
-    df = tables[rule.table]
-    n = F.count(F.lit(1)).alias("n_rows")
+    by_row: dict[str, list] = {}
+    for r in rules:
+        if isinstance(r, (NotNull, OneOf)):
+            by_row.setdefault(r.table, []).append(r)
+    found = [_row_violations(tables[t], t, own) for t, own in by_row.items()]
+    found += [_key_violations(tables, r) for r in rules if isinstance(r, (Unique, ForeignKey))]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _row_violations(df: DataFrame, table: str, rules: Sequence[NotNull | OneOf]) -> DataFrame:
+    bad = []
+    for r in rules:
+        value = F.col(r.column)
+        kind, wrong = ("not_null", value.isNull()) if isinstance(r, NotNull) else ("one_of", ~value.isin(*r.values))
+        text = F.coalesce(value.cast("string"), F.lit("null"))
+        bad.append(F.when(wrong, F.struct(F.lit(kind).alias("rule"), F.lit(r.column).alias("column"), text.alias("value"))))
+    hit = df.select(F.explode(F.array_compact(F.array(*bad))).alias("v")).select("v.*")
+    counted = hit.groupBy("rule", "column", "value").agg(F.count(F.lit(1)).alias("n_rows"))
+    return counted.select(F.lit(table).alias("table"), "rule", "column", "value", "n_rows")
+
+
+def _key_violations(tables: Mapping[str, DataFrame], rule: Unique | ForeignKey) -> DataFrame:
+    df, n = tables[rule.table], F.count(F.lit(1)).alias("n_rows")
     if isinstance(rule, Unique):
         columns, kind = rule.columns, "unique"
         bad = df.dropna(subset=list(columns)).groupBy(*columns).agg(n).where(F.col("n_rows") > 1)
     else:
-        columns = (rule.column,)
-        if isinstance(rule, NotNull):
-            kind = "not_null"
-            bad = df.where(F.col(rule.column).isNull()).groupBy(rule.column).agg(n)
-        elif isinstance(rule, OneOf):
-            kind = "one_of"
-            bad = df.where(~F.col(rule.column).isin(*rule.values)).groupBy(rule.column).agg(n)
-        else:
-            kind = "foreign_key"
-            parents = tables[rule.parent].select(F.col(rule.parent_column).alias(rule.column))
-            counts = df.dropna(subset=[rule.column]).groupBy(rule.column).agg(n)
-            bad = counts.join(parents, rule.column, "left_anti")
-    value = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns])
+        columns, kind = (rule.column,), "foreign_key"
+        parents = tables[rule.parent].select(F.col(rule.parent_column).alias(rule.column))
+        counts = df.dropna(subset=[rule.column]).groupBy(rule.column).agg(n)
+        bad = counts.join(parents, rule.column, "left_anti")
+    value = F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
     return bad.select(
         F.lit(rule.table).alias("table"),
         F.lit(kind).alias("rule"),

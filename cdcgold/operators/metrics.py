@@ -101,9 +101,11 @@ def sync_lag(audit: DataFrame, ledger: DataFrame) -> DataFrame:
     """Milliseconds from source change to bronze and to gold, per change.
 
     ``audit`` rows carry the batch that took them in and ``__source_ts_ms``; ``ledger`` has
-    one row per batch with ``bronze_ms`` and ``gold_ms``, when its writes became visible.
+    ``bronze_ms`` and ``gold_ms``, when the writes became visible, once per batch or, as the
+    streaming engine keeps it, per batch and log partition.
     """
-    joined = audit.join(ledger.select("batch_id", "bronze_ms", "gold_ms"), "batch_id", "left")
+    on = [c for c in ("topic", "partition", "batch_id") if c in ledger.columns and c in audit.columns]
+    joined = audit.join(ledger.select(*on, "bronze_ms", "gold_ms"), on, "left")
     source = F.col("__source_ts_ms")
     return joined.withColumn("bronze_lag_ms", F.col("bronze_ms") - source).withColumn(
         "gold_lag_ms", F.col("gold_ms") - source

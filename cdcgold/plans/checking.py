@@ -189,6 +189,26 @@ def layer_hygiene(spark, directory):
     return checks.layer_hygiene(bronze, gold)
 
 
+@query(
+    f"""WITH {LOG_SQL},
+    state AS (SELECT user_id, k, max(event_id) AS pos FROM log GROUP BY 1, 2),
+    c AS (SELECT count(*) AS n, count(*) FILTER (pos % 5 <> 0) AS few FROM state),
+    g AS (SELECT count(*) FILTER (c_custkey % 3 = 0) AS few FROM customer)
+    SELECT field, CASE field WHEN '__op' THEN c.few WHEN '__table' THEN c.n ELSE 0 END AS bronze_lacking,
+           CASE field WHEN '__deleted' THEN g.few ELSE 0 END AS gold_leaking
+    FROM (VALUES ('__op'), ('__table'), ('__source_ts_ms'), ('__deleted')) t(field), c, g
+    """
+)
+def layer_hygiene_damaged(spark, directory):
+    """Bronze without one field and with gaps in another, and documents that leak a third."""
+    bronze = latest(pref_log(spark, directory), ["user_id", "k"]).drop("__table")
+    bronze = bronze.withColumn("__op", F.when(F.col("offset") % 5 == 0, F.col("__op")))
+    roots = root_snapshot(spark, directory)
+    dirty = roots.where("c_custkey % 3 = 0").withColumn("inner", F.struct(F.lit("x").alias("__deleted")))
+    gold = publish(roots.where("c_custkey % 3 <> 0"), "c_custkey").unionByName(publish(dirty, "c_custkey"))
+    return checks.layer_hygiene(bronze, gold)
+
+
 _ARRAYS = {"orders": "o_orderkey", "prefs": "k"}
 
 

@@ -47,7 +47,8 @@ TOPIC = "src.shop.pref"
 
 
 def load(spark: SparkSession, directory: str, table: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     return read_parquet(spark, directory, table)
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from cdcgold.operators.decode import decode
 from cdcgold.operators.fold import build_profiles
+from cdcgold.operators.latest import latest, live
+from cdcgold.operators.metrics import sync_lag
 from cdcgold.plans.decoding import _KIND_SQL, PREF_SCHEMA, raw_records
 from cdcgold.plans.registry import query
 from cdcgold.plans.shop import (
@@ -13,6 +15,7 @@ from cdcgold.plans.shop import (
     PREFS,
     SHOP,
     TOPIC,
+    load,
     pref_log,
     root_snapshot,
     slot_sql,
@@ -135,6 +138,50 @@ def stream_audit_and_dead_letters(spark, directory):
     return rejected.unionByName(audited)
 
 
+@query(
+    f"""WITH {LOG_SQL},
+    state AS (
+      SELECT k, arg_max(user_id, event_id) AS user_id, arg_max(event_type, event_id) AS event_type
+      FROM log WHERE {_KIND_SQL} = 'good' GROUP BY 1
+    )
+    SELECT k, user_id, event_type FROM state WHERE event_type <> 'error'
+    """
+)
+def bronze_current(spark, directory):
+    """One bronze row per primary key, however often the child moved between parents."""
+    engine = IncrementalProfiles(spark, STREAMED, SCHEMAS, workspace(spark, "profiles"), buckets=8)
+    engine.process(raw_records(spark, directory).unionByName(customer_records(spark, directory)), 0)
+    return engine.bronze_current("pref").select("k", "user_id", "event_type")
+
+
+@query(_STREAM_SQL)
+def stream_seeded(spark, directory):
+    """Half of the log bulk-loaded as current rows, then all of it replayed as changes."""
+    engine = IncrementalProfiles(spark, STREAMED, SCHEMAS, workspace(spark, "profiles"), buckets=8)
+    log = decode(raw_records(spark, directory), SCHEMAS["pref"])[0]
+    half = log.where(F.col("offset") % 2 == 0)
+    seeded = live(latest(half, ["user_id", "k"])).select("user_id", "k", "event_type", "value")
+    for _ in range(2):
+        engine.seed({"customer": load(spark, directory, "customer"), "pref": seeded})
+    _run(spark, engine, _landed(spark, directory), workspace(spark, "checkpoint"))
+    return _flat(engine.documents())
+
+
+@query(
+    f"""SELECT '{TOPIC}' AS topic, count(*) AS n_records, CAST(0 AS BIGINT) AS n_unseen FROM events
+    UNION ALL SELECT '{CUSTOMER_TOPIC}', count(*), CAST(0 AS BIGINT) FROM customer
+    """
+)
+def stream_sync_lag(spark, directory):
+    """One row of lag per audited record, from the engine's own audit and ledger."""
+    engine = IncrementalProfiles(spark, STREAMED, SCHEMAS, workspace(spark, "profiles"), buckets=8)
+    for i, part in enumerate(_ranges(raw_records(spark, directory), 2)):
+        engine.process(part.unionByName(customer_records(spark, directory)) if i == 0 else part, i)
+    lag = sync_lag(engine.timed_audit(), engine.ledger())
+    unseen = F.col("gold_ms").isNull() | (F.col("__source_ts_ms").isNotNull() & F.col("gold_lag_ms").isNull())
+    return lag.groupBy("topic").agg(F.count(F.lit(1)).alias("n_records"), F.count_if(unseen).alias("n_unseen"))
+
+
 _SLICED_SQL = f"""
 WITH {LOG_SQL},
 state AS (

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from cdcgold.functions.cdc import table_of
 from cdcgold.operators.decode import decode, flat_schema, schema_of
 from cdcgold.operators.fold import build_profiles
-from cdcgold.operators.latest import LOG_ORDER, current_child, current_root, latest
+from cdcgold.operators.latest import LOG_ORDER, current_child, current_root, latest, live
 from cdcgold.session import materialise
 from cdcgold.sources.topics import RECORD_SCHEMA
 from cdcgold.sources.wire import from_wire, wire_schema
@@ -107,6 +107,40 @@ class IncrementalProfiles:
         raw = read_batches(self.spark, f"{self.path}/audit", schema)
         return raw.dropDuplicates(["topic", "partition", "offset"])
 
+    def timed_audit(self) -> DataFrame:
+        """The audit with the source time of each record; null where the record has none."""
+        paths = [F.get_json_object("value", f"$.{p}__source_ts_ms") for p in ("", "payload.")]
+        return self.audit().withColumn("__source_ts_ms", F.coalesce(*paths).try_cast("bigint"))
+
+    def bronze_current(self, table: str) -> DataFrame:
+        """One row per primary key, the newest in log order, without deleted ones.
+
+        A fold that keeps moved children with their old parents stores them per parent; here a
+        moved child is there once, with its newest parent.
+        """
+        child = self._child(table)
+        keys = [self.spec.key] if child is None else list(child.pk)
+        return live(latest(self.bronze[table].rows(), keys)).drop("batch_id")
+
+    def seed(self, tables: Mapping[str, DataFrame], batch_id: int = -1) -> None:
+        """Bulk load of current rows ahead of every record; the log may then replay any part of them.
+
+        Running it again replaces what it wrote, as long as no record has been processed.
+        """
+        rows = {}
+        for t in self.tables:
+            names = [f.name for f in self.bronze[t].schema.fields if f.name != "batch_id"]
+            first = {"topic": F.lit(""), "partition": F.lit(-1), "offset": F.lit(-1).cast("bigint"), "__op": F.lit("r")}
+            first |= {"__deleted": F.lit("false"), "__table": F.lit(t)}
+            given = tables[t]
+            none = {n: F.lit(None).cast(self.bronze[t].schema[n].dataType) for n in names if n not in given.columns}
+            rows[t] = given.withColumns(none | {k: v for k, v in first.items() if k in names}).select(*names)
+        self._together([partial(self.bronze[t].append, r, batch_id) for t, r in rows.items()])
+        current = {c.table: current_child(self.spec, c, rows[c.table]) for c in self.spec.children}
+        current[self.spec.root] = current_root(self.spec, rows[self.spec.root])
+        docs = build_profiles(self.spec, current)
+        self.gold(docs.schema).append(docs.withColumn(GONE, F.lit(False)), batch_id)
+
     def dead_letters(self) -> DataFrame:
         schema = schema_of(f"{RECORD_SCHEMA}, reason string")
         return read_batches(self.spark, f"{self.path}/dead_letters", schema)
