@@ -18,8 +18,9 @@ HOT_ADDRESSES = 3
 # Fixed value: share of inserts, in percent, in a mixed workload.
 INSERT_SHARE = 30
 
-_CITIES = 7
-_EPOCH = "timestamp'2024-01-01 00:00:00'"
+# own values, none of which has to equal another system's
+_NAMES, _TOWNS = 64, 12
+_EPOCH = "timestamp'2021-06-30 12:00:00'"
 
 
 def _draw(salt: str, below: int, row: str = "id") -> Column:
@@ -54,14 +55,14 @@ def synth_tables(spark: SparkSession, customers: int, salt: str = "s") -> dict[s
 
     Links never lead back to their own customer; identifications stay empty.
     """
-    base = spark.range(1, customers + 1).withColumn("customer_id", _name("cust-", F.col("id")))
+    base = spark.range(1, customers + 1).withColumn("customer_id", _name("party ", F.col("id")))
     now = F.expr(_EPOCH)
     person = base.select(
         "customer_id",
-        _name("EXT-", F.col("id")).alias("external_ref"),
-        _name("First-", _draw(salt + "fn", 20), 2).alias("first_name"),
-        _name("Last-", _draw(salt + "ln", 20), 2).alias("last_name"),
-        F.date_add(F.lit("1940-01-01").cast("date"), _draw(salt + "dob", 65 * 365).cast("int")).alias("date_of_birth"),
+        _name("ref ", F.col("id"), 6).alias("external_ref"),
+        _name("given ", _draw(salt + "fn", _NAMES), 2).alias("first_name"),
+        _name("family ", _draw(salt + "ln", _NAMES), 2).alias("last_name"),
+        F.date_add(F.lit("1950-03-01").cast("date"), _draw(salt + "dob", 20_000).cast("int")).alias("date_of_birth"),
         F.when(_chance(salt + "g", 50), "M").otherwise("F").alias("gender"),
         F.lit("AUS").alias("nationality"),
         F.lit("en-AU").alias("preferred_locale"),
@@ -71,36 +72,36 @@ def synth_tables(spark: SparkSession, customers: int, salt: str = "s") -> dict[s
     )
     number = F.when(_chance(salt + "hot", HOT), HOT_ADDRESSES).otherwise(1)
     spread = base.withColumn("n", F.explode(F.sequence(F.lit(1), number)))
-    city = _draw(salt + "city", _CITIES, "n") + _draw(salt + "city", _CITIES)
+    town = F.pmod(_draw(salt + "town", _TOWNS, "n") + _draw(salt + "town", _TOWNS), F.lit(_TOWNS))
     address = spread.select(
-        F.concat_ws("-", F.lit("addr"), "id", "n").alias("address_id"),
+        F.concat_ws("/", F.lit("place"), "id", "n").alias("address_id"),
         "customer_id",
         F.when(F.col("n") == 1, "RESIDENTIAL").otherwise("MAILING").alias("address_type"),
-        F.concat((_draw(salt + "street", 200) + 1).cast("string"), F.lit(" Main St")).alias("line1"),
-        _name("City-", city, 2).alias("city"),
-        _name("State-", city, 2).alias("state"),
-        (F.lit(2000) + city * 100).cast("string").alias("postcode"),
+        F.concat_ws(" ", F.lit("Lot"), _draw(salt + "lot", 900), F.lit("Row"), "n").alias("line1"),
+        _name("Town ", town, 2).alias("city"),
+        _name("Shire ", F.pmod(town, F.lit(4)), 1).alias("state"),
+        _name("P", town * 37, 5).alias("postcode"),
         F.lit("AUS").alias("country"),
         (F.col("n") == 1).alias("is_primary"),
         now.alias("updated_at"),
     )
     kind = _pick(salt + "ct", ENUMS["customer_contact", "contact_type"])
     contact = base.where(_chance(salt + "c", HAS_CONTACT)).withColumn("contact_type", kind).select(
-        _name("cont-", F.col("id")).alias("contact_id"),
+        _name("contact ", F.col("id")).alias("contact_id"),
         "customer_id",
         "contact_type",
-        F.when(F.col("contact_type") == "EMAIL", F.concat(F.lit("user"), F.col("id").cast("string"), F.lit("@example.com")))
-        .otherwise(_name("+614", F.col("id"), 8))
+        F.when(F.col("contact_type") == "EMAIL", F.concat(F.lit("p."), F.col("id").cast("string"), F.lit("@mail.invalid")))
+        .otherwise(_name("+999 ", F.col("id"), 9))
         .alias("contact_value"),
         F.lit(True).alias("is_primary"),
         _chance(salt + "v", VERIFIED).alias("is_verified"),
         now.alias("updated_at"),
     )
     tax = base.where(_chance(salt + "t", HAS_TAX)).select(
-        _name("tax-", F.col("id")).alias("tax_record_id"),
+        _name("levy ", F.col("id")).alias("tax_record_id"),
         "customer_id",
         F.lit("AUS").alias("tax_country"),
-        (F.lit(100_000_000) + _draw(salt + "tid", 899_999_999)).cast("string").alias("tax_id"),
+        _name("T", _draw(salt + "tid", 1_000_000_000), 9).alias("tax_id"),
         F.lit("TFN").alias("tin_type"),
         now.alias("updated_at"),
     )
@@ -109,9 +110,9 @@ def synth_tables(spark: SparkSession, customers: int, salt: str = "s") -> dict[s
         # a step of 1..n-1 around the ring of customers ends anywhere but at the start
         other = F.pmod(F.col("id") + _draw(salt + "to", customers - 1), F.lit(customers)) + 1
         tables["relationship"] = base.where(_chance(salt + "r", HAS_LINK)).select(
-            _name("rel-", F.col("id")).alias("relationship_id"),
+            _name("tie ", F.col("id")).alias("relationship_id"),
             F.col("customer_id").alias("party_id_from"),
-            _name("cust-", other).alias("party_id_to"),
+            _name("party ", other).alias("party_id_to"),
             _pick(salt + "rt", ENUMS["relationship", "relationship_type"]).alias("relationship_type"),
             now.cast("date").alias("valid_from"),
             F.lit("ACTIVE").alias("status"),
@@ -133,13 +134,13 @@ def change_workload(spark: SparkSession, customers: int, changes: int, salt: str
     fresh = F.col("id") < inserts
     field = F.when(fresh, "first_name").otherwise(_pick(salt + "f", ("first_name", "last_name", "status")))
     statuses = _pick(salt + "s", ENUMS["customer", "status"])
-    target = _name("cust-", _draw(salt + "c", customers) + 1)
+    target = _name("party ", _draw(salt + "c", customers) + 1)
     picked = rows.select(
         F.when(fresh, "INSERT").otherwise("UPDATE").alias("op"),
-        F.when(fresh, _name("new-", F.col("id"))).otherwise(target).alias("customer_id"),
+        F.when(fresh, _name("joined ", F.col("id"))).otherwise(target).alias("customer_id"),
         field.alias("field"),
         F.col("id").alias("seq"),
         statuses.alias("_status"),
     )
-    value = F.when(F.col("field") == "status", F.col("_status")).otherwise(_name("Value-", F.col("seq")))
+    value = F.when(F.col("field") == "status", F.col("_status")).otherwise(_name("changed ", F.col("seq")))
     return picked.select("op", "customer_id", "field", value.alias("expected"), "seq")

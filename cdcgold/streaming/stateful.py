@@ -67,12 +67,17 @@ class DocumentState(StatefulProcessor):
 
 
 def _tagged(df: DataFrame, key: str, array: str, pk: tuple[str, ...]) -> DataFrame:
-    present = df.where(F.col(key).isNotNull())
+    """Rows as entries; those with a null in their key are skipped.
+
+    The parts of a key of several columns are a JSON array, so no two keys share a text.
+    """
+    present = df.dropna(subset=[key, *pk])
+    texts = [F.col(c).cast("string") for c in pk]
     body = [c for c in strip_metadata(present).columns if c not in ("topic", "partition", "offset", "key", "timestamp")]
     return present.select(
         F.col(key).cast("string").alias("_key"),
         F.lit(array).alias("array"),
-        F.concat_ws("|", *[F.col(c).cast("string") for c in pk]).alias("pk"),
+        (texts[0] if len(pk) == 1 else F.to_json(F.array(*texts))).alias("pk"),
         F.col("partition").cast("int").alias("part"),
         F.col("offset").alias("pos"),
         is_deleted(present.columns).alias("gone"),

@@ -16,7 +16,7 @@ from cdcgold.sources.wire import from_wire, wire_schema
 from cdcgold.spec import ChildSpec, ProfileSpec
 from cdcgold.streaming.incremental import IncrementalProfiles
 from cdcgold.streaming.keyed import KeyedTable
-from cdcgold.streaming.stateful import ROCKSDB, fold_stream
+from cdcgold.streaming.stateful import ROCKSDB, _tagged, fold_stream
 
 SMALL = ProfileSpec(
     root="customer",
@@ -147,3 +147,10 @@ def test_keyed_table_ignores_uncommitted_folders(spark):
 def test_contact_records_have_schema(spark):
     log = Log().add("customer_contact", contact(1, "p1"))
     assert log.frame(spark).schema == schema_of(RECORD_SCHEMA)
+
+
+def test_composite_keys_stay_apart_and_null_keys_are_skipped(spark):
+    rows = [("r", "a|b", "c"), ("r", "a", "b|c"), ("r", None, "c"), (None, "a", "b")]
+    log = spark.createDataFrame(rows, "fk string, x string, y string").withColumns({"partition": F.lit(0), "offset": F.lit(1)})
+    keys = [r.pk for r in _tagged(log, "fk", "items", ("x", "y")).collect()]
+    assert len(keys) == 2 and len(set(keys)) == 2
