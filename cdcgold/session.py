@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 _LOCAL_BASE: dict[str, str] = {}
+# Folders of the scratch blocks that are open, innermost last.
+_SCRATCH: list[list[str]] = []
 
 
 def session(app: str = "cdcgold", master: str | None = None, **conf) -> SparkSession:
@@ -46,7 +48,10 @@ def workspace(spark: SparkSession, name: str) -> str:
         if app not in _LOCAL_BASE:
             _LOCAL_BASE[app] = tempfile.mkdtemp(prefix="cdcgold-")
         base = _LOCAL_BASE[app]
-    return f"{base.rstrip('/')}/cdcgold-{app}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base.rstrip('/')}/cdcgold-{app}/{name}-{uuid.uuid4().hex[:12]}"
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    return path
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -65,6 +70,32 @@ def materialise_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     return df.sparkSession.read.schema(df.schema).parquet(path), rows.get["n"]
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A block whose folders are removed at its end.
+
+    It gives a function that writes a table which outlives the block, for its result: a
+    result that still reads a removed folder would fail.
+    """
+    own: list[str] = []
+    _SCRATCH.append(own)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        _SCRATCH.remove(own)
+        try:
+            return materialise(df, name)
+        finally:
+            _SCRATCH.append(own)
+
+    try:
+        yield keep
+    finally:
+        _SCRATCH.remove(own)
+        for path in own:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @contextmanager
 def settings(spark: SparkSession, values: Mapping[str, str]) -> Iterator[None]:
     """Session settings for the time of a block."""

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from cdcgold.operators.changes import only, patch_arrays
 from cdcgold.operators.latest import latest
 from cdcgold.operators.merge import patch_upsert, soft_delete
-from cdcgold.session import materialise
+from cdcgold.session import materialise, scratch
 from cdcgold.spec import ChildSpec
 from cdcgold.streaming.keyed import KeyedTable
 
@@ -61,9 +61,10 @@ class ChangeApplier:
     def process(self, batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            docs, applied = self._patched(batch, batch_id)
-            self.applied.append(applied, batch_id)
-            self.docs.append(docs, batch_id)
+            with scratch(self.docs.spark):
+                docs, applied = self._patched(batch, batch_id)
+                self.applied.append(applied, batch_id)
+                self.docs.append(docs, batch_id)
         finally:
             batch.unpersist()
 

@@ -20,7 +20,7 @@ from cdcgold.functions.cdc import table_of
 from cdcgold.operators.decode import decode, flat_schema, schema_of
 from cdcgold.operators.fold import build_profiles
 from cdcgold.operators.latest import LOG_ORDER, current_child, current_root, latest, live
-from cdcgold.session import materialise
+from cdcgold.session import materialise, scratch
 from cdcgold.sources.topics import RECORD_SCHEMA
 from cdcgold.sources.wire import from_wire, wire_schema
 from cdcgold.spec import ChildSpec, ProfileSpec
@@ -199,6 +199,10 @@ class IncrementalProfiles:
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """Apply one micro-batch; running it again with the same id gives the same tables."""
+        with scratch(self.spark):
+            self._process(batch, batch_id)
+
+    def _process(self, batch: DataFrame, batch_id: int) -> None:
         stamped = batch.select(*_RECORD, F.current_timestamp().alias("ingested_at"))
         stamped = stamped.withColumn("table", F.coalesce(table_of("topic"), F.lit("")))
         raw = write_batch(stamped, f"{self.path}/audit", batch_id, by=["table"])

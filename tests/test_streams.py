@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cdcgold.functions.cdc import table_of
 from cdcgold.operators.decode import decode, schema_of
 from cdcgold.operators.fold import profiles_from_logs
-from cdcgold.session import settings, workspace
+from cdcgold.session import materialise, scratch, settings, workspace
 from cdcgold.sources import party
 from cdcgold.sources.topics import RECORD_SCHEMA, stream_files
 from cdcgold.sources.wire import from_wire, wire_schema
@@ -154,3 +154,13 @@ def test_composite_keys_stay_apart_and_null_keys_are_skipped(spark):
     log = spark.createDataFrame(rows, "fk string, x string, y string").withColumns({"partition": F.lit(0), "offset": F.lit(1)})
     keys = [r.pk for r in _tagged(log, "fk", "items", ("x", "y")).collect()]
     assert len(keys) == 2 and len(set(keys)) == 2
+
+
+def test_scratch_folders_go_and_the_result_stays(spark):
+    with scratch(spark) as keep:
+        inner = materialise(spark.range(5), "inner")
+        files = inner.inputFiles()
+        out = keep(inner.selectExpr("id + 1 AS id"), "out")
+    assert sorted(r.id for r in out.collect()) == [1, 2, 3, 4, 5]
+    with pytest.raises(Exception):
+        spark.read.parquet(*files).count()
