@@ -90,18 +90,15 @@ def measured(docs: DataFrame, keep: list[str], text: str, source: str, lang: str
 def _shares(cells: DataFrame, column: str, target: Target) -> DataFrame:
     """(value, share): the target share of each value that occurs, adding up to 1."""
     natural = cells.groupBy(column).agg(F.sum("tokens").alias("n"))
+    want = F.pow("n", F.lit(float(target))) if not isinstance(target, Mapping) else F.lit(None).cast("double")
     if isinstance(target, Mapping):
-        total = cells.agg(F.sum("tokens").alias("total"))
-        # a table of one row
-        natural = natural.join(F.broadcast(total), F.lit(True)).withColumn("n", F.col("n") / F.col("total"))
-        value = F.lit(None).cast("double")
         for k, v in target.items():
-            value = F.when(F.col(column) == (f"={k}" if column != TOPIC else k), F.lit(float(v))).otherwise(value)
-        wanted = natural.select(column, F.coalesce(value, "n").alias("want"))
-    else:
-        wanted = natural.select(column, F.pow("n", F.lit(float(target))).alias("want"))
-    total = wanted.agg(F.sum("want").alias("all"))
-    return wanted.join(F.broadcast(total), F.lit(True)).select(column, (F.col("want") / F.col("all")).alias("share"))
+            want = F.when(F.col(column) == (f"={k}" if column != TOPIC else k), F.lit(float(v))).otherwise(want)
+        total = cells.agg(F.sum("tokens")).first()[0] or 1
+        want = F.coalesce(want, F.col("n") / F.lit(float(total)))
+    wanted = natural.select(column, want.alias("want"))
+    whole = wanted.agg(F.sum("want")).first()[0] or 1.0
+    return wanted.select(column, (F.col("want") / F.lit(float(whole))).alias("share"))
 
 
 def rake(cells: DataFrame, targets: Mapping[str, Target], sweeps: int = SWEEPS) -> DataFrame:

@@ -4,7 +4,8 @@ Links are given by hubs: documents of one hub, here of one text, are linked to e
 hub of n documents is n rows and not n * n links.  Every round counts each hub's documents by
 shard, sums the counts of a document's hubs to votes, and lets documents move to the shard with
 most votes, as many from a to b as from b to a, and more as far as b has room; where more want to
-move than may, those with most to gain go first, by a table of demand by gain.  Documents without links fill the shards up.
+move than may, those with most to gain go first, by a table of demand by gain.  In every other round
+full shards are no aim, so that their would-be members gather where there is room.  Documents without links fill the shards up.
 
 The law is `rows`: counts of any two shards differ by one at most.  A hub larger than a shard is
 spread over shards, as it must be.
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from cdcgold.llm.ranks import numbered
 from cdcgold.session import materialise, materialise_counted
 
-ROUNDS = 8
+ROUNDS = 12
 #: Propagation ends when less than this share of the linked documents moves.
 STILL = 0.001
 
@@ -49,8 +50,10 @@ def propagate(members: DataFrame, shards: int, room: int, rounds: int = ROUNDS)
     labels, n = materialise_counted(nodes.select("node", "hub", start.alias("shard")), "labels")
     if not n:
         return labels
-    each = range(shards)
+    each, quiet = range(shards), 0
     for turn in range(rounds):
+        load = {r[0]: r[1] for r in labels.groupBy("shard").count().collect()}  # a row a shard
+        free = {k: room - load.get(k, 0) for k in each}
         counts = (
             members.join(labels.select("node", "shard"), "node")
             .groupBy("hub")
@@ -59,8 +62,12 @@ def propagate(members: DataFrame, shards: int, room: int, rounds: int = ROUNDS)
         votes = members.join(counts, "hub").groupBy("node").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in each])
         here = labels.join(votes, "node")
         # a shard that a hub fills alone takes no more of it, so the next best is sought
+        closed = [k for k in each if turn % 2 and free[k] <= 0]
         open_ = [
-            F.when((F.col(f"c{k}") < 0.98 * room) | (F.col("shard") == k), F.col(f"c{k}")).otherwise(-1) for k in each
+            F.when(
+                ((F.col(f"c{k}") < 0.98 * room) & F.lit(k not in closed)) | (F.col("shard") == k), F.col(f"c{k}")
+            ).otherwise(-1)
+            for k in each
         ]
         own = F.element_at(F.array(*[F.col(f"c{k}") for k in each]), F.col("shard") + 1)
         here = here.withColumn("to", _argmax(open_, F.col("hub")))
@@ -70,11 +77,13 @@ def propagate(members: DataFrame, shards: int, room: int, rounds: int = ROUNDS)
         here = materialise(
             here.select("node", "hub", "shard", "to", step.alias("step"), wish.alias("wish")), "wishes"
         )
-        load = {r[0]: r[1] for r in here.groupBy("shard").count().collect()}  # a row a shard
         demand = here.filter("wish").groupBy("shard", "to", "step").count().collect()  # some forty rows a pair of shards
-        part, moved = _quotas(demand, {k: room - load.get(k, 0) for k in each})
-        if not part:
+        part, moved = _quotas(demand, free)
+        quiet = quiet + 1 if moved < STILL * n else 0
+        if quiet == 2:
             break
+        if not part:
+            continue
         share = F.create_map(*[x for (a, b, s), p in part.items() for x in (F.lit((a * shards + b) * 64 + s), F.lit(p))])
         wanted = (F.col("shard") * shards + F.col("to")) * 64 + F.col("step")
         chance = F.coalesce(F.try_element_at(share, wanted), F.lit(0.0))
@@ -85,8 +94,6 @@ def propagate(members: DataFrame, shards: int, room: int, rounds: int = ROUNDS)
         labels, _ = materialise_counted(
             here.select("node", "hub", F.when(go, F.col("to")).otherwise(F.col("shard")).alias("shard")), "labels"
         )
-        if moved < STILL * n:
-            break
     return labels
 
 
@@ -132,7 +139,9 @@ def assign(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shards:
     labels = propagate(members, shards, n // shards)
 
     quota = [n // shards + (k < n % shards) for k in range(shards)]
-    placed = materialise(numbered(labels, "shard", ["hub", "node"], "slot"), "placed")
+    # what is beyond a shard's quota is taken from its largest hubs
+    sized = labels.join(shared.select(F.col("first").alias("hub"), "n"), "hub")
+    placed = materialise(numbered(sized, "shard", ["n", "hub", "node"], "slot"), "placed")
     limit = F.element_at(F.array(*[F.lit(q) for q in quota]), F.col("shard") + 1)
     placed = placed.filter(F.col("slot") < limit).select("node", "shard", "slot")
     has = {r[0]: r[1] for r in placed.groupBy("shard").count().collect()}  # a row a shard

@@ -69,6 +69,8 @@ def near_copies(seed: int = 1) -> list[tuple]:
             texts.append(" ".join(chain))
     texts += [" ".join(prose(rnd.randrange(5, 30)) + passage + prose(rnd.randrange(5, 30))) for _ in range(25)]
     texts += [" ".join(passage)] * 4 + [" ".join(passage).upper(), " ".join(["same"] * 500), "same " * 300]
+    long = prose(12_000)
+    texts += [" ".join(long), " ".join([*long[:4000], "changed", *long[4000:]])]
     rows = [(i * 3, t, "en", "s", None, "x", None, None) for i, t in enumerate(texts)]
     rnd.shuffle(rows)
     return rows
