@@ -27,9 +27,10 @@ def _ranges(counted: DataFrame, group: list[str]) -> DataFrame:
     """
     cuts = [i / RANGES for i in range(1, RANGES)]
     bounds = counted.groupBy(*group).agg(F.percentile_approx("_v", cuts, 10 * RANGES).alias("_bounds"))
-    both = counted.join(bounds, group) if group else counted.join(F.broadcast(bounds))  # one row
+    one = F.lit(1).alias("_one")
+    both = counted.select("*", one).join(bounds.select("*", one), [*group, "_one"])
     below = F.size(F.filter("_bounds", lambda b: b < F.col("_v")))
-    return both.withColumn("_range", below).drop("_bounds")
+    return both.withColumn("_range", below).drop("_bounds", "_one")
 
 
 def nearest_rank(
