@@ -9,14 +9,19 @@ tokens themselves and the pairs of frequent tokens within a class.  The number o
 the set's size level, so classes stay small however large the set is; a set is indexed under its
 own level and the one below, as linked sets are at most one level apart.
 
+A signature's place is the weight of the prefix that it completes, less one.  Two sets of n and m
+tokens must share a signature whose places are within the slack that this very pair has, so every
+signature bounds the size of a partner (`reach`), and pairs beyond it are never made.
+
 Frequent tokens are those that take a share `1 / TOP` or more of some chunk of token occurrences:
-all chunks of all documents are counted, and a list of at most `2 * TOP` tokens can result, which
-is the proven bound of what is broadcast.
+all chunks of all documents are counted, and a list of at most `TOP` tokens can result, which is
+the proven bound of what is broadcast.
 
 Equal sets are one class from the start.  Sets that share a signature form a bucket.  Not all its
-pairs are compared: first each set with the bucket's lowest one, and after the links found have
-been contracted to components, the pairs of sets of different components that are left, so a
-group of n near copies costs about n comparisons while no link between components is missed.
+pairs are compared: first each set with the bucket's centre, which has the signature earliest, and
+after the links found have been contracted to components, the pairs of sets of different components
+that are left, so a group of n near copies costs about n comparisons while no link between
+components is missed.
 
 Candidates are thinned out by bit maps: a set's map has the parity of its tokens at each of about
 n places, two maps differ in no more places than the sets in tokens, and so a pair whose maps
@@ -40,13 +45,13 @@ from pyspark.sql import functions as F
 
 from cdcgold.llm.components import components
 from cdcgold.llm.text import U, mix, slices, windows, words
-from cdcgold.session import materialise
+from cdcgold.session import materialise, scratch
 
 SHINGLE = 5
 #: A link needs 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Tokens with at least this share of a chunk's occurrences are frequent.
-TOP = 1 << 20
+TOP = 1 << 22
 CHUNK = 1 << 22
 #: Below this many occurrences no token is frequent.
 LEAST = 8
@@ -156,48 +161,56 @@ def level(n: int) -> int:
     return int(np.floor(np.log(n) / np.log(LEVEL_BASE) + 1e-9))
 
 
-def signatures(own: np.ndarray, top: np.ndarray, place: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The signatures of a set of two tokens or more; smaller sets link with equal ones only."""
+def signatures(
+    own: np.ndarray, top: np.ndarray, place: np.ndarray, percent: int = PERCENT
+) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of a set of two tokens or more, and their places.
+
+    Smaller sets link with equal ones only.
+    """
     n = len(own)
     need = n + percent * n // -100 + 1  # slack + 1
     at = np.minimum(np.searchsorted(top, own), len(top) - 1) if len(top) else None
     often = top[at] == own if at is not None else np.zeros(n, bool)
-    rare = own[~often]
-    if len(rare) >= need:
-        return rare[:need]
+    rare = own[~often][:need]
+    if len(rare) == need:
+        return rare, np.arange(need)
     tokens = own[often][np.argsort(place[at[often]])]
-    out = [rare]
+    out, places = [rare], [np.arange(len(rare))]
     for lvl in (level(n), level(n) - 1):
         classes = U(max(1, int(LEVEL_BASE**lvl / CLASS_SIZE)))
         deal = mix(tokens ^ U(lvl + 1)) % classes
         by = np.argsort(deal, kind="stable")
         again = np.zeros(len(tokens), bool)
         again[by[1:]] = deal[by[1:]] == deal[by[:-1]]
-        end = int(np.searchsorted(np.cumsum(again), need - len(rare))) + 1
-        by = by[by < end]
-        deal, prefix = deal[by], tokens[by]
+        weight = len(rare) + np.cumsum(again)
+        by = by[by <= int(np.searchsorted(weight, need))]
+        deal, prefix, weight = deal[by], tokens[by], weight[by]
         step = 1
         while step < len(by) and (same := deal[step:] == deal[:-step]).any():
             a, b = prefix[:-step][same], prefix[step:][same]
             out.append(mix(mix(np.minimum(a, b) + U(lvl + 2)) + np.maximum(a, b)))
+            places.append(weight[step:][same] - 1)  # the later token of a pair completes it
             step += 1
-    return np.unique(np.concatenate(out))
+    return np.concatenate(out), np.concatenate(places)
 
 
 def _index(docs: DataFrame, text: str, k: int, percent: int, top: Broadcast) -> DataFrame:
-    """The signatures of every document, as one array each."""
+    """The set size, and the signatures and their places, of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text):
             own = sets(part.column(text), k)
-            sig = [signatures(s, *top.value, percent) if len(s) > 1 else s[:0] for s in own]
-            first = np.concatenate([[0], np.cumsum([len(s) for s in sig])])
-            flat = np.concatenate(sig).view(np.int64)
-            rows = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), rows], ["doc_id", "sigs"])
+            made = [signatures(s, *top.value, percent) if len(s) > 1 else (s[:0], np.zeros(0, np.int64)) for s in own]
+            first = pa.array(np.concatenate([[0], np.cumsum([len(s) for s, _ in made])]), pa.int32())
+            sig = np.concatenate([s for s, _ in made]).view(np.int64)
+            place = np.concatenate([p for _, p in made]).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(first, pa.array(x)) for x in (sig, place)]
+            n = pa.array([len(s) for s in own], pa.int32())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), n, *lists], ["doc_id", "n", "sig", "place"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, sigs array<long>")
+    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, n int, sig array<long>, place array<int>")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, text: str, k: int, percent: int) -> DataFrame:
@@ -229,38 +242,47 @@ def _in_components(df: DataFrame, column: str, found: DataFrame, to: str) -> Dat
     return df.join(other, column, "left").withColumn(to, F.coalesce(to, column))
 
 
-def _left_over(members: DataFrame, sizes: DataFrame, tried: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+def _left_over(members: DataFrame, tried: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs of one bucket and of different components that have not been compared yet.
 
-    Only buckets with three sets or more in which some comparison failed can have such pairs.
+    Only in buckets with three sets or more can there be such pairs, if they have more than one
+    component.
     """
-    apart = _in_components(_in_components(tried, "a", found, "ca"), "b", found, "cb").filter("ca <> cb")
-    open_ = members.join(apart.select(F.col("a").alias("low"), F.col("b").alias("doc")), ["low", "doc"])
-    rows = members.join(open_.select("sig").distinct(), "sig").select("sig", "doc")
-    rows = _in_components(rows, "doc", found, "comp").join(sizes.select("doc", "n"), "doc")
-    rows = materialise(rows.select("sig", "doc", "comp", "n"), "buckets")
-    kinds = rows.groupBy("sig", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    close = (F.col("hi_a") * 100 >= F.col("lo_b") * percent) & (F.col("hi_b") * 100 >= F.col("lo_a") * percent)
+    rows = members.join(members.groupBy("sig").count().filter("count > 2").select("sig"), "sig")
+    rows = _in_components(rows, "doc", found, "comp")
+    split = rows.groupBy("sig").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b")
+    rows = rows.join(split.select("sig"), "sig").select("sig", "doc", "comp", "n", "reach")
+    rows = materialise(rows, "buckets")
+    kinds = rows.groupBy("sig", "comp").agg(F.min("n").alias("n"), F.max("reach").alias("reach"))
     kinds = (
-        kinds.toDF("sig", "comp_a", "lo_a", "hi_a")
-        .join(kinds.toDF("sig", "comp_b", "lo_b", "hi_b"), "sig")
-        .filter((F.col("comp_a") < F.col("comp_b")) & close)
+        kinds.toDF("sig", "comp_a", "n_a", "reach_a")
+        .join(kinds.toDF("sig", "comp_b", "n_b", "reach_b"), "sig")
+        .filter(f"comp_a < comp_b and {_IN_REACH}")
     )
     pairs = (
         kinds.select("sig", "comp_a", "comp_b")
-        .join(rows.toDF("sig", "a", "comp_a", "n_a"), ["sig", "comp_a"])
-        .join(rows.toDF("sig", "b", "comp_b", "n_b"), ["sig", "comp_b"])
-        .filter("100 * least(n_a, n_b) >= {0} * greatest(n_a, n_b)".format(percent))
+        .join(rows.toDF("sig", "a", "comp_a", "n_a", "reach_a"), ["sig", "comp_a"])
+        .join(rows.toDF("sig", "b", "comp_b", "n_b", "reach_b"), ["sig", "comp_b"])
+        .filter(_IN_REACH)
     )
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return pairs.join(tried, ["a", "b"], "left_anti")
 
 
+#: Both sizes are within what the shared signature allows.
+_IN_REACH = "n_a <= reach_b and n_b <= reach_a"
+
+
 def link_groups(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = SHINGLE, percent: int = PERCENT
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    with scratch(docs.sparkSession) as keep:
+        return keep(_linked(docs, k, percent), "groups")
+
+
+def _linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     facts = materialise(_facts(docs, "text", k), "shingle-facts")
     top = docs.sparkSession.sparkContext.broadcast(frequent(facts))
 
@@ -273,20 +295,29 @@ def link_groups(
     copies = copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     sizes = materialise(classes.filter("n > 1").select(F.col("rep").alias("doc"), "n", "bits"), "sets")
 
-    index = _index(docs, "text", k, percent, top).filter("doc_id is not null and size(sigs) > 0")
-    index = index.withColumnRenamed("doc_id", "doc").join(sizes, "doc", "left_semi")
-    index = materialise(index, "signatures").select("doc", F.explode("sigs").alias("sig"))
-    buckets = index.groupBy("sig").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
-    members = index.join(buckets.filter("low <> high").select("sig", "low"), "sig")
-    members = materialise(members.select("sig", "low", "doc"), "members")
-
-    first = members.filter("low <> doc").select(F.col("low").alias("a"), F.col("doc").alias("b")).distinct()
-    first = materialise(first, "candidates")
+    index = _index(docs, "text", k, percent, top).filter("doc_id is not null and size(sig) > 0")
+    index = index.withColumnRenamed("doc_id", "doc").join(sizes.select("doc"), "doc", "left_semi")
+    index = materialise(index, "signatures")
+    index = index.select("doc", "n", F.explode(F.arrays_zip("sig", "place")).alias("x")).select("doc", "n", "x.*")
+    # the early ones first, ties by a hash
+    index = index.withColumn(
+        "rank", F.floor(F.col("place").cast("long") * (1 << 20) / F.col("n")) * (1 << 40) + F.pmod(F.xxhash64("doc"), F.lit(1 << 40))
+    )
+    buckets = index.groupBy("sig").agg(F.min("rank").alias("centre"), F.count(F.lit(1)).alias("m"), F.min("n").alias("least"))
+    reach = F.floor((F.col("n") - F.col("place")) * ((100 + percent) / percent) + 1e-6).cast("int") - F.col("n")
+    members = index.join(buckets.filter("m > 1").select("sig", "centre", "least"), "sig").withColumn("reach", reach)
+    members = members.filter("reach >= least")
+    members = materialise(members.select("sig", "doc", "n", "reach", (F.col("rank") == F.col("centre")).alias("centre")), "members")
+
+    centres = members.filter("centre").select("sig", F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("reach").alias("reach_a"))
+    rest = members.select("sig", F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("reach").alias("reach_b"))
+    first = centres.join(rest, "sig").filter(f"a <> b and {_IN_REACH}")
+    first = materialise(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
     near = materialise(_near(first, sizes, percent), "near")
     links = materialise(_verified(near, docs, "text", k, percent), "verified")
     found = materialise(components(links, "a", "b"), "components")
 
-    rest = materialise(_near(_left_over(members, sizes, first, found, percent), sizes, percent), "left-over")
+    rest = materialise(_near(_left_over(members, first, found), sizes, percent), "left-over")
     links = links.union(_verified(rest, docs, "text", k, percent)).union(copies)
     found = components(links, "a", "b")
     out = _in_components(rows.withColumnRenamed("n", "n_shingles"), "doc_id", found, "component_id")
