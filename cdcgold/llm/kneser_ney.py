@@ -38,8 +38,9 @@ from cdcgold.llm.text import U, mix, noise, slices, words
 from cdcgold.session import materialise, workspace
 
 START, END = (int(x) for x in noise(2, 9))
-#: Tokens counted at a time.
+#: Pairs counted at a time; and tokens whose pairs are looked up at a time, which takes more memory.
 CHUNK = 1 << 22
+LOOK_UP = 1 << 19
 #: Training tokens to a shard.
 SHARD = 1 << 20
 SCORE_BYTES = 4 << 20
@@ -80,13 +81,13 @@ def _grouped(key: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarr
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Words and the words before them, about `CHUNK` at a time."""
+    """Words and the words before them, about `LOOK_UP` at a time."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
     for part in slices(batches, text):
         held.append(tokens(part.column(text))[:2])
         size += len(held[-1][0])
-        if size >= CHUNK:
+        if size >= LOOK_UP:
             yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
             held, size = [], 0
     if held:
@@ -103,14 +104,27 @@ def _pairs(docs: DataFrame, text: str, shards: int) -> DataFrame:
     """A row per chunk and shard: the chunk's pairs and their counts, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for word, before in _chunks(batches, text):
-            key, n = _grouped(pair_key(before, word))
-            edge = np.searchsorted(_shard_of(key, shards), np.arange(shards + 1))
-            rows = [(i, key[a:b].tobytes(), n[a:b].astype(np.uint32).tobytes()) for i, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a]
-            shard, keys, counts = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(shard, pa.int32()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], ["shard", "keys", "counts"]
-            )
+        held, size = [], 0
+        for part in slices(batches, text):
+            word, before, _ = tokens(part.column(text))
+            held.append(pair_key(before, word))
+            size += len(word)
+            if size >= CHUNK:
+                yield packed(np.concatenate(held))
+                held, size = [], 0
+        if held:
+            yield packed(np.concatenate(held))
+
+    def packed(keys: np.ndarray) -> pa.RecordBatch:
+        key, n = _grouped(keys)
+        edge = np.searchsorted(_shard_of(key, shards), np.arange(shards + 1))
+        spans = [(i, a, b) for i, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a]
+        columns = [
+            pa.array([i for i, _, _ in spans], pa.int32()),
+            pa.array([key[a:b].tobytes() for _, a, b in spans], pa.binary()),
+            pa.array([n[a:b].astype(np.uint32).tobytes() for _, a, b in spans], pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["shard", "keys", "counts"])
 
     return docs.select(text).mapInArrow(run, "shard int, keys binary, counts binary")
 
