@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Mapping
@@ -70,6 +71,15 @@ def materialise_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     return df.sparkSession.read.schema(df.schema).parquet(path), rows.get["n"]
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of DataFrames that nothing refers to any more.
+
+    It does so whenever the driver's garbage is collected, which may be long after.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """A block whose folders are removed at its end.
@@ -94,6 +104,7 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
         for path in own:
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        release(spark)
 
 
 @contextmanager
