@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from cdcgold.llm.components import components
 from cdcgold.llm.text import U, mix, slices, windows, words
-from cdcgold.session import materialise, scratch
+from cdcgold.session import materialise, release, scratch
 
 SHINGLE = 5
 #: A link needs 100 * intersection >= PERCENT * union.
@@ -213,9 +213,25 @@ def _index(docs: DataFrame, text: str, k: int, percent: int, top: Broadcast) ->
     return docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, n int, sig array<long>, place array<int>")
 
 
+#: Places of the table that tells which documents are needed.
+WANTED = 1 << 22
+
+
+def _wanted(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of documents in pairs, and some others, without a shuffle of all texts.
+
+    Ids are hashed to `WANTED` places, so what is broadcast has that many rows at most; where
+    nearly all places are taken, nearly all rows pass, and the joins that follow decide.
+    """
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    places = materialise(ids.select(F.pmod(F.xxhash64("id"), F.lit(WANTED)).cast("int").alias("_place")).distinct(), "wanted")
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(WANTED)).cast("int")
+    return texts.withColumn("_place", place).join(F.broadcast(places), "_place", "left_semi").drop("_place")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, text: str, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose texts link, compared on the whole sets."""
-    texts = docs.select(F.col("doc_id"), F.col(text).alias("text"))
+    texts = _wanted(docs.select(F.col("doc_id"), F.col(text).alias("text")), pairs)
     both = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,9 +275,12 @@ def _left_over(members: DataFrame, tried: DataFrame, found: DataFrame) -> DataFr
         .join(kinds.toDF("sig", "comp_b", "n_b", "reach_b"), "sig")
         .filter(f"comp_a < comp_b and {_IN_REACH}")
     )
+    # a set goes on only if some set of the other component is within reach
     pairs = (
-        kinds.select("sig", "comp_a", "comp_b")
+        kinds.select("sig", "comp_a", "comp_b", "n_b", "reach_b")
         .join(rows.toDF("sig", "a", "comp_a", "n_a", "reach_a"), ["sig", "comp_a"])
+        .filter(_IN_REACH)
+        .drop("n_b", "reach_b")
         .join(rows.toDF("sig", "b", "comp_b", "n_b", "reach_b"), ["sig", "comp_b"])
         .filter(_IN_REACH)
     )
@@ -296,9 +315,7 @@ def _linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     sizes = materialise(classes.filter("n > 1").select(F.col("rep").alias("doc"), "n", "bits"), "sets")
 
     index = _index(docs, "text", k, percent, top).filter("doc_id is not null and size(sig) > 0")
-    index = index.withColumnRenamed("doc_id", "doc").join(sizes.select("doc"), "doc", "left_semi")
-    index = materialise(index, "signatures")
-    index = index.select("doc", "n", F.explode(F.arrays_zip("sig", "place")).alias("x")).select("doc", "n", "x.*")
+    index = index.select(F.col("doc_id").alias("doc"), "n", F.explode(F.arrays_zip("sig", "place")).alias("x")).select("doc", "n", "x.*")
     # the early ones first, ties by a hash
     index = index.withColumn(
         "rank", F.floor(F.col("place").cast("long") * (1 << 20) / F.col("n")) * (1 << 40) + F.pmod(F.xxhash64("doc"), F.lit(1 << 40))
@@ -306,8 +323,14 @@ def _linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     buckets = index.groupBy("sig").agg(F.min("rank").alias("centre"), F.count(F.lit(1)).alias("m"), F.min("n").alias("least"))
     reach = F.floor((F.col("n") - F.col("place")) * ((100 + percent) / percent) + 1e-6).cast("int") - F.col("n")
     members = index.join(buckets.filter("m > 1").select("sig", "centre", "least"), "sig").withColumn("reach", reach)
-    members = members.filter("reach >= least")
-    members = materialise(members.select("sig", "doc", "n", "reach", (F.col("rank") == F.col("centre")).alias("centre")), "members")
+    members = members.filter("reach >= least").withColumn("centre", F.col("rank") == F.col("centre"))
+    # copies stand for their class only here, where few rows are left of the index
+    members = members.join(copies.select(F.col("b").alias("doc"), F.col("a").alias("rep")), "doc", "left")
+    members = members.groupBy("sig", F.coalesce("rep", "doc").alias("doc"))
+    members = members.agg(F.max("n").alias("n"), F.max("reach").alias("reach"), F.max("centre").alias("centre"))
+    members = materialise(members, "members")
+    del index, buckets
+    release(docs.sparkSession)
 
     centres = members.filter("centre").select("sig", F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("reach").alias("reach_a"))
     rest = members.select("sig", F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("reach").alias("reach_b"))
