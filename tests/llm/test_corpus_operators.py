@@ -161,6 +161,39 @@ def test_pseudonyms_keep_form_and_invert():
     assert Pseudonyms("other").apply("61.131.143.218")[0] != p.apply("61.131.143.218")[0]
 
 
+BESIDE = [
+    ("card", "4111 1111 1111 1111", ["{} 123", "3 {}", "2024 {}", "{}-12345678", "{} 5", "12 {} 12/26"]),
+    ("card", "4111111111111111", ["{} 123", "3 {}", "12-{}", "{} 12 345", "1234 {}"]),
+    ("card", "3782 822463 10005", ["{} 123", "3 {}", "{} 2024"]),
+    ("iban", "ES9121000418450200051332", ["{} EUR", "{} 2024", "{} EURO 12", "AB12 {}"]),
+    ("iban", "ES91 2100 0418 4502 0005 1332", ["{} EUR", "{} 2024"]),
+    ("date", "12/31/1999", ["{}", "on {}, a"]),
+    ("phone", "+49 30 12345678", ["{}", "({})"]),
+    ("phone", "+44 (0)20 7946 0958", ["{}"]),
+    ("phone", "+7 495 123-45-67", ["{}"]),
+]
+
+
+def test_values_beside_other_digits_and_words_get_their_own_pseudonym():
+    p = Pseudonyms("key")
+    for kind, v, forms in BESIDE:
+        alone, spans = p.apply(v)
+        assert [s["kind"] for s in spans] == [kind] and alone != v
+        for form in forms:
+            new, spans = p.apply(form.format(v))
+            at = form.index("{}")
+            assert {"kind": kind, "start": at, "stop": at + len(v)} in spans, form
+            assert new[at : at + len(v)] == alone, (form, new)
+    # a long run that passes as a whole by chance
+    whole = next(x for x in range(100, 1000) if luhn(f"411111111111111{1}{x // 10}") == x % 10)
+    assert p.apply(f"4111 1111 1111 1111 {whole}")[0][:19] == p.apply("4111 1111 1111 1111")[0]
+    turned = [f"{m:02d}/{d}/1999" for m in range(1, 13) for d in range(13, 29)]
+    made = {p.apply(x)[0] for x in turned}
+    assert len(made) == len(turned) and all(int(x[3:5]) > 12 for x in made)
+    assert all(p.apply(p.apply(x)[0], back=True)[0] == x for x in turned)
+    assert p.apply("1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20")[1] == []
+
+
 def test_pseudonymised_rows(spark):
     rows = [(1, "a 61.131.143.218"), (2, "b 61.131.143.218 é 12"), (3, None), (4, ""), (None, "x" * 200_000 + "1" * 50_000)]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_replaced int")
