@@ -31,10 +31,13 @@ class Rules:
     min_words: int = 50
     max_repeat_percent: int = 50
     min_repeat: int = 10
-    max_covered_percent: int = 50
+    #: words covered by repeats: as many are one short line said twice; beyond, their share of the text counts
+    max_covered: int = 30
+    #: well below the base rule's share, since words covered are also words of repeated runs of three
+    max_covered_percent: int = 20
     max_longest: int = 100
     #: a longest repeat beyond the limit counts only in a text of which it is this share
-    max_longest_percent: int = 15
+    max_longest_percent: int = 5
 
 
 @dataclass
@@ -133,7 +136,8 @@ def facts(texts: pa.Array, rules: Rules) -> dict[str, np.ndarray]:
     out = {k: v.astype(np.int64) for k, v in out.items()}
     words_, repeat = out["n_words"], out["n_repeat_words"]
     out["base_failed"] = (words_ < rules.min_words) | (100 * repeat > rules.max_repeat_percent * words_)
-    repetitive = (100 * out["covered_words"] > rules.max_covered_percent * words_) | (
+    cover = out["covered_words"]
+    repetitive = ((cover > rules.max_covered) & (100 * cover > rules.max_covered_percent * words_)) | (
         (longest > rules.max_longest) & (100 * longest > rules.max_longest_percent * words_)
     )
     out["kept"] = ~out["base_failed"] & ~repetitive

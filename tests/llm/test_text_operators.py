@@ -103,6 +103,29 @@ def test_quality_facts_match_brute_force(spark):
         assert (r["base_failed"], r["kept"]) == (failed, not failed and not bad)
 
 
+def _said_twice(n: int, repeats: list[int]) -> str:
+    """n words, all different but for repeats of the given lengths, each there twice."""
+    fresh = (f"w{i}" for i in range(n))
+    parts = [[next(fresh) for _ in range(k)] for k in repeats]
+    rest = [next(fresh) for _ in range(n - 2 * sum(repeats))]
+    gap = len(rest) // (2 * len(parts) + 1)
+    out = []
+    for i, part in enumerate(parts + parts):
+        out += rest[i * gap : (i + 1) * gap] + part
+    return " ".join(out + rest[2 * len(parts) * gap :])
+
+
+def test_each_quality_rule_rejects_alone():
+    texts = [_said_twice(500, [20] * 4), _said_twice(400, [50]), _said_twice(4000, [250])]
+    texts += [_said_twice(80, [13]), _said_twice(500, [20, 20]), _said_twice(4000, [150])]
+    f = quality.facts(pa.array(texts), quality.Rules())
+    assert f["covered_words"].tolist() == [160, 100, 500, 26, 80, 300]
+    assert f["longest_repeat"].tolist() == [20, 50, 250, 13, 20, 150]
+    assert not f["base_failed"].any()
+    # covered share, covered share, longest repeat; a doubled line, little repeated, a passage in a long text
+    assert f["kept"].tolist() == [False, False, False, True, True, True]
+
+
 def test_quality_keeps_all_columns_of_kept_rows(spark):
     good = " ".join(f"w{i}" for i in range(80))
     rows = [(i, t, "en", "s", 5, "l", "k", i) for i, t in enumerate([good, None, "short", good])]
