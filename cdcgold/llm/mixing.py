@@ -5,6 +5,8 @@ of this table, one margin after the other, until source, language and topic each
 share of the tokens.  A document's probability is min(1, c * factor of its cell), with c solved so
 that the expected share of tokens kept is `keep`; its weight factor / probability makes weighted
 totals of the sample meet the targets also where a cell would need more than all its documents.
+Rows without a weight meet them only as far as cells do not need more than they have: `miss` bounds
+how much of the sample may be missing from such cells, and less than `keep` is kept where need be.
 
 The topic is the form of the text (`topic_of`).  A target is either shares by value, where
 values not named keep the share they have, or an exponent that draws the natural shares together.
@@ -32,6 +34,8 @@ Target = float | Mapping[str, float]
 SOURCE, LANGUAGE, TOPIC = "_source", "_lang", "topic"
 TARGETS: dict[str, Target] = {SOURCE: 0.7, LANGUAGE: 0.8, TOPIC: 0.9}
 KEEP = 0.9
+#: For samples without weights: each source, language and topic has its share but for this much.
+MISS = 0.005
 SWEEPS = 60
 CLOSE = 1e-6
 POINTS = 32
@@ -143,13 +147,32 @@ def calibrate(cells: DataFrame, keep: float) -> float:
     return hi
 
 
-def probabilities(sized: DataFrame, targets: Mapping[str, Target], keep: float) -> DataFrame:
+def reachable(cells: DataFrame, most: float, miss: float) -> float:
+    """The largest c, `most` at most, where cells that need more than they have lack `miss` of the sample."""
+    total, largest = cells.agg(F.sum("tokens"), F.max("factor")).first()
+    if not total or most * largest <= 1.0:
+        return most
+    lo, hi = 1.0 / largest, most
+    for _ in range(4):
+        points = np.geomspace(lo, hi, POINTS).tolist()
+        lacks = [F.sum(F.col("tokens") * F.greatest(F.lit(0.0), F.col("factor") * c - 1)) for c in points]
+        over = next((i for i, x in enumerate(cells.agg(*lacks).first()) if x > miss * points[i] * total), None)
+        if over is None:
+            return hi
+        lo, hi = points[max(over - 1, 0)], points[over]
+    return lo
+
+
+def probabilities(
+    sized: DataFrame, targets: Mapping[str, Target], keep: float, miss: float | None = None
+) -> DataFrame:
     """(source, language, topic, probability, weight) of every cell of measured documents."""
     cells, n = materialise_counted(
         sized.groupBy(*targets).agg(F.sum("_tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")), "cells"
     )
     fitted = materialise(rake(cells, targets), "fitted")
     c = calibrate(fitted, keep) if n else 1.0
+    c = reachable(fitted, c, miss) if n and miss is not None else c
     p = F.least(F.lit(1.0), F.col("factor") * c)
     return materialise(fitted.select(*targets, p.alias("probability"), (F.col("factor") / p).alias("weight")), "mix")
 
@@ -176,10 +199,11 @@ def sample(
 def sample_rows(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", lang: str = "lang",
     targets: Mapping[str, Target] | None = None, keep: float = KEEP, seed: int = 7,
+    miss: float | None = None,
 ) -> DataFrame:
-    """The sampled documents with all their columns."""
+    """The sampled documents with all their columns; without weights, so give `miss` to meet the targets."""
     targets = targets or TARGETS
-    mix = probabilities(measured(docs, [], text, source, lang), targets, keep)
+    mix = probabilities(measured(docs, [], text, source, lang), targets, keep, miss)
     whole = docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
     whole = whole.select("_row", F.col(f"_row.`{doc_id}`").alias("_id"), text, source, lang).toDF(
         "_row", "_id", "_t", "_s", "_l"

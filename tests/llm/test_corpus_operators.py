@@ -63,6 +63,19 @@ def test_samples_keep_columns_and_agree(spark):
     assert mixing.sample(docs, keep=1.0).filter("probability > 1").count() == 0
 
 
+def test_rows_of_the_pipeline_have_the_target_shares(spark):
+    sources = ["hot"] * 1200 + [f"s{i % 30}" for i in range(2400)] + ["tiny"]
+    rows = [(i, f"word w{i} " * 5, "en", s, None, "x", "k", i) for i, s in enumerate(sources)]
+    docs = spark.createDataFrame(rows, DOC_SCHEMA)
+    kept = [r["source"] for r in corpus_pipeline.mix(spark, docs, "").collect()]
+    power = {k: n**0.7 for k, n in Counter(sources).items()}
+    target = {k: v / sum(power.values()) for k, v in power.items()}
+    assert target["hot"] < 0.19
+    assert kept.count("hot") / len(kept) == pytest.approx(target["hot"], abs=0.02)
+    # one document that would need others like it does not cost the rest
+    assert len(kept) > 0.75 * len(rows)
+
+
 @pytest.mark.parametrize("hot,single,least", [(0, 0, 90), (400, 700, 135)])
 def test_shards_are_even_and_keep_copies_together(spark, hot, single, least):
     texts = [f"text {i % 150}" for i in range(600)] + ["hot"] * hot + [None, None, "", "é"]
