@@ -7,8 +7,10 @@ runs of three characters of a fixed alphabet are tabled, so the table has a prov
 of a URL is the mean log-likelihood ratio of its characters; the threshold is the one that tells
 held-out examples apart best, both classes weighing the same.
 
+Rules see host and path; the models see the whole URL as it is given, scheme and query included.
+
 Only DataFrame functions run here.  Defined cases: a null URL or one without "://" has an empty
-host and path and is scored as the empty string; without examples of a class the threshold is 0;
+host and path; a null URL is scored as the empty string; without examples of a class the threshold is 0;
 equal and repeated rows get equal verdicts.
 """
 
@@ -81,14 +83,14 @@ def grams(text: Column) -> Column:
     )
 
 
-def _exploded(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("gram", F.explode(grams(F.concat("host", "path"))))
+def _exploded(rows: DataFrame, text: tuple[str, ...]) -> DataFrame:
+    return rows.withColumn("gram", F.explode(grams(F.concat(*text))))
 
 
-def model(examples: DataFrame) -> DataFrame:
-    """(gram, ratio): log-likelihood of accepted less that of rejected, for all runs of three."""
+def model(examples: DataFrame, text: tuple[str, ...] = ("host", "path")) -> DataFrame:
+    """(gram, ratio): log-likelihood of accepted less that of rejected, for all runs of three in the columns `text`."""
     counts = (
-        _exploded(examples)
+        _exploded(examples, text)
         .groupBy("gram")
         .agg(*[F.count(F.when(F.col("verdict") == v, 1)).alias(k) for k, v in (("allow", "allow"), ("block", "block"))])
     )
@@ -120,11 +122,11 @@ def model(examples: DataFrame) -> DataFrame:
     return materialise(cells.select("gram", ratio.alias("ratio")), "url-model")
 
 
-def _scored(rows: DataFrame, ratios: DataFrame, key: str) -> DataFrame:
+def _scored(rows: DataFrame, ratios: DataFrame, key: str, text: tuple[str, ...] = ("host", "path")) -> DataFrame:
     """(key, score); a row's runs are averaged before they leave its task."""
     # the table has CODES ** 3 rows whatever the data
-    known = _exploded(rows.select(key, "host", "path")).join(F.broadcast(ratios), "gram")
-    return known.groupBy(key).agg(F.avg("ratio").alias("score"))
+    known = _exploded(rows.select(F.col(key).alias("_key"), *text), text).join(F.broadcast(ratios), "gram")
+    return known.groupBy(F.col("_key").alias(key)).agg(F.avg("ratio").alias("score"))
 
 
 def threshold(scored: DataFrame) -> float:
@@ -147,14 +149,16 @@ def threshold(scored: DataFrame) -> float:
 def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict and score of every row."""
     host, path = host_and_path(F.col(url))
-    rows = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
+    whole = F.coalesce(F.col(url).cast("string"), F.lit(""))
+    rows = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"), whole.alias("_url"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", name.alias("rule"), verdict.alias("verdict"), F.monotonically_increasing_id().alias("_row"))
     rows = materialise(rows, "url-rows")
+    # all that differs only in its query is held out together
     fold = F.pmod(F.xxhash64("host", "path"), F.lit(FOLDS))
     known = rows.filter("verdict is not null")
-    ratios = model(known.filter(fold > 0))
-    scores = materialise(_scored(rows, ratios, "_row"), "url-scores")
+    ratios = model(known.filter(fold > 0), ("_url",))
+    scores = materialise(_scored(rows, ratios, "_row", ("_url",)), "url-scores")
     scored = rows.join(scores, "_row")
     limit = threshold(scored.filter("verdict is not null").filter(fold == 0))
     said = F.coalesce("verdict", F.when(F.col("score") >= limit, "allow").otherwise("block"))

@@ -329,6 +329,22 @@ def test_url_rules_and_odd_urls(spark):
     assert urls.judge(pages.limit(0)).count() == 0
 
 
+def test_url_scores_see_the_whole_url(spark):
+    rows = [(f"https://a.example.com/x?id={i}", "allow") for i in range(6)]
+    rows += [(f"http://b.example.net/fr/y?buy=cheap{i}#now", "block") for i in range(6)]
+    frame = spark.createDataFrame(rows, "url string, verdict string")
+    score = _ratios(rows)
+    for r in urls._scored(frame, urls.model(frame, ("url",)), "url", ("url",)).collect():
+        assert r["score"] == pytest.approx(score(r["url"]), abs=1e-9)
+    asked = ["http://z.org/p?id=1", "http://z.org/p?buy=cheap", "http://z.org/p#now", "https://z.org/p", "http://z.org/p"]
+    asked += ["a.example.com/x", "buy cheap now", "", None]
+    urls_ = [*asked, *(f"https://h{i}.example.com/x{i}?id={i}" for i in range(20)), *(f"http://b.net/fr/{i}?buy=cheap" for i in range(20))]
+    pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls_)], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in urls.judge(pages).collect()}
+    assert len({got[i]["score"] for i in range(len(asked) - 1)}) == len(asked) - 1
+    assert got[0]["score"] > got[1]["score"] and got[7]["score"] == got[8]["score"]
+
+
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_queries_over_the_tables(spark, name):
     rows = QUERIES[name](spark, DIRECTORY)
