@@ -4,8 +4,9 @@ A page is cut into blocks of text; a block's path is the chain of block elements
 class, from the root.  For every path the lengths, punctuation and link text of its blocks are
 summed.  The ratio of a path is its mean text length, fused with its share of punctuation and of
 text outside links; ratios are smoothed over neighbouring blocks, and blocks at or above the
-threshold are content.  Their path's container is then taken whole but for parts that are link
-lists or, by their element or class, never article text (`AWAY`).
+threshold are content.  Their path's container is then taken but for link lists, elements that are
+never article text (`AWAY`) and containers inside it whose ratio is far below.  A part whose class
+says that it is no article is left out unless it holds half of the page's text by ratio.
 
 Defined cases: a null or empty page, and one without text, gives the empty string; unclosed,
 crossing and cut-off tags are read as browsers read them, near enough; repeated rows repeat.
@@ -70,6 +71,7 @@ class Block:
     text: str
     linked: int  # characters inside links
     away: bool
+    named: tuple[int, ...] = ()  # elements around it whose class, id or role has one of AWAY_WORDS, by number
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -77,20 +79,29 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 def _is_away(tag: str, attrs: dict[str, str], inside_article: bool) -> bool:
+    """By its element or as hidden; what only the words of its class say, the ratios must agree with."""
     if tag in AWAY or (tag == "header" and not inside_article):
         return True
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", ""):
         return True
-    words = {w.lower() for k in ("class", "id", "role") for w in _PART.findall(attrs.get(k, ""))}
-    if tag in HOLDERS:
-        return tag == "article" and bool(words & {"comment", "comments", "reply"})
-    return bool(words & AWAY_WORDS)
+    return tag == "article" and bool(_words(attrs) & {"comment", "comments", "reply"})
+
+
+def _words(attrs: dict[str, str]) -> set[str]:
+    return {w.lower() for k in ("class", "id", "role") for w in _PART.findall(attrs.get(k, ""))}
+
+
+def _is_named(tag: str, attrs: dict[str, str]) -> bool:
+    if tag == "p" or HEADING.match(tag):  # a part of a name tells the look of a line, not what it is
+        return bool(set(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split()) & AWAY_WORDS)
+    return tag not in HOLDERS and bool(_words(attrs) & AWAY_WORDS)
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, label, away
+    stack: list[tuple[str, str, bool, int]] = []  # tag, label, away, number of a named element or 0
+    n_named = 0
     words: list[str] = []
     linked, link_depth = 0, 0
 
@@ -98,7 +109,8 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         text = " ".join(html.unescape("".join(words)).split())
         if text:
-            out.append(Block(tuple(s[1] for s in stack), text, min(linked, len(text)), bool(stack) and stack[-1][2]))
+            path, named = tuple(s[1] for s in stack), tuple(s[3] for s in stack if s[3])
+            out.append(Block(path, text, min(linked, len(text)), bool(stack) and stack[-1][2], named))
         words.clear()
         linked = 0
 
@@ -163,7 +175,8 @@ def blocks(page: str) -> list[Block]:
             inside = any(s[0] in ("article", "main") for s in stack)
             away = (bool(stack) and stack[-1][2]) or _is_away(tag, attrs, inside)
             name = attrs.get("class", "").split()
-            stack.append((tag, f"{tag}.{name[0]}" if name else tag, away))
+            n_named += _is_named(tag, attrs)
+            stack.append((tag, f"{tag}.{name[0]}" if name else tag, away, n_named if _is_named(tag, attrs) else 0))
     flush()
     return out
 
@@ -199,9 +212,34 @@ def ratios(found: list[Block]) -> dict[tuple[str, ...], PathRatio]:
     return out
 
 
+def _without_named(found: list[Block]) -> list[Block]:
+    """The blocks outside elements that are named as no article and hold less than half of the page's text.
+
+    Text counts by its path's ratio, and where there is an article or main, only text inside it.
+    """
+    by_path = ratios(found)
+    inside = {p for p in by_path if any(x.split(".")[0] in ("article", "main") for x in p)}
+    size: dict[int, float] = defaultdict(float)
+    whole = 0.0
+    for b in found:
+        weight = by_path[b.path].value * len(b.text) if b.path in inside or not inside else 0.0
+        whole += weight
+        for k in b.named:
+            size[k] += weight
+    return [b for b in found if all(2 * size[k] >= whole > 0 for k in b.named)]
+
+
+def _apart(path: tuple[str, ...], best: tuple[str, ...]) -> tuple[str, ...]:
+    """The innermost container on a path that is not on the content path; none if all are."""
+    for i in range(len(path), 0, -1):
+        if path[i - 1].split(".")[0] in ("div", "section", "center"):
+            return path[:i] if path[:i] != best[:i] else ()
+    return ()
+
+
 def content(found: list[Block]) -> list[Block]:
     """The blocks of the main text."""
-    kept = [b for b in found if not b.away]
+    kept = _without_named([b for b in found if not b.away])
     if not kept:
         return []
     by_path = ratios(kept)
@@ -214,12 +252,20 @@ def content(found: list[Block]) -> list[Block]:
     best = max(mass, key=lambda p: (mass[p], -len(p)))
     holder = _holder(best)
     limit = min(0.5 * by_path[best].value, smooth.max())
+    parts: dict[tuple[str, ...], PathRatio] = defaultdict(PathRatio)
+    part = {p: _apart(p, best) for p in by_path}
+    for p, r in by_path.items():
+        if part[p]:
+            own = parts[part[p]]
+            own.blocks, own.chars = own.blocks + r.blocks, own.chars + r.chars
+            own.marks, own.linked = own.marks + r.marks, own.linked + r.linked
+    poor = {k for k, r in parts.items() if r.value < 0.5 * limit}
     out, last_heading = [], None
     for b, own, around in zip(kept, score, smooth, strict=True):
         r = by_path[b.path]
         links_only = r.linked > 0.6 * r.chars and r.marks < 0.03 * r.chars
         inside = b.path[: len(holder)] == holder
-        if inside and not links_only:
+        if inside and not links_only and part[b.path] not in poor:
             if last_heading is not None and not out:
                 out.append(last_heading)
             out.append(b)

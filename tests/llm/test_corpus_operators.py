@@ -133,6 +133,16 @@ def test_main_text_of_long_and_deep_pages():
     assert extract.main_text('<p title="' + "x" * 100_000 + "<p>") is not None
 
 
+def test_main_text_in_wrappers_and_beside_unlisted_adverts():
+    text = "<p>It is long, and it goes on for a while; yes.</p><p>So is this, as it also goes on, for long.</p>"
+    want = "It is long, and it goes on for a while; yes.\nSo is this, as it also goes on, for long."
+    for wrap in ("<div class='content has-sidebar'>", "<div id='page-with-menu'>", "<div class=no-banner><article>"):
+        assert extract.main_text(f"{wrap}{text}<div class=sidebar><p>Read, also.</p></div></div>") == want
+    page = f"<article><h1 class='header-title'>T</h1>{text}<p class='hidden-xs'>And, this.</p><p class=ad>Buy!</p></article>"
+    assert extract.main_text(page) == f"T\n{want}\nAnd, this."
+    assert extract.main_text(f"<article>{text}<div class=xq7>Buy now!</div></article>") == want
+
+
 def test_feistel_is_a_permutation():
     for size in (1, 2, 10, 26, 999, 1024):
         f = Feistel(b"k" * 32, "d", size)
