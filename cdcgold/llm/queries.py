@@ -11,16 +11,18 @@ from cdcgold.llm import (
     extract,
     jaccard,
     kneser_ney,
+    merkle,
     mixing,
     pseudonyms,
     quality,
     sharding,
+    sql,
     urls,
     warc,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op13_merkle_manifest": sql.MERKLE}
 
 
 def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -82,3 +84,9 @@ def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = spark.conf.get(pseudonyms.KEY_CONF, pseudonyms.TEST_KEY)
     return pseudonyms.pseudonymise(table(spark, sf_dir, "documents"), key)
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return merkle.verify(docs, merkle.without_newlines(docs))
