@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cdcgold.llm import (
     decontaminate,
@@ -13,6 +14,7 @@ from cdcgold.llm import (
     kneser_ney,
     merkle,
     mixing,
+    negatives,
     pseudonyms,
     quality,
     sharding,
@@ -22,7 +24,7 @@ from cdcgold.llm import (
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {"op13_merkle_manifest": sql.MERKLE}
+SQL: dict[str, str] = {"op11_hard_negatives": sql.NEGATIVES, "op13_merkle_manifest": sql.MERKLE}
 
 
 def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -90,3 +92,11 @@ def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return merkle.verify(docs, merkle.without_newlines(docs))
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One label in seven is wrong on purpose."""
+    vec_id, label = F.col("vec_id"), F.col("label")
+    noisy = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    return negatives.mine(table(spark, sf_dir, "embeddings"), vec_id, noisy, F.col("embedding"), vec_id % 100 == 0)
