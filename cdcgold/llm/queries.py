@@ -17,6 +17,7 @@ from cdcgold.llm import (
     negatives,
     pseudonyms,
     quality,
+    secrets,
     sharding,
     sql,
     urls,
@@ -100,3 +101,8 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vec_id, label = F.col("vec_id"), F.col("label")
     noisy = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
     return negatives.mine(table(spark, sf_dir, "embeddings"), vec_id, noisy, F.col("embedding"), vec_id % 100 == 0)
+
+
+@query
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
