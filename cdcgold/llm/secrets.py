@@ -23,8 +23,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterable
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -43,17 +45,19 @@ BASE = {
 _WORDS = (b"passw", b"secret", b"token", b"api")
 _ASSIGN, _ACCESS = re.compile(BASE["assign"][0]), re.compile(BASE["access"][0])
 
-#: Spans inside matches of these are no secrets.
+#: Spans inside matches of these are no secrets; a match begins at a fixed word, so the search is linear.
 ALLOW = (
     r"(?i)\bsha-?(1|224|256|384|512)[-:=]\s?[A-Za-z0-9+/=]+",  # digests are public
     r"(?i)\b(commit|md5|digest|checksum|etag)\b[\"':=\s]{1,4}[0-9a-f]+",
     r"(?i);base64,[A-Za-z0-9+/=]+",  # embedded files
-    r"(?i)[A-Za-z0-9+/=_-]*(example|placeholder|changeme|your[_-]?key)[A-Za-z0-9+/=_-]*",
-    r"(?i)[A-Za-z0-9+/=_-]*(abcdefgh|0123456789|123456789a)[A-Za-z0-9+/=_-]*",  # alphabets, counting
-    r"(?:[A-Za-z0-9_+=-]{0,15}/){2,}[A-Za-z0-9_+=-]{0,15}(?![A-Za-z0-9_+=/-])",  # paths of short names
 )
+#: Spans within NEAR bytes of a match of this are no secrets: examples, alphabets, counting.
+ALLOW_NEAR = r"(?i)example|placeholder|changeme|your[_-]?key|abcdefgh|0123456789|123456789a"
+NEAR = 16
 #: Bytes before a candidate that an allow-list pattern may begin in.
 BEFORE = 64
+#: A candidate of three or more parts between slashes, each this short, is a path.
+PATH_PART = 15
 #: Windows of a run that are walked in one go; longer runs are cut.
 PIECE = 256
 _SCALE = 1 << 20
@@ -104,8 +108,8 @@ def runs(data: np.ndarray, offset: np.ndarray, inside: np.ndarray, least: int) -
     return start[long], end[long]
 
 
-def random_spans(data: np.ndarray, offset: np.ndarray, kind: CharClass) -> list[tuple[int, int]]:
-    """Unions of the windows whose entropy reaches the class's, as byte positions."""
+def random_spans(data: np.ndarray, offset: np.ndarray, kind: CharClass) -> list[tuple[int, int, int, int]]:
+    """Unions of the windows whose entropy reaches the class's, and the runs they are in, as byte positions."""
     code, sort, width = kind.codes(), kind.kinds(), kind.window
     start, end = runs(data, offset, code >= 0, width)
     if not len(start):
@@ -147,12 +151,13 @@ def random_spans(data: np.ndarray, offset: np.ndarray, kind: CharClass) -> list[
     run = np.searchsorted(start, hit, "right")  # runs of neighbouring texts may touch
     head = np.append(True, (hit[1:] > hit[:-1] + width) | (run[1:] != run[:-1]))
     tail = np.append(head[1:], True)
-    return list(zip(hit[head].tolist(), (hit[tail] + width).tolist(), strict=True))
+    own = run[head] - 1
+    return list(zip(*(x.tolist() for x in (hit[head], hit[tail] + width, start[own], end[own])), strict=True))
 
 
-def base_spans(text: bytes, hexes: Iterable[tuple[int, int]]) -> list[tuple[str, int, int]]:
+def base_spans(text: bytes, hexes: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Spans of the known forms, given those of the runs of hexadecimal digits."""
-    out = [("hex", a, b) for a, b in hexes]
+    out = list(hexes)
     small = text.lower()
     if any(w in small for w in _WORDS):
         for m in _ASSIGN.finditer(text):
@@ -163,20 +168,40 @@ def base_spans(text: bytes, hexes: Iterable[tuple[int, int]]) -> list[tuple[str,
     return out
 
 
-def _allowed(text: bytes, start: int, end: int, inside: np.ndarray, patterns: list[re.Pattern]) -> bool:
-    """Is the span inside a match?  The patterns see its whole run and some bytes before it."""
-    stop = end
-    while stop < len(text) and inside[text[stop]]:
-        stop += 1
-    begin = start
-    while begin > 0 and inside[text[begin - 1]]:
-        begin -= 1
-    shift = max(0, begin - BEFORE)
-    around = text[shift:stop]
-    for p in patterns:
-        if any(m.start() + shift <= start and end <= m.end() + shift for m in p.finditer(around)):
-            return True
-    return False
+class AllowList:
+    """What the patterns cover in the candidates of one text; each candidate is searched once."""
+
+    def __init__(self, patterns: Iterable[str], near: str):
+        self.patterns, self.near = [re.compile(p.encode()) for p in patterns], re.compile(near.encode())
+
+    def ranges(self, text: bytes, begin: int, stop: int) -> list[tuple[int, int]]:
+        shift = max(0, begin - BEFORE)
+        around = text[shift:stop]
+        out = [(m.start() + shift, m.end() + shift) for p in self.patterns for m in p.finditer(around)]
+        parts = text[begin:stop].split(b"/")
+        if len(parts) > 2 and max(map(len, parts)) <= PATH_PART:
+            out.append((begin, stop))
+        return out
+
+    def passes(self, text: bytes, spans: list[tuple[str, int, int, int, int]]) -> list[tuple[str, int, int]]:
+        """The spans (kind, begin, end, their candidate's begin, end) that no pattern covers."""
+        known: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        out = []
+        for kind, a, b, begin, stop in spans:
+            if (begin, stop) not in known:
+                known[begin, stop] = self.ranges(text, begin, stop)
+            covered = any(x <= a and b <= y for x, y in known[begin, stop])
+            if not covered and not self.near.search(text[max(begin, a - NEAR) : min(stop, b + NEAR)]):
+                out.append((kind, a, b))
+        return out
+
+
+def _outside(spans: list[tuple], base: list[tuple[str, int, int]]) -> list[tuple]:
+    """The spans that lie in no span of a known form."""
+    begins = sorted((a, b) for _, a, b in base)
+    reach = list(accumulate((b for _, b in begins), max))
+    known = [a for a, _ in begins]
+    return [s for s in spans if not (n := bisect_right(known, s[1])) or reach[n - 1] < s[2]]
 
 
 def _in_order(spans: Iterable[tuple[str, int, int]], kinds: list[str]) -> str:
@@ -190,39 +215,33 @@ def scan(
     keep: Iterable[str] = ("doc_id",),
     classes: tuple[CharClass, ...] = CLASSES,
     allow: tuple[str, ...] = ALLOW,
+    near: str = ALLOW_NEAR,
 ) -> DataFrame:
     """The columns `keep` with n_assign, n_access, n_hex, base_sha256 and spans."""
     kinds = [*BASE, *(c.name for c in classes)]
     hexadecimal = np.isin(np.arange(256), np.frombuffer(b"0123456789abcdef", np.uint8))
 
     def of(part: pa.RecordBatch) -> dict[str, pa.Array]:
-        patterns = [re.compile(p.encode()) for p in allow]
+        listed = AllowList(allow, near)
         data, offset = raw(part.column(text))
-        found: list[list[tuple[str, int, int]]] = [[] for _ in range(part.num_rows)]
 
-        def deal(name: str, spans: Iterable[tuple[int, int]]) -> None:
-            spans = list(spans)
-            if spans:
-                owner = np.searchsorted(offset, [a for a, _ in spans], "right") - 1
-                for i, (a, b) in zip(owner.tolist(), spans, strict=True):
-                    found[i].append((name, a - int(offset[i]), b - int(offset[i])))
+        def dealt(spans: list[tuple]) -> list[list[tuple]]:
+            """By text: the kind and the positions, from the text's begin."""
+            out: list[list[tuple]] = [[] for _ in range(part.num_rows)]
+            owner = np.searchsorted(offset, [s[1] for s in spans], "right") - 1
+            for i, (kind, *places) in zip(owner.tolist(), spans, strict=True):
+                out[i].append((kind, *(p - int(offset[i]) for p in places)))
+            return out
 
         start, end = runs(data, offset, hexadecimal, BASE["hex"][2])
-        deal("hex", zip(start.tolist(), end.tolist(), strict=True))
-        hexes, found = found, [[] for _ in range(part.num_rows)]
-        for kind in classes:
-            deal(kind.name, random_spans(data, offset, kind))
-        inside = {c.name: c.codes() >= 0 for c in classes}
+        hexes = dealt([("hex", a, b) for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+        random = dealt([(c.name, *s) for c in classes for s in random_spans(data, offset, c)])
         counts, digests, joined = [], [], []
         for i in range(part.num_rows):
             body = data[offset[i] : offset[i + 1]]
             own = body.tobytes()
-            base = base_spans(own, ((a, b) for _, a, b in hexes[i]))
-            more = [
-                (k, a, b)
-                for k, a, b in found[i]
-                if not any(x <= a and b <= y for _, x, y in base) and not _allowed(own, a, b, inside[k], patterns)
-            ]
+            base = base_spans(own, hexes[i])
+            more = listed.passes(own, _outside(random[i], base))
             if base or more:
                 place = np.concatenate([[0], np.cumsum((body & 0xC0) != 0x80)])
                 base, more = ([(k, int(place[a]), int(place[b])) for k, a, b in s] for s in (base, more))
