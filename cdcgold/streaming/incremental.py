@@ -2,6 +2,11 @@
 
 Each micro-batch is decoded, kept for audit, merged into per-table bronze tables, and the
 documents of the parents it touched are rebuilt and replaced in gold.
+
+Where a child may change its parent, or has two, bronze is kept by child, and a reverse index by
+document key beside it: a copy of the child under each of its ends, and a mark under each end that
+it has left.  Both are kept up to date from the batch's changes and the places the changed
+children had before, so a batch reads the buckets of what it changes and no more.
 """
 
 from __future__ import annotations
@@ -29,6 +34,9 @@ from cdcgold.streaming.keyed import KeyedTable, read_batches, write_batch
 _POSITION = "topic string, partition int, offset bigint"
 _RECORD = ("topic", "partition", "offset", "key", "value", "timestamp")
 GONE = "_gone"
+# Columns of the reverse index: digest of the child's identity, its ends; the end a row is kept
+# under, whether the child has left it.
+ID, ENDS, END, LEFT = "_id", "_ends", "_end", "_left"
 
 
 def _now_ms() -> int:
@@ -36,9 +44,10 @@ def _now_ms() -> int:
 
 
 class IncrementalProfiles:
-    """State under ``path``: audit/, dead_letters/, bronze/<table>/, gold/, ledger/.
+    """State under ``path``: audit/, dead_letters/, bronze/<table>/, ends/<table>/, gold/, ledger/.
 
-    ``compact_every``: fold bronze and gold into one base each so many batches.
+    ``compact_every``: fold every table into one base after so many batches, and remove what the
+    base before it had replaced; None leaves both to the caller.
     """
 
     def __init__(
@@ -49,12 +58,13 @@ class IncrementalProfiles:
         path: str,
         *,
         buckets: int = 64,
-        compact_every: int | None = None,
+        compact_every: int | None = 16,
     ):
         self.spark, self.spec, self.path, self.buckets = spark, spec, path.rstrip("/"), buckets
         self.compact_every = compact_every
         self.schemas = {t: schema_of(schemas[t]) for t in self.tables}
         self.bronze = {t: self._bronze(t) for t in self.tables}
+        self.ends = {c.table: self._by_end(c) for c in spec.children if self._indexed(c)}
         self._gold: KeyedTable | None = None
 
     @property
@@ -72,15 +82,38 @@ class IncrementalProfiles:
             return list(child.pk)
         return [child.fk, *(k for k in child.pk if k != child.fk)]
 
+    def _indexed(self, child: ChildSpec) -> bool:
+        """Can a row change its parents without changing its key?"""
+        return self.spec.reparent == "move" or self._two_ended(child)
+
+    def _stored(self, table: str) -> list[T.StructField]:
+        return schema_of(_POSITION).fields + flat_schema(self.schemas[table]).fields
+
     def _bronze(self, table: str) -> KeyedTable:
+        """Rows by parent; by the digest of their own identity where an index by parent is kept."""
         child = self._child(table)
         by = self.spec.key if child is None else child.fk
-        fields = schema_of(_POSITION).fields + flat_schema(self.schemas[table]).fields
+        fields = self._stored(table)
+        if child is not None and self._indexed(child):
+            by = ID
+            fields += [T.StructField(ID, T.LongType()), T.StructField(ENDS, T.ArrayType(self._key_type()))]
         return KeyedTable(
             self.spark, f"{self.path}/bronze/{table}", T.StructType(fields), self._keys(table),
             by=by, order=LOG_ORDER, buckets=self.buckets,
         )
 
+    def _by_end(self, child: ChildSpec) -> KeyedTable:
+        """The reverse index: a child's newest row under each end, or that it has left the end."""
+        own = [T.StructField(END, self._key_type()), T.StructField(LEFT, T.BooleanType())]
+        keys = [END, *self._keys(child.table)]
+        return KeyedTable(
+            self.spark, f"{self.path}/ends/{child.table}", T.StructType(self._stored(child.table) + own), keys,
+            by=END, order=LOG_ORDER, buckets=self.buckets,
+        )
+
+    def _key_type(self) -> T.DataType:
+        return self.schemas[self.spec.root][self.spec.key].dataType
+
     def gold(self, schema: T.StructType | None = None) -> KeyedTable:
         """The documents' table; its schema is that of the first build."""
         if self._gold is None:
@@ -120,7 +153,7 @@ class IncrementalProfiles:
         """
         child = self._child(table)
         keys = [self.spec.key] if child is None else list(child.pk)
-        return live(latest(self.bronze[table].rows(), keys)).drop("batch_id")
+        return live(latest(self.bronze[table].rows(), keys)).drop("batch_id", ID, ENDS)
 
     def seed(self, tables: Mapping[str, DataFrame], batch_id: int = -1) -> None:
         """Bulk load of current rows ahead of every record; the log may then replay any part of them.
@@ -129,13 +162,13 @@ class IncrementalProfiles:
         """
         rows = {}
         for t in self.tables:
-            names = [f.name for f in self.bronze[t].schema.fields if f.name != "batch_id"]
+            names = [f.name for f in self._stored(t)]
             first = {"topic": F.lit(""), "partition": F.lit(-1), "offset": F.lit(-1).cast("bigint"), "__op": F.lit("r")}
             first |= {"__deleted": F.lit("false"), "__table": F.lit(t)}
             given = tables[t]
             none = {n: F.lit(None).cast(self.bronze[t].schema[n].dataType) for n in names if n not in given.columns}
             rows[t] = given.withColumns(none | {k: v for k, v in first.items() if k in names}).select(*names)
-        self._together([partial(self.bronze[t].append, r, batch_id) for t, r in rows.items()])
+        self._together([partial(self._store, t, r, batch_id) for t, r in rows.items()])
         current = {c.table: current_child(self.spec, c, rows[c.table]) for c in self.spec.children}
         current[self.spec.root] = current_root(self.spec, rows[self.spec.root])
         docs = build_profiles(self.spec, current)
@@ -153,29 +186,39 @@ class IncrementalProfiles:
     def _two_ended(self, child: ChildSpec) -> bool:
         return self.spec.direction == "both" and child.other_fk is not None
 
-    def _prunes(self, child: ChildSpec) -> bool:
-        """May the child be read by parent?  Not if a row can change parents or has two."""
-        return self.spec.reparent == "keep_both" and not self._two_ended(child)
-
-    def _parents(self, table: str, rows: DataFrame) -> DataFrame:
+    def _store(self, table: str, newest: DataFrame, batch_id: int) -> None:
+        """Add the newest rows of a batch, one per key, to bronze and to the reverse index."""
         child = self._child(table)
-        ends = [self.spec.key] if child is None else [child.fk]
-        if child is not None and self._two_ended(child):
-            ends.append(child.other_fk)
-        keys = [rows.select(F.col(e).alias(self.spec.key)) for e in ends]
-        return reduce(DataFrame.unionByName, keys).dropna()
+        if child is None or not self._indexed(child):
+            self.bronze[table].append(newest, batch_id)
+            return
+        keys = self._keys(table)
+        ends = [child.fk, child.other_fk] if self._two_ended(child) else [child.fk]
+        ends = F.array_distinct(F.array_compact(F.array(*(F.col(e).cast(self._key_type()) for e in ends))))
+        changed = newest.dropna(subset=keys).withColumns({ID: F.xxhash64(*keys), ENDS: ends})
+        places = self.bronze[table].current(changed.select(ID).distinct(), before=batch_id)
+        old = [F.col(c).alias(f"_old{c}") for c in (*LOG_ORDER, ENDS)]
+        placed = changed.join(places.select(*keys, *old), keys, "left")
+        # a record older than what is known changes nothing
+        known, now = (F.struct(*(f"{p}{c}" for c in LOG_ORDER)) for p in ("_old", ""))
+        placed = materialise(placed.where(F.col(f"_old{ENDS}").isNull() | (now >= known)), f"placed-{table}")
+        self.bronze[table].append(placed.select(*changed.columns), batch_id)
+        names = [f.name for f in self._stored(table)]
+        here = placed.select(*names, F.explode(ENDS).alias(END), F.lit(False).alias(LEFT))
+        left = placed.select(*names, F.explode(F.array_except(f"_old{ENDS}", ENDS)).alias(END), F.lit(True).alias(LEFT))
+        self.ends[table].append(here.unionByName(left), batch_id)
 
     def _touched(self, batch_id: int) -> DataFrame:
         """Keys whose document the batch may have changed, each once, as a written table."""
         keys = []
         for t in self.tables:
-            changed = self.bronze[t].batch(batch_id)
-            keys.append(self._parents(t, changed))
-            child = self._child(t)
-            if child is not None and self.spec.reparent == "move":
-                known = self.bronze[t].rows().join(changed.select(*child.pk), list(child.pk), "left_semi")
-                keys.append(self._parents(t, known))
-        return materialise(reduce(DataFrame.unionByName, keys).distinct(), "touched")
+            child, key = self._child(t), self.spec.key
+            if child is not None and self._indexed(child):
+                keys.append(self.ends[t].batch(batch_id).select(F.col(END).alias(key)))
+            else:
+                by = key if child is None else child.fk
+                keys.append(self.bronze[t].batch(batch_id).select(F.col(by).alias(key)))
+        return materialise(reduce(DataFrame.unionByName, keys).dropna().distinct(), "touched")
 
     def _current(self, touched: DataFrame) -> dict[str, DataFrame]:
         """Current rows of the touched documents, per table."""
@@ -183,17 +226,11 @@ class IncrementalProfiles:
         wanted = root.buckets_of(touched)
         out = {self.spec.root: current_root(self.spec, root.current(touched, wanted))}
         for child in self.spec.children:
-            bronze = self.bronze[child.table]
-            if self._prunes(child):
-                rows = bronze.current(touched, wanted)
+            if self._indexed(child):
+                rows = self.ends[child.table].current(touched, wanted).where(~F.col(LEFT))
+                rows = rows.dropDuplicates(self._keys(child.table)).drop(END, LEFT)
             else:
-                everywhere, mine = bronze.current(), touched.toDF(child.fk)
-                rows = everywhere.join(mine, child.fk, "left_semi").select(*everywhere.columns)
-                if self._two_ended(child):
-                    far = everywhere.join(mine, child.fk, "left_anti").join(
-                        touched.toDF(child.other_fk), child.other_fk, "left_semi"
-                    )
-                    rows = rows.unionByName(far)
+                rows = self.bronze[child.table].current(touched, wanted)
             out[child.table] = current_child(self.spec, child, rows)
         return out
 
@@ -211,7 +248,7 @@ class IncrementalProfiles:
             mine = raw.where(F.col("table") == table)
             good, bad = decode(mine, wire_schema(self.schemas[table]))
             newest = latest(from_wire(good, self.schemas[table]), self._keys(table))
-            writes.append(partial(self.bronze[table].append, newest, batch_id))
+            writes.append(partial(self._store, table, newest, batch_id))
             rejected.append(bad)
         dead = reduce(DataFrame.unionByName, rejected)
         writes.append(partial(write_batch, dead, f"{self.path}/dead_letters", batch_id))
@@ -232,14 +269,19 @@ class IncrementalProfiles:
         write_batch(upto.select("*", *times), f"{self.path}/ledger", batch_id)
         if self.compact_every and batch_id % self.compact_every == self.compact_every - 1:
             self.compact()
+            for table in self.stored():
+                table.vacuum(keep=1)
 
     def _together(self, writes: list) -> None:
         """Independent writes as concurrent jobs, so small tables do not wait for each other."""
         with ThreadPoolExecutor(len(writes)) as pool:
             list(pool.map(lambda write: write(), [inheritable_thread_target(self.spark)(w) for w in writes]))
 
+    def stored(self) -> list[KeyedTable]:
+        return [*self.bronze.values(), *self.ends.values(), self.gold()]
+
     def compact(self) -> None:
-        for table in (*self.bronze.values(), self.gold()):
+        for table in self.stored():
             table.compact()
 
     def start(self, records: DataFrame, checkpoint: str, trigger: Mapping[str, object] | None = None):

@@ -136,13 +136,16 @@ class KeyedTable:
         if newest is not None and newest not in self._bases():
             self._write(self._newest_of(self.rows()), f"base={newest}")
 
-    def vacuum(self) -> None:
-        """Remove folders a newer base has replaced."""
-        bases = self._bases()
-        if not bases:
+    def vacuum(self, keep: int = 0) -> None:
+        """Remove folders a newer base has replaced, but for those that `keep` bases before it need.
+
+        With ``keep=1`` the newest batch can be run again, and readers of the base before go on.
+        """
+        bases = sorted(self._bases().items(), reverse=True)
+        if len(bases) <= keep:
             return
-        base = max(bases)
-        stale = [p for n, p in bases.items() if n < base]
+        base = bases[keep][0]
+        stale = [p for _, p in bases[keep + 1 :]]
         stale += [p for n, p in _folders(self.spark, f"{self.path}/batch=*").items() if n <= base]
         for p in stale:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(p)

@@ -48,7 +48,11 @@ def batch_fold(spark, log, spec):
 
 @pytest.mark.parametrize(
     "policy",
-    [{}, {"root_delete": "drop", "reparent": "move", "direction": "both"}],
+    [
+        {},
+        {"root_delete": "drop", "reparent": "move", "direction": "both"},
+        {"direction": "both"},
+    ],
 )
 def test_batches_replays_and_duplicates_equal_one_fold(spark, policy):
     spec, log = SMALL.with_(**policy), story()
@@ -71,12 +75,54 @@ def test_batches_replays_and_duplicates_equal_one_fold(spark, policy):
     with pytest.raises(ValueError):
         engine.process(log.frame(spark, first), 0)
     engine.compact()
-    for table in (*engine.bronze.values(), engine.gold()):
+    for table in engine.stored():
         table.vacuum()
         assert table.batches() == []
     assert documents(engine.documents()) == expected
 
 
+def files_read(spark, since):
+    """Files that scans have read in the SQL executions from number ``since`` on, and their number."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    total, runs = 0, store.executionsList()
+    for i in range(since, runs.size()):
+        known, run = store.executionMetrics(runs.apply(i).executionId()), runs.apply(i)
+        nodes = store.planGraph(run.executionId()).allNodes()
+        for k in range(nodes.size()):
+            metrics = nodes.apply(k).metrics()
+            for m in range(metrics.size()):
+                if metrics.apply(m).name() == "number of files read":
+                    value = known.get(metrics.apply(m).accumulatorId())
+                    total += int(value.get().split("\n")[-1].split()[0].replace(",", "")) if value.isDefined() else 0
+    return total, runs.size()
+
+
+def test_a_small_batch_reads_no_more_files_after_a_long_history(spark):
+    spec = SMALL.with_(reparent="move", direction="both")
+    read = []
+    for history in (2, 4):
+        engine = IncrementalProfiles(spark, spec, party.SCHEMAS, workspace(spark, "t"), buckets=16, compact_every=2)
+        log = Log()
+        for batch in range(history):
+            begin = len(log.records)
+            for i in range(30):
+                n = 30 * batch + i
+                log.add("customer", customer(1, customer_id=f"p{n}")).add("customer_address", address(n % 50, f"p{n}"))
+                log.add("relationship", link(n, f"p{n}", f"p{(7 * n) % 60}"))
+            engine.process(log.frame(spark, log.records[begin:]), batch)
+        begin = len(log.records)
+        log.add("customer_address", address(1, "p5")).add("customer_address", address(2, "p5"))
+        log.add("relationship", link(1, "p3", "p4")).add("relationship", link(2, "p2", "p9"), "d")
+        log.add("customer", customer(4, first_name="Other"))
+        log.add("customer_address", address(3, "p77"), "d")
+        _, mark = files_read(spark, 1 << 30)
+        engine.process(log.frame(spark, log.records[begin:]), history)
+        read.append(files_read(spark, mark)[0])
+        assert documents(engine.documents()) == batch_fold(spark, log, spec)
+    assert 0 < read[1] <= read[0] + 16, read
+
+
 def test_failed_batch_is_run_again_by_the_stream(spark):
     log, folder, checkpoint = story(), workspace(spark, "in"), workspace(spark, "cp")
     path = workspace(spark, "t")
