@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from cdcgold.operators.edges import either_end, left_join_many, one_end
 from cdcgold.operators.flat import assemble, baseline_profiles, flat_rows, rows_scanned
 from cdcgold.operators.fold import build_profiles, only_parents, profiles_from_logs
-from cdcgold.operators.latest import latest, snapshot_then_log
+from cdcgold.operators.latest import latest, live, snapshot_then_log
+from cdcgold.operators.snapshot import PHASE, merge_chunks, read_chunks
 from cdcgold.plans.registry import query
 from cdcgold.plans.shop import (
     DOCUMENTS_SQL,
@@ -371,3 +372,32 @@ def conversation_documents(spark, directory):
     return docs.select(
         "conv_id", F.size("turns").cast("bigint").alias("n_turns"), chars.alias("n_chars"), F.md5(joined).alias("digest")
     )
+
+
+@query(DOCUMENTS_SQL)
+def chunked_snapshot(spark, directory):
+    """The documents from a log whose older two thirds are gone, and four chunks read while it went on.
+
+    The chunks, ranges of the user's key in no order, each show the table at a moment of their own
+    within their marks; what the log changes between those marks comes from the log.
+    """
+    log = pref_log(spark, directory).drop("topic", "partition")
+    end = log.agg(F.max("offset")).first()[0] + 1
+    retained = log.where(F.col("offset") > 2 * end // 3)
+    moment = iter(range(12))  # where the log is, in twelfths of its last third
+
+    def position(step=end // 36):
+        return 2 * end // 3 + next(moment) * step
+
+    def read(part):
+        now = position()
+        state = live(latest(log.where((F.col("offset") <= now) & (F.pmod("user_id", F.lit(4)) == part)), _PREF, ["offset"]))
+        return state.select("user_id", "k", "event_type", "value")
+
+    chunks = read_chunks([2, 0, 3, 1], read, position)
+    merged = merge_chunks(retained, chunks, _PREF, "offset")
+    prefs = live(latest(merged, _PREF, ["offset", PHASE])).drop("offset", PHASE)
+    return documents_flat(build_profiles(SHOP, shop_tables(spark, directory) | {"pref": prefs}))
+
+
+_PREF = ["user_id", "k"]

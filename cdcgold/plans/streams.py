@@ -23,6 +23,7 @@ from cdcgold.plans.shop import (
 )
 from cdcgold.session import settings, workspace
 from cdcgold.sources.topics import stream_files
+from cdcgold.spec import ChildSpec
 from cdcgold.streaming.feed import ChangeApplier
 from cdcgold.streaming.incremental import IncrementalProfiles
 from cdcgold.streaming.keyed import KeyedTable
@@ -182,6 +183,53 @@ def stream_sync_lag(spark, directory):
     return lag.groupBy("topic").agg(F.count(F.lit(1)).alias("n_records"), F.count_if(unseen).alias("n_unseen"))
 
 
+TIE_TOPIC, TIES = "src.shop.tie", ChildSpec("tie", "t", "user_id", "ties", ("t",), other_fk="k")
+TIE_SCHEMA = "t bigint, user_id bigint, k bigint, event_type string"
+TIED = SHOP.with_(children=(TIES,), direction="both", reparent="move")
+
+
+def tie_records(spark, directory):
+    """Events as changes of a few hundred edges, whose two ends are other customers each time."""
+    log = pref_log(spark, directory).withColumn("t", F.col("offset") % 397)
+    row = F.struct("t", "user_id", "k", "event_type", "__op", "__deleted")
+    return log.select(
+        F.lit(TIE_TOPIC).alias("topic"), F.pmod("t", F.lit(4)).cast("int").alias("partition"), "offset",
+        F.col("t").cast("string").alias("key"), F.to_json(row).alias("value"),
+        F.timestamp_millis("__source_ts_ms").alias("timestamp"),
+    )
+
+
+@query(
+    f"""WITH {LOG_SQL},
+    state AS (
+      SELECT event_id % 397 AS t, arg_max(user_id, event_id) AS a, arg_max(k, event_id) AS b,
+             arg_max(event_type, event_id) AS event_type
+      FROM log GROUP BY 1
+    ),
+    ends AS (
+      SELECT a AS c_custkey, t FROM state WHERE event_type <> 'error'
+      UNION SELECT b, t FROM state WHERE event_type <> 'error'
+    ),
+    folded AS (SELECT c_custkey, count(*) AS n, string_agg(t::VARCHAR, ',' ORDER BY t) AS ties FROM ends GROUP BY 1)
+    SELECT c_custkey, c_name, coalesce(n, 0) AS n_ties, coalesce(ties, '') AS ties_text
+    FROM customer LEFT JOIN folded USING (c_custkey)
+    """
+)
+def stream_fold_both(spark, directory):
+    """Edges kept with both their ends while the ends change, from the reverse index."""
+    schemas = {"customer": CUSTOMER_SCHEMA, "tie": TIE_SCHEMA}
+    engine = IncrementalProfiles(spark, TIED, schemas, workspace(spark, "profiles"), buckets=8)
+    folder = workspace(spark, "records")
+    first, *rest = _ranges(tie_records(spark, directory))
+    _land(first, folder)
+    for part in (customer_records(spark, directory), *rest):
+        _land(part.coalesce(1), folder)
+    _run(spark, engine, folder, workspace(spark, "checkpoint"))
+    return engine.documents().select(
+        "c_custkey", "c_name", F.size("ties").cast("bigint").alias("n_ties"), text_of("ties", "t").alias("ties_text")
+    )
+
+
 _SLICED_SQL = f"""
 WITH {LOG_SQL},
 state AS (
