@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cdcgold.operators import checks, merge
-from cdcgold.operators.decode import publish
+from cdcgold.operators.decode import decode, publish
 from cdcgold.operators.flat import assemble, flat_rows
 from cdcgold.operators.fold import build_profiles, profiles_from_logs
 from cdcgold.operators.latest import latest, live
+from cdcgold.operators.parity import Parity, relational_facts
 from cdcgold.plans.merges import _UPDATES_SQL, updates
 from cdcgold.plans.registry import query
 from cdcgold.plans.shop import (
@@ -18,12 +19,19 @@ from cdcgold.plans.shop import (
     LOG_SQL,
     PREFS,
     SHOP,
+    TOPIC,
     links,
+    live_prefs,
     load,
     pref_log,
     root_snapshot,
     shop_tables,
 )
+from cdcgold.plans.streams import CUSTOMER_TOPIC, SCHEMAS, customer_records
+from cdcgold.session import settings, workspace
+from cdcgold.sources.topics import stream_files
+from cdcgold.streaming.keyed import KeyedTable
+from cdcgold.streaming.stateful import ROCKSDB, fold_stream
 
 _FIELDS = ("c_name", "c_mktsegment")
 
@@ -228,6 +236,88 @@ def path_parity(spark, directory):
     return checks.parity_summary(folded, regrouped)
 
 
+_PREF_SHOP = SHOP.with_(children=(PREFS,), fields=("c_custkey", "c_name"))
+
+
+def _streamed_documents(spark, directory):
+    """The change log as record files through the stateful stream: no code of the batch fold."""
+    folder = workspace(spark, "records")
+    log = pref_log(spark, directory)
+    row = F.to_json(F.struct("user_id", "k", "event_type", "value", "__op", "__deleted"))
+    records = log.select("topic", "partition", "offset", F.lit("").alias("key"), row.alias("value"),
+                         F.timestamp_millis("__source_ts_ms").alias("timestamp"))
+    customer_records(spark, directory).unionByName(records).write.parquet(folder)
+    topics = {"customer": CUSTOMER_TOPIC, "pref": TOPIC}
+    stream = stream_files(spark, folder)
+    logs = {t: decode(stream.where(F.col("topic") == topics[t]), SCHEMAS[t])[0] for t in SCHEMAS}
+    partitions = str(spark.sparkContext.defaultParallelism)
+    with settings(spark, {**ROCKSDB, "spark.sql.shuffle.partitions": partitions}):
+        docs = fold_stream(_PREF_SHOP, logs, SCHEMAS)
+        gold = KeyedTable(spark, workspace(spark, "gold"), docs.schema, ["c_custkey"], by="c_custkey", buckets=8)
+        writer = docs.writeStream.outputMode("update").foreachBatch(gold.append)
+        writer = writer.option("checkpointLocation", workspace(spark, "checkpoint"))
+        writer.trigger(availableNow=True).start().awaitTermination()
+    return gold.current().drop("batch_id")
+
+
+def _three_sides(spark, directory):
+    tables = {"customer": load(spark, directory, "customer"), "pref": live_prefs(spark, directory)}
+    fields, arrays = {"": ["c_name"]}, {"prefs": "k"}
+    return {
+        "stream": checks.facts(_streamed_documents(spark, directory), "c_custkey", arrays, fields),
+        "batch": checks.facts(build_profiles(_PREF_SHOP, tables), "c_custkey", arrays, fields),
+        "baseline": relational_facts(_PREF_SHOP, tables, ["c_name"]),
+    }
+
+
+_N_FACTS_SQL = f"""WITH {LIVE_SQL},
+    n AS (
+      SELECT (SELECT count(*) FROM customer)
+             + 2 * (SELECT count(*) FROM live JOIN customer ON c_custkey = user_id) AS n
+    )"""
+
+
+@query(
+    _N_FACTS_SQL
+    + """
+    SELECT unnest(['stream', 'batch', 'baseline']) AS side, n AS n_facts, CAST(0 AS BIGINT) AS n_buckets_differing
+    FROM n
+    """
+)
+def path_parity_three_ways(spark, directory):
+    """The stateful stream, the batch fold and the rows themselves, by digests; they share no fold."""
+    summary = Parity(_three_sides(spark, directory)).summary()
+    return summary.select("side", F.col("n_facts").cast("bigint"), "n_buckets_differing")
+
+
+@query(
+    f"""WITH {LIVE_SQL}
+    SELECT CAST(user_id AS VARCHAR) AS key, 'prefs' AS child, CAST(k AS VARCHAR) AS child_key, 'event_type' AS field,
+           event_type AS batch, CASE WHEN user_id % 50 = 0 THEN NULL ELSE 'other' END AS damaged,
+           event_type AS baseline, CASE WHEN user_id % 50 = 0 THEN 0 ELSE 1 END::BIGINT AS n_damaged
+    FROM live JOIN customer ON c_custkey = user_id WHERE k % 10 = 3 AND (user_id % 50 = 0 OR user_id % 70 = 1)
+    UNION ALL
+    SELECT CAST(c_custkey AS VARCHAR), '', '', 'c_name', c_name, NULL, c_name, 1 FROM customer WHERE c_custkey % 90 = 2
+    """
+)
+def path_parity_damaged(spark, directory):
+    """Documents that lost elements, hold a wrong value or a null name: the facts that differ are named."""
+    tables = {"customer": load(spark, directory, "customer"), "pref": live_prefs(spark, directory)}
+    docs = build_profiles(_PREF_SHOP, tables)
+    fields, arrays = {"": ["c_name"], "prefs": ["event_type"]}, {"prefs": "k"}
+    lost = F.filter("prefs", lambda e: (F.col("c_custkey") % 50 != 0) | (e["k"] % 10 != 3))
+    wrong = F.transform(lost, lambda e: F.when(
+        (F.col("c_custkey") % 70 == 1) & (e["k"] % 10 == 3), e.withField("event_type", F.lit("other"))
+    ).otherwise(e))
+    name = F.when(F.col("c_custkey") % 90 != 2, F.col("c_name"))
+    sides = {
+        "batch": checks.facts(docs, "c_custkey", arrays, fields),
+        "damaged": checks.facts(docs.withColumns({"prefs": wrong, "c_name": name}), "c_custkey", arrays, fields),
+        "baseline": relational_facts(_PREF_SHOP, tables, ["c_name"]).where("field <> 'value'"),
+    }
+    return Parity(sides).differences().drop("n_batch", "n_baseline")
+
+
 @query(
     f"""WITH {LIVE_SQL}
     SELECT (SELECT count(*) FROM live WHERE user_id IN (SELECT c_custkey FROM customer)) AS n_items,
