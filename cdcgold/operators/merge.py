@@ -5,11 +5,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cdcgold.operators.graph import labelled
 from cdcgold.session import materialise, materialise_counted
 
+#: ``insert_ignore`` with several keys: rounds before what is left is settled in order, and the rows
+#: that one task settles at most.
+ROUNDS = 2
+SETTLE_ROWS = 1 << 20
+
 
 def replace_upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Whole-row replace by key; the batch holds each key once."""
@@ -108,8 +115,11 @@ def insert_ignore(
         return first.select(key, "_first.*").select(*batch.columns).unionByName(nulls)
 
     rows, left = materialise_counted(_without(batch, target, unique_keys), "insert-candidates")
-    accepted = []
+    accepted, rounds = [], 0
     while left:
+        if rounds >= ROUNDS and (done := _settled(rows, left, unique_keys, order)) is not None:
+            accepted.append(done)
+            break
         winners = rows
         for k in unique_keys:
             first = _first_by(rows, k, order).select(order).unionByName(
@@ -120,11 +130,52 @@ def insert_ignore(
         accepted.append(winners)
         rest = rows.join(winners.select(order), order, "left_anti")
         rows, left = materialise_counted(_without(rest, winners, unique_keys), "insert-candidates")
+        rounds += 1
     if not accepted:
         return batch.limit(0)
     return reduce(DataFrame.unionByName, accepted).select(*batch.columns)
 
 
+def _settled(rows: DataFrame, left: int, unique_keys: Sequence[str], order: str) -> DataFrame | None:
+    """The rows that get in, each component of colliding rows settled in one ordered pass in one task.
+
+    Few rows are one group.  More are grouped by whole components; None if one of them alone has
+    too many rows for a task, so that further rounds must shrink it first.
+    """
+    if left <= SETTLE_ROWS:
+        return materialise(_passes(rows.withColumn("_group", F.lit(0)), unique_keys, order), "insert-settled")
+    number = F.xxhash64(order)  # unique as the order is, but for chance, which only joins components
+    links = [rows.select(number.alias("a"), F.xxhash64(F.lit(k), k).alias("b")).where(F.col(k).isNotNull())
+             for k in unique_keys]
+    found = materialise(labelled(reduce(DataFrame.unionByName, links)), "insert-components")
+    placed = materialise(rows.withColumn("node", number).join(found, "node", "left").drop("node"), "insert-placed")
+    largest = placed.groupBy("component").count().agg(F.max("count")).first()[0]
+    if largest > SETTLE_ROWS:
+        return None
+    groups = -(-left // SETTLE_ROWS)
+    grouped = placed.withColumn("_group", F.pmod(F.xxhash64(F.coalesce("component", number)), F.lit(groups)).cast("int"))
+    return materialise(_passes(grouped.drop("component"), unique_keys, order), "insert-settled")
+
+
+def _passes(rows: DataFrame, unique_keys: Sequence[str], order: str) -> DataFrame:
+    keys = list(unique_keys)
+
+    def settle(group: pa.Table) -> pa.Table:
+        group = group.sort_by(order)
+        seen: list[set] = [set() for _ in keys]
+        values = list(zip(*(group.column(k).to_pylist() for k in keys), strict=True))
+        inside = []
+        for row in values:
+            fresh = not any(v is not None and v in s for v, s in zip(row, seen, strict=True))
+            inside.append(fresh)
+            if fresh:
+                for v, s in zip(row, seen, strict=True):
+                    s.add(v)
+        return group.filter(pa.array(inside, pa.bool_()))
+
+    return rows.groupBy("_group").applyInArrow(settle, rows.schema).drop("_group")
+
+
 def append_ignore(
     target: DataFrame, batch: DataFrame, unique_keys: Sequence[str], order: str
 ) -> DataFrame:

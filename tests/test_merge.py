@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cdcgold.operators import changes, merge
+from cdcgold.operators.graph import labelled
 from cdcgold.spec import ChildSpec
 
 TARGET = [(1, "a", 10, 0), (2, "b", 20, 0), (3, "c", 30, 0)]
@@ -57,8 +58,10 @@ def one_by_one(target, batch, keys):
     return sorted(accepted, key=str)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_insert_ignore_against_one_by_one(spark, seed):
+@pytest.mark.parametrize("seed, at_once", [(1, 1 << 20), (2, 1 << 20), (3, 25), (4, 6), (5, 1)])
+def test_insert_ignore_against_one_by_one(spark, monkeypatch, seed, at_once):
+    """What is left after two rounds is settled at once, component by component, or in more rounds."""
+    monkeypatch.setattr(merge, "SETTLE_ROWS", at_once)
     rnd = random.Random(seed)
     pick = lambda n: rnd.choice([None, *range(n)])
     target = [(i, f"r{i + 40}", -1) for i in range(3)]
@@ -77,6 +80,29 @@ def test_insert_ignore_refused_row_blocks_nobody(spark):
     assert rows(got) == [(1, "A", 0), (2, "B", 2)]
 
 
+def test_insert_ignore_of_a_long_chain(spark):
+    """100,000 rows of which each collides with the next: every second one gets in."""
+    chain = spark.range(100_000).selectExpr("id div 2 AS id", "concat('r', (id + 1) div 2) AS ref", "id AS pos")
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    got = merge.insert_ignore(chain.limit(0), chain, ["id", "ref"], "pos").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("pos") % 2 == 1).alias("odd")
+    ).first()
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    assert tuple(got) == (50_000, 0) and store.executionsCount() - before <= 12
+
+
+def test_components_of_chains_stars_and_loops(spark):
+    rnd = random.Random(8)
+    names = rnd.sample(range(10**6), 400)
+    links = [(names[i], names[i + 1]) for i in range(150)] + [(names[200], names[i]) for i in range(201, 260)]
+    links += [(names[300], names[300]), (names[310], names[311]), (names[311], names[310])]
+    got = labelled(spark.createDataFrame(links, "a long, b long")).collect()
+    want = {n: min(names[:151]) for n in names[:151]} | {n: min(names[200:260]) for n in names[200:260]}
+    want |= {names[300]: names[300]} | {n: min(names[310:312]) for n in names[310:312]}
+    assert {r.node: r.component for r in got} == want
+
+
 def test_point_updates_last_value_of_each_field(spark):
     updates = spark.createDataFrame(
         [(1, "name", "x", 1, 5), (1, "name", "y", 3, 7), (1, "n", "11", 2, 6), (2, "other", "z", 4, 8), (9, "n", "1", 5, 9)],
