@@ -27,7 +27,7 @@ from cdcgold.spec import ChildSpec
 from cdcgold.streaming.feed import ChangeApplier
 from cdcgold.streaming.incremental import IncrementalProfiles
 from cdcgold.streaming.keyed import KeyedTable
-from cdcgold.streaming.stateful import ROCKSDB, fold_stream
+from cdcgold.streaming.stateful import ROCKSDB, changed_elements, documents_of, elements_table
 
 CUSTOMER_SCHEMA = "c_custkey bigint, c_name string, c_mktsegment string"
 CUSTOMER_TOPIC = "src.shop.customer"
@@ -253,13 +253,10 @@ def stream_fold_state(spark, directory):
     logs = {t: decode(records.where(F.col("topic") == topics[t]), SCHEMAS[t])[0] for t in SCHEMAS}
     partitions = str(spark.sparkContext.defaultParallelism)
     with settings(spark, {**ROCKSDB, "spark.sql.shuffle.partitions": partitions}):
-        docs = fold_stream(STREAMED, logs, SCHEMAS, slices=2)
-        gold = KeyedTable(
-            spark, workspace(spark, "gold"), docs.schema, ["c_custkey", "segment"], by="c_custkey", buckets=8
-        )
-        writer = docs.writeStream.outputMode("update").foreachBatch(gold.append)
+        gold = elements_table(spark, workspace(spark, "elements"), buckets=8)
+        writer = changed_elements(STREAMED, logs, slices=2).writeStream.outputMode("update").foreachBatch(gold.append)
         writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return _flat(gold.current(), "segment")
+    return _flat(documents_of(STREAMED, SCHEMAS, gold.current(), slices=2), "segment")
 
 
 @query(

@@ -1,8 +1,11 @@
-"""The whole-document fold as one stateful operator: a changed document is emitted per batch.
+"""The fold as one stateful operator over all tables of the document.
 
-All tables of the document share one stream of (key, slice, array, pk, position, gone,
-payload).  Payloads stay JSON text inside the state, so the Python part only puts, removes
-and lists entries; parsing, typing and ordering happen in Spark.
+They share one stream of (key, slice, array, pk, position, gone, payload).  Payloads are JSON
+text, so the Python part only compares positions; parsing, typing and ordering happen in Spark.
+
+``changed_elements`` keeps positions alone and emits the elements that changed: a batch costs what
+it changes, however large the documents are.  Positions of removed elements expire.
+``fold_stream`` keeps the payloads as well and emits whole documents, for sinks that replace them.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -19,11 +22,14 @@ from cdcgold.functions.cdc import is_deleted, strip_metadata
 from cdcgold.functions.values import slot
 from cdcgold.operators.decode import schema_of
 from cdcgold.spec import ProfileSpec
+from cdcgold.streaming.keyed import KeyedTable
 
 ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    )
+    ),
+    # expiry by processing time asks for another batch for ever; without data it can wait
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 _ROOT = ""
 _ENTRY = "payload string, part int, pos bigint, gone boolean"
@@ -33,6 +39,51 @@ _OUTPUT = (
 )
 
 
+_ELEMENT = "_key string, segment int, array string, pk string, part int, pos bigint, gone boolean, payload string"
+#: How long a removed element is remembered: a record older than the removal is ignored for so long.
+REMEMBER_MS = 7 * 24 * 3600 * 1000
+
+
+class ElementState(StatefulProcessor):
+    """The position last applied to each element of one document slice; newer changes pass.
+
+    Positions of removed elements are in a state of their own, whose values expire.  Roots do not:
+    a document without its root is not shown, so there is nothing to forget.
+    """
+
+    def __init__(self, remember_ms: int):
+        self.remember_ms = remember_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        name, position = "array string, pk string", "part int, pos bigint"
+        self._held = handle.getMapState("held", name, position)
+        self._removed = handle.getMapState("removed", name, position, ttlDurationMs=self.remember_ms)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        newest: dict[tuple, Row] = {}
+        for r in rows:
+            name = r.array, r.pk
+            if name not in newest or (newest[name].part, newest[name].pos) <= (r.part, r.pos):
+                newest[name] = r
+        for name, r in newest.items():
+            at, removed = (r.part, r.pos), r.gone and r.array != _ROOT
+            held, gone = self._held.getValue(name), self._removed.getValue(name)
+            if any(known is not None and tuple(known) > at for known in (held, gone)):
+                continue
+            (self._removed if removed else self._held).updateValue(name, at)
+            if removed and held is not None:
+                self._held.removeKey(name)
+            elif not removed and gone is not None:
+                self._removed.removeKey(name)
+            yield Row(
+                _key=key[0], segment=key[1], array=r.array, pk=r.pk, part=r.part, pos=r.pos, gone=r.gone,
+                payload=r.payload,
+            )
+
+    def close(self) -> None:
+        pass
+
+
 class DocumentState(StatefulProcessor):
     """Root row and child rows of one document slice, each with the position it came from.
 
@@ -97,6 +148,13 @@ def fold_stream(
     ``slices`` > 1 keeps every document in that many parts by child key, each its own group,
     so a document that receives a large share of the changes is worked on by several tasks.
     """
+    folded = _changes(spec, logs, slices).transformWithState(
+        statefulProcessor=DocumentState(), outputStructType=_OUTPUT, outputMode="Update", timeMode="None"
+    )
+    return _typed(spec, schemas, folded, slices)
+
+
+def _changes(spec: ProfileSpec, logs: Mapping[str, DataFrame], slices: int):
     if spec.reparent != "keep_both" or spec.direction != "from":
         raise ValueError("state is per (parent, child): use the incremental build for other policies")
     root = _tagged(logs[spec.root], spec.key, _ROOT, (spec.key,))
@@ -105,11 +163,41 @@ def fold_stream(
     for c in spec.children:
         child = _tagged(logs[c.table], c.fk, c.array, c.pk)
         parts.append(child.withColumn("_slice", slot([F.col("pk")], F.lit(slices))))
-    changes = reduce(DataFrame.unionByName, parts)
-    folded = changes.groupBy("_key", "_slice").transformWithState(
-        statefulProcessor=DocumentState(), outputStructType=_OUTPUT, outputMode="Update", timeMode="None"
+    return reduce(DataFrame.unionByName, parts).groupBy("_key", "_slice")
+
+
+def changed_elements(
+    spec: ProfileSpec, logs: Mapping[str, DataFrame], *, slices: int = 1, remember_ms: int = REMEMBER_MS
+) -> DataFrame:
+    """Streams of decoded rows per table to a stream of elements that changed, removals included.
+
+    Keep them in a table by ELEMENT_KEY (``elements_table``), newest row first.  Records that are
+    delivered again, or out of order within ``remember_ms`` of a removal, change nothing.
+    """
+    return _changes(spec, logs, slices).transformWithState(
+        statefulProcessor=ElementState(remember_ms), outputStructType=_ELEMENT, outputMode="Update",
+        timeMode="ProcessingTime",
+    )
+
+
+ELEMENT_KEY = ("_key", "segment", "array", "pk")
+
+
+def elements_table(spark: SparkSession, path: str, buckets: int = 64) -> KeyedTable:
+    return KeyedTable(spark, path, schema_of(_ELEMENT), ELEMENT_KEY, by="_key", order=("part", "pos"), buckets=buckets)
+
+
+def documents_of(
+    spec: ProfileSpec, schemas: Mapping[str, str | T.StructType], elements: DataFrame, *, slices: int = 1
+) -> DataFrame:
+    """Documents from the current rows of their elements; of some documents if only theirs are given."""
+    is_root = F.col("array") == _ROOT
+    folded = elements.groupBy("_key", "segment").agg(
+        F.max(F.when(is_root, F.struct("payload", "gone"))).alias("_root"),
+        F.collect_list(F.when(~is_root & ~F.col("gone"), F.struct("array", "payload"))).alias("items"),
     )
-    return _typed(spec, schemas, folded, slices)
+    rooted = folded.where(F.col("_root").isNotNull())
+    return _typed(spec, schemas, rooted.select("_key", "segment", "items", "_root.gone", F.col("_root.payload").alias("root")), slices)
 
 
 def _typed(spec: ProfileSpec, schemas, folded: DataFrame, slices: int) -> DataFrame:

@@ -1,6 +1,7 @@
 """Incremental and stateful folds: splits, replays, restarts and late roots."""
 
 import random
+import time
 
 import pytest
 from party_data import ROWS, Log, address, contact, customer, documents, link
@@ -16,7 +17,7 @@ from cdcgold.sources.wire import from_wire, wire_schema
 from cdcgold.spec import ChildSpec, ProfileSpec
 from cdcgold.streaming.incremental import IncrementalProfiles
 from cdcgold.streaming.keyed import KeyedTable
-from cdcgold.streaming.stateful import ROCKSDB, _tagged, fold_stream
+from cdcgold.streaming.stateful import ROCKSDB, _tagged, changed_elements, documents_of, elements_table, fold_stream
 
 SMALL = ProfileSpec(
     root="customer",
@@ -174,6 +175,46 @@ def test_stateful_fold_equals_batch_fold(spark, slices):
         assert sorted(doc["links"], key=str) == expected[key]["links"]
 
 
+def test_removed_elements_are_remembered_for_their_time(spark):
+    """A late record of a removed element is ignored at first, and is a new one when the time is over."""
+    folder, checkpoint = workspace(spark, "in"), workspace(spark, "cp")
+    gold = elements_table(spark, workspace(spark, "g"), buckets=2)
+
+    def run(log, first, remember_ms=1 << 40):
+        log.frame(spark, log.records[first:]).coalesce(1).write.mode("append").parquet(folder)
+        records, logs = stream_files(spark, folder), {}
+        for t in (SMALL.root, *(c.table for c in SMALL.children)):
+            good, _ = decode(records.where(table_of("topic") == t), wire_schema(party.SCHEMAS[t]))
+            logs[t] = from_wire(good, party.SCHEMAS[t])
+        seen = []
+        with settings(spark, ROCKSDB):
+            changes = changed_elements(SMALL, logs, remember_ms=remember_ms)
+
+            def keep(batch, batch_id):
+                gold.append(batch, batch_id)
+                seen.extend((r.array, r.pk, r.gone) for r in batch.collect())
+
+            writer = changes.writeStream.outputMode("update").foreachBatch(keep)
+            writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        return sorted(seen)
+
+    log = Log().add("customer", customer(1)).add("customer_address", address(1, "p1")).add("customer_address", address(2, "p1"))
+    early = list(log.records)
+    log.add("customer_address", address(1, "p1"), "d")
+    assert run(log, 0, 30_000) == [("", "p1", False), ("addresses", "a1", True), ("addresses", "a2", False)]
+    log.records += early  # delivered again
+    ended = time.time()
+    assert run(log, len(early) + 1, 30_000) == [("", "p1", False), ("addresses", "a2", False)]
+    docs = documents_of(SMALL, party.SCHEMAS, gold.current()).collect()
+    assert [[a.address_id for a in d.addresses] for d in docs] == [["a2"]]
+    time.sleep(max(0.0, ended + 31 - time.time()))
+    again = len(log.records)
+    log.records += early[1:2]
+    assert run(log, again, 30_000) == [("addresses", "a1", False)]
+    current = gold.current().where("pk = 'a1'").collect()
+    assert [r.gone for r in current] == [True], "the table's own positions still tell the older row"
+
+
 def test_keyed_table_ignores_uncommitted_folders(spark):
     schema = schema_of("id int, v string")
     path = workspace(spark, "k")
