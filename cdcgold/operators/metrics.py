@@ -15,32 +15,15 @@ from cdcgold.session import materialise
 PERCENTILES = (50, 95, 99)
 
 
-# Fixed value: value ranges a large group is ranked in.
-RANGES = 256
-
-
-def _ranges(counted: DataFrame, group: list[str]) -> DataFrame:
-    """The rows with ``_range``, a number that never falls as the value rises.
-
-    Ranges end at approximate quantiles of the group's own distinct values, so they are about
-    even wherever the values lie; only their evenness depends on the approximation.
-    """
-    cuts = [i / RANGES for i in range(1, RANGES)]
-    bounds = counted.groupBy(*group).agg(F.percentile_approx("_v", cuts, 10 * RANGES).alias("_bounds"))
-    one = F.lit(1).alias("_one")
-    both = counted.select("*", one).join(bounds.select("*", one), [*group, "_one"])
-    below = F.size(F.filter("_bounds", lambda b: b < F.col("_v")))
-    return both.withColumn("_range", below).drop("_bounds", "_one")
-
-
 def nearest_rank(
     df: DataFrame, group: Sequence[str], value: str, percentiles: Sequence[int] = PERCENTILES
 ) -> DataFrame:
     """Exact nearest-rank percentiles: element ceil(p/100*n) of the sorted values, per group.
 
     ``percentile_disc`` keeps every distinct value of a group in one task's memory.  Here
-    equal values are counted first, ranks run within value ranges of the group, and the ranges
-    are offset by a running total over their counts, so a large group spreads over many tasks.
+    equal values are counted first and dealt to tasks by ranges of (group, value), so a large
+    group spreads over many; ranks run within the few tasks that hold a wanted one, offset by
+    the counts of the tasks before.
     """
     group = list(group)
     counted = (
@@ -48,32 +31,23 @@ def nearest_rank(
         .groupBy(*group, F.col(value).alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    counted = _ranges(materialise(counted, "counted-values"), group)
-    per_range = counted.groupBy(*group, "_range").agg(F.sum("_n").alias("_size"))
-    running = Window.partitionBy(*group).orderBy("_range")
-    before = running.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranges = per_range.select(
-        *group,
-        "_range",
-        (F.sum("_size").over(before) - F.col("_size")).alias("_before"),
-        F.sum("_size").over(Window.partitionBy(*group)).alias("_total"),
-    )
-    # integer arithmetic of ceil(p * n / 100); a range is kept only if a wanted rank is in it
-    wanted = [
-        F.struct(F.lit(p).alias("p"), F.expr(f"({p} * _total + 99) div 100").alias("rank")) for p in percentiles
-    ]
-    size = per_range.select(*group, "_range", "_size")
-    targets = (
-        ranges.join(size, [*group, "_range"])
-        .withColumn("_w", F.explode(F.array(*wanted)))
-        .where((F.col("_w.rank") > F.col("_before")) & (F.col("_w.rank") <= F.col("_before") + F.col("_size")))
-        .groupBy(*group, "_range", "_before")
-        .agg(F.collect_list("_w").alias("_wanted"))
+    dealt = counted.repartitionByRange(*group, "_v").withColumn("_part", F.spark_partition_id())
+    dealt = materialise(dealt, "dealt-values")
+    sizes = dealt.groupBy(*group, "_part").agg(F.sum("_n").alias("_size"))  # a row per group and task
+    running = Window.partitionBy(*group).orderBy("_part")
+    upto = F.sum("_size").over(running.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    total = F.sum("_size").over(Window.partitionBy(*group))
+    # integer arithmetic of ceil(p * n / 100); a task's part is kept only if a wanted rank is in it
+    wanted = F.array(
+        *(F.struct(F.lit(p).alias("p"), F.expr(f"({p} * _total + 99) div 100").alias("rank")) for p in percentiles)
     )
-    within = Window.partitionBy(*group, "_range").orderBy("_v").rowsBetween(
+    inside = F.filter(wanted, lambda w: (w["rank"] > F.col("_before")) & (w["rank"] <= F.col("_before") + F.col("_size")))
+    targets = sizes.withColumns({"_before": upto - F.col("_size"), "_total": total})
+    targets = targets.select(*group, "_part", "_before", inside.alias("_wanted")).where(F.size("_wanted") > 0)
+    within = Window.partitionBy(*group, "_part").orderBy("_v").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    ranked = counted.join(targets, [*group, "_range"]).withColumn(
+    ranked = dealt.join(targets, [*group, "_part"]).withColumn(
         "_upto", F.sum("_n").over(within) + F.col("_before")
     )
     hits = ranked.withColumn("_w", F.explode("_wanted")).where(
