@@ -7,7 +7,7 @@ the folders whose write was committed.  ``compact`` folds the batches so far int
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -130,11 +130,15 @@ class KeyedTable:
         rows = self.rows(self.buckets_of(mine) if wanted is None else wanted, before)
         return self._newest_of(rows.join(mine, self.by, "left_semi"))
 
-    def compact(self) -> None:
-        """Fold everything committed so far into one base; the newest batch id is kept."""
+    def compact(self, needed: Callable[[DataFrame], DataFrame] | None = None) -> None:
+        """Fold everything committed so far into one base; the newest batch id is kept.
+
+        ``needed`` says which of the newest rows are still needed.
+        """
         newest = self.newest()
         if newest is not None and newest not in self._bases():
-            self._write(self._newest_of(self.rows()), f"base={newest}")
+            rows = self._newest_of(self.rows())
+            self._write(rows if needed is None else needed(rows), f"base={newest}")
 
     def vacuum(self, keep: int = 0) -> None:
         """Remove folders a newer base has replaced, but for those that `keep` bases before it need.

@@ -15,6 +15,7 @@ from cdcgold.sources import party
 from cdcgold.sources.topics import RECORD_SCHEMA, stream_files
 from cdcgold.sources.wire import from_wire, wire_schema
 from cdcgold.spec import ChildSpec, ProfileSpec
+from cdcgold.streaming.feed import ChangeApplier
 from cdcgold.streaming.incremental import IncrementalProfiles
 from cdcgold.streaming.keyed import KeyedTable
 from cdcgold.streaming.stateful import ROCKSDB, _tagged, changed_elements, documents_of, elements_table, fold_stream
@@ -215,6 +216,32 @@ def test_removed_elements_are_remembered_for_their_time(spark):
     assert [r.gone for r in current] == [True], "the table's own positions still tell the older row"
 
 
+def test_positions_of_removed_elements_do_not_pile_up(spark):
+    """Elements come and go; what is remembered of them stays within the lateness."""
+    child = ChildSpec("item", "k", "id", "items", ("k", "v"))
+    docs = KeyedTable(
+        spark, workspace(spark, "g"), schema_of("id long, items array<struct<k: long, v: long>>"), ["id"], by="id",
+        whole=True, buckets=2,
+    )
+    docs.append(spark.createDataFrame([(1, [])], "id long, items array<struct<k: long, v: long>>"), -1)
+    applier = ChangeApplier(docs, "id", [child], {"items": lambda b: b}, ["pos"], lateness=60, compact_every=2)
+    feed = "id long, k long, v long, operation string, pos long"
+    sizes = []
+    for batch in range(4):
+        rows, at = [], 100 * batch
+        for i in range(50):
+            rows += [(1, at + i, i, "insert", 2 * (at + i)), (1, at + i, i, "delete", 2 * (at + i) + 1)]
+        rows[-1] = (1, 7, batch, "update", 2 * (at + 50))  # the last element stays, and 7 comes back
+        if batch == 3:
+            rows.append((1, 1, 0, "insert", 0))  # far too late
+            rows.append((1, 340, 9, "insert", 680))  # removed later in the same batch
+        applier.process(spark.createDataFrame(rows, feed).repartition(3), batch)
+        sizes.append(applier.applied.current().count())
+    [doc] = docs.current().collect()
+    assert [(e.k, e.v) for e in doc["items"]] == [(49, 49), (149, 49), (249, 49), (349, 49), (7, 3)]
+    assert sizes[3] <= sizes[1] + 2 < 100 and sizes[0] == 50, sizes
+
+
 def test_keyed_table_ignores_uncommitted_folders(spark):
     schema = schema_of("id int, v string")
     path = workspace(spark, "k")
