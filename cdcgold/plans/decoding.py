@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cdcgold.functions.cdc import is_deleted, key_text, table_of
 from cdcgold.operators import decode as D
+from cdcgold.operators.diagnosis import diagnose
 from cdcgold.plans.registry import query
 from cdcgold.plans.shop import LOG_SQL, TOPIC, load, pref_log
 from cdcgold.sources.wire import from_wire
@@ -219,3 +220,32 @@ def audit_log_dedup(spark, directory):
     return once.groupBy("topic", F.col("partition").alias("part")).agg(
         F.count(F.lit(1)).alias("n"), F.max("offset").alias("last_pos")
     )
+
+
+@query(
+    f"""SELECT topic, reason, field, detail, count(*) AS n FROM (
+      SELECT '{TOPIC}' AS topic, 'empty value' AS reason, NULL AS field, NULL AS detail FROM events WHERE event_id % 60 = 1
+      UNION ALL SELECT '{TOPIC}', 'not json', NULL, NULL FROM events WHERE event_id % 60 = 2
+      UNION ALL SELECT '{TOPIC}', 'not an object', NULL, 'array' FROM events WHERE event_id % 60 = 3
+      UNION ALL SELECT '{TOPIC}', 'wrong type', 'user_id', 'bigint expected, string' FROM events WHERE event_id % 60 = 4
+      UNION ALL SELECT '{TOPIC}', 'wrong type', 'value', 'double expected, boolean' FROM events WHERE event_id % 60 = 4
+      UNION ALL SELECT '{TOPIC}', 'missing key', unnest(['user_id', 'k']), NULL FROM events WHERE event_id % 60 = 5
+      UNION ALL SELECT 'src.shop.other', 'unknown table', NULL, 'src.shop.other' FROM events WHERE event_id % 60 = 6
+    ) GROUP BY ALL
+    """
+)
+def dead_letters_explained(spark, directory):
+    """Records damaged in six ways, each finding with its field and what it holds."""
+    records = raw_records(spark, directory)
+    n = F.col("offset") % 60
+    plain = F.get_json_object("key", "$.k")
+    value = (
+        F.when(n == 1, " ").when(n == 2, '{"user_id": 1').when(n == 3, "[1, 2]")
+        .when(n == 4, F.concat(F.lit('{"payload": {"user_id": "x", "value": true, "k": '), plain, F.lit("}}")))
+        .when(n == 5, '{"event_type": "view", "k": null}')
+        .when(n != 7, F.concat(F.lit('{"user_id": 5, "value": 1.5, "k": '), plain, F.lit("}")))
+    )
+    topic = F.when(n == 6, "src.shop.other").otherwise(F.col("topic"))
+    damaged = records.withColumns({"value": value, "topic": topic})
+    found = diagnose(damaged, {"pref": PREF_SCHEMA}, {"pref": ("user_id", "k")})
+    return found.groupBy("topic", "reason", "field", "detail").agg(F.count(F.lit(1)).alias("n"))

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from cdcgold.functions.cdc import table_of
 from cdcgold.operators.decode import decode, flat_schema, schema_of
+from cdcgold.operators.diagnosis import UNKNOWN_TABLE, diagnose
 from cdcgold.operators.fold import build_profiles
 from cdcgold.operators.latest import LOG_ORDER, current_child, current_root, latest, live
 from cdcgold.session import materialise, scratch
@@ -178,6 +179,11 @@ class IncrementalProfiles:
         schema = schema_of(f"{RECORD_SCHEMA}, reason string")
         return read_batches(self.spark, f"{self.path}/dead_letters", schema)
 
+    def findings(self) -> DataFrame:
+        """What is wrong with each dead letter: table, field and what it holds."""
+        keys = {t: [self.spec.key] if (c := self._child(t)) is None else list(c.pk) for t in self.tables}
+        return diagnose(self.dead_letters(), {t: wire_schema(self.schemas[t]) for t in self.tables}, keys)
+
     def ledger(self) -> DataFrame:
         """Per batch and log partition, how far the documents are and when that became visible."""
         schema = schema_of("topic string, partition int, end_offset bigint, bronze_ms bigint, gold_ms bigint")
@@ -250,6 +256,8 @@ class IncrementalProfiles:
             newest = latest(from_wire(good, self.schemas[table]), self._keys(table))
             writes.append(partial(self._store, table, newest, batch_id))
             rejected.append(bad)
+        unrouted = raw.where(~F.col("table").isin(*self.tables)).withColumn("reason", F.lit(UNKNOWN_TABLE))
+        rejected.append(unrouted.select(*rejected[0].columns))
         dead = reduce(DataFrame.unionByName, rejected)
         writes.append(partial(write_batch, dead, f"{self.path}/dead_letters", batch_id))
         self._together(writes)

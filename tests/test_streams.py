@@ -72,6 +72,7 @@ def test_batches_replays_and_duplicates_equal_one_fold(spark, policy):
     assert documents(engine.documents()) == expected
     assert engine.audit().count() == len(log.records)
     assert [r.reason for r in engine.dead_letters().collect()] == ["unparseable value"]
+    assert [(r.table, r.reason) for r in engine.findings().collect()] == [("customer", "not json")]
     ends = {r.topic: r.end_offset for r in engine.ledger().groupBy("topic").agg(F.max("end_offset").alias("end_offset")).collect()}
     assert ends["src.party.customer"] == log.offsets["customer"] - 1
     with pytest.raises(ValueError):
