@@ -22,7 +22,7 @@ from cdcgold.plans.shop import (
     text_of,
 )
 from cdcgold.session import settings, workspace
-from cdcgold.sources.topics import stream_files
+from cdcgold.sources.topics import once, stream_files
 from cdcgold.spec import ChildSpec
 from cdcgold.streaming.feed import ChangeApplier
 from cdcgold.streaming.incremental import IncrementalProfiles
@@ -343,3 +343,27 @@ def stream_root_changes(spark, directory):
     )
     applier.start(stream, workspace(spark, "checkpoint"), {"availableNow": True}).awaitTermination()
     return gold.current().select("c_custkey", "c_name", "c_mktsegment", F.size("prefs").cast("bigint").alias("n_prefs"))
+
+
+@query(
+    f"""SELECT '{TOPIC}' AS topic, k % 4 AS partition, count(*) AS n, sum(event_id)::BIGINT AS offsets
+    FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) GROUP BY ALL"""
+)
+def stream_once(spark, directory):
+    """A third of the log a batch, with repeats inside the time they are remembered, and long after it."""
+    log = raw_records(spark, directory).withColumn("timestamp", F.timestamp_seconds(F.col("offset") + 86400))
+    first, second, third = _ranges(log)
+    end = log.agg(F.max("offset")).first()[0]
+    folder = workspace(spark, "records")
+    # the second batch repeats the end of the first; the third also records far behind the watermark
+    again = first.where(F.col("offset") > end // 4)
+    for part in (first, second.unionByName(again), third.unionByName(again).unionByName(first)):
+        _land(part.coalesce(1), folder)
+    table, checkpoint = workspace(spark, "once"), workspace(spark, "checkpoint")
+    stream = once(stream_files(spark, folder, files_per_trigger=1), f"{int(0.36 * end)} seconds")
+    partitions = str(spark.sparkContext.defaultParallelism)
+    with settings(spark, {**ROCKSDB, "spark.sql.shuffle.partitions": partitions}):
+        writer = stream.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint)
+        writer.trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.parquet(table).groupBy("topic", "partition")
+    return found.agg(F.count(F.lit(1)).alias("n"), F.sum("offset").alias("offsets"))

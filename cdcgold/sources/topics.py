@@ -60,6 +60,19 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RECORD_SCHEMA).parquet(path)
 
 
+def once(records: DataFrame, within: str) -> DataFrame:
+    """A stream of records without those delivered again, remembering coordinates for a bounded time.
+
+    ``within`` bounds both how late a record may come and how long after a record its repeats are
+    told: repeats within it are dropped by their coordinates, later ones are behind the watermark
+    and dropped as late.  Records more than ``within`` behind the newest timestamp seen in earlier
+    batches are dropped too, so it must exceed the disorder of the topic; a null timestamp is
+    never late, and its repeats are told while the state lasts.
+    """
+    marked = records.withWatermark("timestamp", within)
+    return marked.dropDuplicatesWithinWatermark(["topic", "partition", "offset"])
+
+
 def publish_kafka(docs: DataFrame, brokers: str, topic: str) -> None:
     """Write (key, value) rows to a topic."""
     writer = docs.write.format("kafka").option("kafka.bootstrap.servers", brokers)

@@ -27,7 +27,7 @@ from cdcgold.operators.diagnosis import UNKNOWN_TABLE, diagnose
 from cdcgold.operators.fold import build_profiles
 from cdcgold.operators.latest import LOG_ORDER, current_child, current_root, latest, live
 from cdcgold.session import materialise, scratch
-from cdcgold.sources.topics import RECORD_SCHEMA
+from cdcgold.sources.topics import RECORD_SCHEMA, once
 from cdcgold.sources.wire import from_wire, wire_schema
 from cdcgold.spec import ChildSpec, ProfileSpec
 from cdcgold.streaming.keyed import KeyedTable, read_batches, write_batch
@@ -292,7 +292,14 @@ class IncrementalProfiles:
         for table in self.stored():
             table.compact()
 
-    def start(self, records: DataFrame, checkpoint: str, trigger: Mapping[str, object] | None = None):
-        """Run over a stream of records; restarts continue from the checkpoint."""
+    def start(
+        self, records: DataFrame, checkpoint: str, trigger: Mapping[str, object] | None = None,
+        within: str | None = None,
+    ):
+        """Run over a stream of records; restarts continue from the checkpoint.
+
+        ``within``: drop records delivered again before they are worked on (see ``topics.once``).
+        """
+        records = records if within is None else once(records, within)
         writer = records.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint)
         return writer.trigger(**(trigger or {"processingTime": "1 second"})).start()
