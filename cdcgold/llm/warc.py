@@ -18,15 +18,16 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cdcgold.session import materialise, workspace
 
 CRLF = "\r\n"
 MIN_REVISIT = 1000
-#: Records of one archive; a file is read as a whole.
+#: Records of one archive, and about the bytes it may have: a file is read as a whole.
 RECORDS = 6000
+ARCHIVE_BYTES = 256 << 20
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -59,7 +60,9 @@ def write(
     rows = rows.withColumn("capture", capture)
     best = F.max(F.struct("id", "url", "capture"))
     # only payloads that come more than once have a row here, known in size before the join
-    first = rows.filter(F.col("bytes") >= MIN_REVISIT).groupBy("digest", "bytes")
+    seen = Observation()
+    measured = rows.observe(seen, F.max("bytes").alias("largest"))
+    first = measured.filter(F.col("bytes") >= MIN_REVISIT).groupBy("digest", "bytes")
     first = first.agg(best.alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     first = materialise(first.select("digest", "bytes", F.col("best.capture").alias("holder")), "payloads")
     rows = rows.join(first, ["digest", "bytes"], "left")
@@ -104,7 +107,9 @@ def write(
         F.concat(F.lit("capture: "), "capture", F.lit(CRLF)),
     )
     lines = rows.select(F.explode(F.array(request, response, metadata)).alias("value"))
-    lines.write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", RECORDS).text(path)
+    # as many as fit even if all were as large as the largest; a capture more than that has a file of its own
+    per_file = min(RECORDS, 3 * max(1, ARCHIVE_BYTES // ((seen.get["largest"] or 0) + 4096)))
+    lines.write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", per_file).text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], int, int]]:
@@ -192,17 +197,26 @@ def round_trip(pages: DataFrame, path: str | None = None, page_id: str = "page_i
     spark = pages.sparkSession
     path = path or workspace(spark, "archives")
     write(pages, path, page_id, url, payload)
-    rows = materialise(captures(records(spark, path, with_payload=False)), "captures")
+    # archives are parsed once; what is kept of a record has no payload
+    parsed = materialise(records(spark, path, with_payload=False), "records")
+    rows = materialise(captures(parsed), "captures")
     said = F.from_json(F.regexp_extract(F.col("metadata.body").cast("string"), r"^capture: (.*)\r\n$", 1), "key string, url string")
     kind = pages.schema[page_id].dataType.simpleString()
     rows = rows.select(
         "record_id", "kind", "refers_to", "response.bytes", "response.sha1", "response.said_digest",
         said["key"].cast(kind).alias("page_id"), said["url"].alias("url"),
     )
-    held = rows.filter("kind = 'response'").select(
+    # only revisits look for another record; those they name, each once, are a written table, so
+    # that the join with one which many revisits name can be broadcast or split
+    revisits = rows.filter("kind = 'revisit'")
+    held = rows.filter("kind = 'response'").join(revisits.select(F.col("refers_to").alias("record_id")), "record_id", "left_semi")
+    held = held.select(
         F.col("record_id").alias("refers_to"), F.col("page_id").alias("to"), F.col("bytes").alias("b"), F.col("sha1").alias("s")
     )
-    rows = rows.join(held.dropDuplicates(["refers_to"]), "refers_to", "left")
+    held = materialise(held.dropDuplicates(["refers_to"]), "referred")
+    own = ["page_id", "kind", "bytes", "sha1", "url"]
+    found = revisits.join(held, "refers_to", "left").select(*own, "to", "b", "s")
+    rows = rows.filter("kind = 'response'").select(*own).unionByName(found, allowMissingColumns=True)
     return rows.select(
         "page_id",
         F.coalesce("b", "bytes").alias("payload_bytes"),
