@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from cdcgold.session import materialise, workspace
+from cdcgold.session import materialise, scratch, workspace
 
 CRLF = "\r\n"
 MIN_REVISIT = 1000
@@ -193,15 +193,23 @@ def captures(records: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, path: str | None = None, page_id: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
-    """Write all rows, read the archives, and report each capture by its key."""
+    """Write all rows, read the archives, and report each capture by its key.
+
+    Archives stay where a path is given; without one they go once they have been read.
+    """
     spark = pages.sparkSession
-    path = path or workspace(spark, "archives")
-    write(pages, path, page_id, url, payload)
-    # archives are parsed once; what is kept of a record has no payload
-    parsed = materialise(records(spark, path, with_payload=False), "records")
-    rows = materialise(captures(parsed), "captures")
+    with scratch(spark) as keep_report:
+        with scratch(spark) as keep_records:
+            path = path or workspace(spark, "archives")
+            write(pages, path, page_id, url, payload)
+            # archives are parsed once; what is kept of a record has no payload
+            parsed = keep_records(records(spark, path, with_payload=False), "records")
+        kind = pages.schema[page_id].dataType.simpleString()
+        return keep_report(_report(materialise(captures(parsed), "captures"), kind), "round-trip")
+
+
+def _report(rows: DataFrame, kind: str) -> DataFrame:
     said = F.from_json(F.regexp_extract(F.col("metadata.body").cast("string"), r"^capture: (.*)\r\n$", 1), "key string, url string")
-    kind = pages.schema[page_id].dataType.simpleString()
     rows = rows.select(
         "record_id", "kind", "refers_to", "response.bytes", "response.sha1", "response.said_digest",
         said["key"].cast(kind).alias("page_id"), said["url"].alias("url"),
