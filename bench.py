@@ -38,8 +38,9 @@ HEADLINE = (
     "latency_report",
     "sync_lag_report",
     "stream_fold",
+    "stream_fold_state",
 )
-ONCE = {"stream_fold"}
+ONCE = {"stream_fold", "stream_fold_state"}
 
 
 def seconds(spark, name: str, directory: str) -> float:
