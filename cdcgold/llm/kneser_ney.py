@@ -139,7 +139,7 @@ def _save(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
 
 
 def _pair_shards(pairs: DataFrame, folder: str, shards: int) -> DataFrame:
-    """Writes the pair arrays of each shard; gives how many pairs it has by count from 1 to 4."""
+    """Writes the pair arrays of each shard; gives the shard, and how many pairs it has by count from 1 to 4."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -151,9 +151,10 @@ def _pair_shards(pairs: DataFrame, folder: str, shards: int) -> DataFrame:
             key, n = _grouped(*(np.concatenate(x) for x in zip(*parts, strict=True)))
             _save(folder, f"pairs-{shard}", {"key": key, "n": n.astype(np.min_scalar_type(int(n.max())))})
             of = [int((n == k).sum()) for k in range(1, 5)]
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in of], [f"n{k}" for k in range(1, 5)])
+            columns = [pa.array([shard], pa.int32()), *(pa.array([x]) for x in of)]
+            yield pa.RecordBatch.from_arrays(columns, ["shard", *(f"n{k}" for k in range(1, 5))])
 
-    return pairs.repartition(shards, "shard").mapInArrow(run, "n1 long, n2 long, n3 long, n4 long")
+    return pairs.repartition(shards, "shard").mapInArrow(run, "shard int, n1 long, n2 long, n3 long, n4 long")
 
 
 _TOTALS = ("total", "one", "two", "more", "uses", "times")
@@ -208,15 +209,21 @@ class Model:
     discount: list[float]
     low_discount: list[float]
     low_weight: float  # what the lowest order discounts, as a share
+    stored: frozenset[str] = frozenset()  # the shards that were written, as pairs-3 or words-0; others are empty
     _open: dict = field(default_factory=dict, repr=False)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_open": {}}
 
     def _array(self, name: str) -> np.ndarray | None:
+        """None for a shard without rows; a shard that was written and is not there is an error."""
         if name not in self._open:
             path = os.path.join(self.folder, f"{name}.npy")
-            self._open[name] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
+            if name.split(".")[0] not in self.stored:
+                return None
+            if not os.path.exists(path):
+                raise FileNotFoundError(f"{path} is not there: the model's folder must be shared by all machines")
+            self._open[name] = np.load(path, mmap_mode="r")
         return self._open[name]
 
     def _find(self, kind: str, shards: int, keys: np.ndarray, columns: tuple[str, ...]) -> list[np.ndarray]:
@@ -265,9 +272,11 @@ def train(docs: DataFrame, text: str = "text", folder: str | None = None) -> Mod
     # shards follow the size of the texts, six bytes or so to a token
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     shards = 1 << max(0, int(size / 6 / SHARD)).bit_length()
-    of = _pair_shards(_pairs(docs, text, shards), folder, shards).agg(*[F.sum(f"n{k}") for k in range(1, 5)]).first()
+    written = _pair_shards(_pairs(docs, text, shards), folder, shards)
+    *of, found = written.agg(*[F.sum(f"n{k}") for k in range(1, 5)], F.collect_set("shard")).first()
     discount = discounts([n or 0 for n in of])
-    model = Model(folder, shards, 1, 0, 0, 0, discount.tolist(), [], 1.0)
+    stored = frozenset(f"pairs-{s}" for s in found)
+    model = Model(folder, shards, 1, 0, 0, 0, discount.tolist(), [], 1.0, stored)
 
     stats = _word_parts(docs, text, model).groupBy("word")
     # sums of shares are whole numbers but for rounding
@@ -286,11 +295,11 @@ def train(docs: DataFrame, text: str = "text", folder: str | None = None) -> Mod
     model.low_discount = low.tolist()
     taken = float(low[1:] @ np.array([s["n1"], s["n2"], s["more"]]))
     model.low_weight = taken / model.pairs if model.pairs else 1.0
-    _word_shards(stats, folder, model.word_shards, discount)
+    model.stored |= {f"words-{s}" for s in _word_shards(stats, folder, model.word_shards, discount)}
     return model
 
 
-def _word_shards(stats: DataFrame, folder: str, shards: int, discount: np.ndarray) -> None:
+def _word_shards(stats: DataFrame, folder: str, shards: int, discount: np.ndarray) -> list[int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [[c.to_numpy() for c in b.columns] for b in batches]
         if not held:
@@ -306,7 +315,7 @@ def _word_shards(stats: DataFrame, folder: str, shards: int, discount: np.ndarra
 
     shard = F.shiftrightunsigned("word", 64 - (shards - 1).bit_length()).cast("int") if shards > 1 else F.lit(0)
     dealt = stats.select(shard.alias("shard"), "word", *_TOTALS)
-    dealt.repartition(shards, "shard").mapInArrow(run, "shard int").write.format("noop").mode("overwrite").save()
+    return dealt.repartition(shards, "shard").mapInArrow(run, "shard int").agg(F.collect_set("shard")).first()[0]
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:

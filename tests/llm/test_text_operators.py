@@ -208,3 +208,14 @@ def test_kneser_ney_shards_do_not_matter(spark, monkeypatch):
     assert lm.held_out_scores(docs.limit(0)).count() == 0
     probabilities = lm.train(docs).log10(np.zeros(1, np.uint64), np.ones(1, np.uint64))[0]
     assert -3 < probabilities[0] < 0
+
+
+def test_a_model_without_one_of_its_arrays_is_an_error(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b c a b", None, "s", None, "", "", 0)], DOC_SCHEMA)
+    model = lm.train(docs, folder=str(tmp_path / "m"))
+    assert lm.score(docs, model, ["doc_id"]).count() == 1
+    for name in ("words-0.total", "pairs-0.n"):
+        (tmp_path / "m" / f"{name}.npy").rename(tmp_path / "away")
+        with pytest.raises(Exception, match="is not there"):
+            lm.score(docs, model, ["doc_id"]).collect()
+        (tmp_path / "away").rename(tmp_path / "m" / f"{name}.npy")
