@@ -17,8 +17,9 @@ Frequent tokens are those that take a share `1 / TOP` or more of some chunk of t
 all chunks of all documents are counted, and a list of at most `TOP` tokens can result, which is
 the proven bound of what is broadcast.
 
-Equal sets are one class from the start.  Sets that share a signature form a bucket.  Not all its
-pairs are compared: first each set with the bucket's centre, which has the signature earliest, and
+Equal sets are one class from the start, a node named by its digest; a task indexes the first of the
+equal sets that it meets.  Signatures go through one exchange, and windows over it find those that
+several nodes share.  Sets that share a signature form a bucket.  Not all its pairs are compared: first each set with the bucket's centre, which has the signature earliest, and
 after the links found have been contracted to components, the pairs of sets of different components
 that are left, so a group of n near copies costs about n comparisons while no link between
 components is missed.
@@ -29,7 +30,8 @@ differ in too many cannot link.  What is left is verified on the whole texts.
 
 Defined cases: null, empty and wordless texts have empty sets and link with nothing; fewer than
 `SHINGLE` words are one token; rows without an id have no component; rows that share an id count
-as one document, linked to whatever any of its texts links to.
+as one document, linked to whatever any of its texts links to; repeated rows count once; ties go to the
+lowest id.  Texts are read in slices of bounded size and a longer text alone; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cdcgold.llm.components import components
@@ -70,6 +72,15 @@ def sets(texts: pa.Array, k: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
+def _digest(own: np.ndarray) -> bytes:
+    return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+
+
+def _node(digest: bytes) -> int:
+    """The name of a class of equal sets; should two classes share one, both are compared under it."""
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
 def bit_map(own: np.ndarray) -> bytes:
     """Parities of a set's tokens at 2^k places, as many as the set has tokens or a bit more."""
     places = max(8, 1 << (len(own) - 1).bit_length()) if len(own) else 8
@@ -99,7 +110,7 @@ def _counted(chunk: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return token[edge[often]].view(np.int64), times[often]
 
 
-_FACTS = "doc_id {id}, n long, digest binary, bits binary, token array<long>, times array<long>"
+_FACTS = "doc_id {id}, n long, digest binary, node long, bits binary, token array<long>, times array<long>"
 
 
 def _facts(docs: DataFrame, text: str, k: int) -> DataFrame:
@@ -111,19 +122,20 @@ def _facts(docs: DataFrame, text: str, k: int) -> DataFrame:
         def counts() -> pa.RecordBatch:
             token, times = _counted(chunk)
             one = [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (token, times)]
-            none = [pa.nulls(1, pa.binary())] * 2
+            none = [pa.nulls(1, t) for t in (pa.binary(), pa.int64(), pa.binary())]
             return pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.array([size], pa.int64()), *none, *one], names)
 
-        names = ["doc_id", "n", "digest", "bits", "token", "times"]
+        names = ["doc_id", "n", "digest", "node", "bits", "token", "times"]
         for part in slices(batches, text):
             own, kind = sets(part.column(text), k), part.column("doc_id").type
-            digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in own]
+            digest = [_digest(x) for x in own]
             blank = pa.nulls(len(own), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
                     pa.array([len(s) for s in own], pa.int64()),
                     pa.array(digest, pa.binary()),
+                    pa.array(map(_node, digest), pa.int64()),
                     pa.array(map(bit_map, own), pa.binary()),
                     blank,
                     blank,
@@ -196,21 +208,56 @@ def signatures(
 
 
 def _index(docs: DataFrame, text: str, k: int, percent: int, top: Broadcast) -> DataFrame:
-    """The set size, and the signatures and their places, of every document."""
+    """The node, set size, signatures and their places of the sets of two tokens or more.
+
+    Of equal sets in a task's part of the rows only the first is indexed.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for part in slices(batches, text):
-            own = sets(part.column(text), k)
-            made = [signatures(s, *top.value, percent) if len(s) > 1 else (s[:0], np.zeros(0, np.int64)) for s in own]
+            own = {}
+            for s in sets(part.column(text), k):
+                if len(s) > 1 and (digest := _digest(s)) not in seen:
+                    seen.add(digest)
+                    own[digest] = s
+            if not own:
+                continue
+            made = [signatures(s, *top.value, percent) for s in own.values()]
             first = pa.array(np.concatenate([[0], np.cumsum([len(s) for s, _ in made])]), pa.int32())
             sig = np.concatenate([s for s, _ in made]).view(np.int64)
             place = np.concatenate([p for _, p in made]).astype(np.int32)
             lists = [pa.ListArray.from_arrays(first, pa.array(x)) for x in (sig, place)]
-            n = pa.array([len(s) for s in own], pa.int32())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), n, *lists], ["doc_id", "n", "sig", "place"])
+            node = pa.array(map(_node, own), pa.int64())
+            n = pa.array(map(len, own.values()), pa.int32())
+            yield pa.RecordBatch.from_arrays([node, n, *lists], ["node", "n", "sig", "place"])
+
+    return docs.select(text).mapInArrow(run, "node long, n int, sig array<long>, place array<int>")
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, n int, sig array<long>, place array<int>")
+
+def _members(index: DataFrame, percent: int) -> DataFrame:
+    """The members of buckets of several nodes: (sig, node, n, reach), the bucket's count `m` and centre.
+
+    The centre has the signature earliest, for its size; ties are settled by the node.
+    """
+    bucket = Window.partitionBy("sig")
+    rows = index.select("node", "n", F.explode(F.arrays_zip("sig", "place")).alias("x")).select("x.sig", "node", "n", "x.place")
+    rows = rows.select("*", F.min("node").over(bucket).alias("low"), F.max("node").over(bucket).alias("high"))
+    # equal sets out of several tasks; the exchange above serves this and the next window too
+    rows = rows.filter("low <> high").groupBy("sig", "node", "n").agg(F.min("place").alias("place"))
+    reach = F.floor((F.col("n") - F.col("place")) * ((100 + percent) / percent) + 1e-6).cast("int") - F.col("n")
+    rank = F.floor(F.col("place").cast("long") * (1 << 20) / F.col("n"))
+    rows = rows.withColumn("reach", reach).select(
+        "sig",
+        "node",
+        "n",
+        "reach",
+        F.count(F.lit(1)).over(bucket).alias("m"),
+        F.min("n").over(bucket).alias("least"),
+        F.min(F.struct(rank.alias("rank"), "node", "n", "reach")).over(bucket).alias("centre"),
+    )
+    centre = [F.col(f"centre.{c}").alias(f"centre_{c}") for c in ("node", "n", "reach")]
+    return rows.filter("reach >= least").select("sig", "node", "n", "reach", "m", *centre)
 
 
 #: Places of the table that tells which documents are needed.
@@ -223,16 +270,16 @@ def _wanted(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     Ids are hashed to `WANTED` places, so what is broadcast has that many rows at most; where
     nearly all places are taken, nearly all rows pass, and the joins that follow decide.
     """
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    ids = pairs.select(F.col("doc_a").alias("id")).union(pairs.select("doc_b")).distinct()
     places = materialise(ids.select(F.pmod(F.xxhash64("id"), F.lit(WANTED)).cast("int").alias("_place")).distinct(), "wanted")
     place = F.pmod(F.xxhash64("doc_id"), F.lit(WANTED)).cast("int")
     return texts.withColumn("_place", place).join(F.broadcast(places), "_place", "left_semi").drop("_place")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, text: str, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose texts link, compared on the whole sets."""
+    """The pairs whose texts link, compared on the whole sets."""
     texts = _wanted(docs.select(F.col("doc_id"), F.col(text).alias("text")), pairs)
-    both = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
+    both = pairs.join(texts.toDF("doc_b", "text_b"), "doc_b").join(texts.toDF("doc_a", "text_a"), "doc_a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[str | None, np.ndarray] = (None, np.zeros(0, U))
@@ -247,9 +294,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, text: str, k: int, percent: int
                 if small and 100 * small >= percent * large:
                     common = small + large - len(np.unique(np.concatenate([mine, other])))
                     keep[i] = 100 * common >= percent * (small + large - common)
-            yield part.select(["a", "b"]).filter(pa.array(keep))
+            yield part.select(pairs_of).filter(pa.array(keep))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, pairs.schema)
+    pairs_of = pairs.columns
+    return both.select(*pairs_of, "text_a", "text_b").mapInArrow(run, pairs.schema)
 
 
 def _in_components(df: DataFrame, column: str, found: DataFrame, to: str) -> DataFrame:
@@ -264,10 +312,11 @@ def _left_over(members: DataFrame, tried: DataFrame, found: DataFrame) -> DataFr
     Only in buckets with three sets or more can there be such pairs, if they have more than one
     component.
     """
-    rows = members.join(members.groupBy("sig").count().filter("count > 2").select("sig"), "sig")
+    rows = members.filter("m > 2").select("sig", F.col("node").alias("doc"), "n", "reach")
+    bucket = Window.partitionBy("sig")
     rows = _in_components(rows, "doc", found, "comp")
-    split = rows.groupBy("sig").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b")
-    rows = rows.join(split.select("sig"), "sig").select("sig", "doc", "comp", "n", "reach")
+    rows = rows.select("*", F.min("comp").over(bucket).alias("a"), F.max("comp").over(bucket).alias("b"))
+    rows = rows.filter("a <> b").select("sig", "doc", "comp", "n", "reach")
     rows = materialise(rows, "buckets")
     kinds = rows.groupBy("sig", "comp").agg(F.min("n").alias("n"), F.max("reach").alias("reach"))
     kinds = (
@@ -305,69 +354,58 @@ def _linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     facts = materialise(_facts(docs, "text", k), "shingle-facts")
     top = docs.sparkSession.sparkContext.broadcast(frequent(facts))
 
-    rows = facts.filter("token is null").select("doc_id", "n", "digest", "bits")
+    rows = facts.filter("token is null").select("doc_id", "n", "digest", "node", "bits")
     linked = rows.filter("doc_id is not null and n > 0")
     classes = linked.groupBy("digest").agg(
-        F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.max("n").alias("n"), F.max("bits").alias("bits")
-    )
-    copies = linked.join(classes.filter("rep <> last"), "digest").filter("doc_id <> rep")
-    copies = copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    sizes = materialise(classes.filter("n > 1").select(F.col("rep").alias("doc"), "n", "bits"), "sets")
-
-    index = _index(docs, "text", k, percent, top).filter("doc_id is not null and size(sig) > 0")
-    index = index.select(F.col("doc_id").alias("doc"), "n", F.explode(F.arrays_zip("sig", "place")).alias("x")).select("doc", "n", "x.*")
-    # the early ones first, ties by a hash
-    index = index.withColumn(
-        "rank", F.floor(F.col("place").cast("long") * (1 << 20) / F.col("n")) * (1 << 40) + F.pmod(F.xxhash64("doc"), F.lit(1 << 40))
+        F.min("doc_id").alias("doc"),
+        F.max("doc_id").alias("last"),
+        *(F.first(c).alias(c) for c in ("node", "n", "bits")),
     )
-    buckets = index.groupBy("sig").agg(F.min("rank").alias("centre"), F.count(F.lit(1)).alias("m"), F.min("n").alias("least"))
-    reach = F.floor((F.col("n") - F.col("place")) * ((100 + percent) / percent) + 1e-6).cast("int") - F.col("n")
-    members = index.join(buckets.filter("m > 1").select("sig", "centre", "least"), "sig").withColumn("reach", reach)
-    members = members.filter("reach >= least").withColumn("centre", F.col("rank") == F.col("centre"))
-    # copies stand for their class only here, where few rows are left of the index
-    members = members.join(copies.select(F.col("b").alias("doc"), F.col("a").alias("rep")), "doc", "left")
-    members = members.groupBy("sig", F.coalesce("rep", "doc").alias("doc"))
-    members = members.agg(F.max("n").alias("n"), F.max("reach").alias("reach"), F.max("centre").alias("centre"))
-    members = materialise(members, "members")
-    del index, buckets
+    classes = materialise(classes, "classes")
+    sizes = classes.filter("n > 1").select("node", "doc", "n", "bits")
+
+    index = _index(docs.filter("doc_id is not null"), "text", k, percent, top)
+    members = materialise(_members(index, percent), "members")
     release(docs.sparkSession)
 
-    centres = members.filter("centre").select("sig", F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("reach").alias("reach_a"))
-    rest = members.select("sig", F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("reach").alias("reach_b"))
-    first = centres.join(rest, "sig").filter(f"a <> b and {_IN_REACH}")
-    first = materialise(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    first = members.filter("node <> centre_node and n <= centre_reach and centre_n <= reach")
+    ends = [F.least("node", "centre_node").alias("a"), F.greatest("node", "centre_node").alias("b")]
+    first = materialise(first.select(*ends).distinct(), "candidates")
     near = materialise(_near(first, sizes, percent), "near")
     links = materialise(_verified(near, docs, "text", k, percent), "verified")
     found = materialise(components(links, "a", "b"), "components")
 
     rest = materialise(_near(_left_over(members, first, found), sizes, percent), "left-over")
-    links = links.union(_verified(rest, docs, "text", k, percent)).union(copies)
-    found = components(links, "a", "b")
-    out = _in_components(rows.withColumnRenamed("n", "n_shingles"), "doc_id", found, "component_id")
+    links = links.union(_verified(rest, docs, "text", k, percent)).select("doc_a", "doc_b")
+    # a written table has a known size, and nothing stands between the rows' exchange and the join: a large group splits
+    copied = materialise(classes.filter("doc <> last").select("digest", F.col("doc").alias("doc_a")), "copied")
+    copies = linked.select("digest", F.col("doc_id").alias("doc_b")).join(copied, "digest").filter("doc_a <> doc_b")
+    found = components(links.union(copies.select("doc_a", "doc_b")), "doc_a", "doc_b")
+    out = _in_components(rows.select("doc_id", F.col("n").alias("n_shingles")), "doc_id", found, "component_id")
     return out.select("doc_id", "n_shingles", "component_id")
 
 
 def _near(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose set sizes and bit maps allow a link."""
-    both = pairs.join(sizes.toDF("a", "n_a", "bits_a"), "a").join(sizes.toDF("b", "n_b", "bits_b"), "b")
-    both = both.filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    names = ["bits_a", "bits_b", "n_a", "n_b"]
+    """Pairs of nodes whose set sizes and bit maps allow a link, and a document of either."""
+    both = pairs.join(sizes.toDF("a", "doc_a", "n_a", "bits_a"), "a").join(sizes.toDF("b", "doc_b", "n_b", "bits_b"), "b")
+    both = both.filter(f"doc_a <> doc_b and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    names, ends = ["bits_a", "bits_b", "n_a", "n_b"], ["a", "b", "doc_a", "doc_b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(*[batch.column(c).to_pylist() for c in names], strict=True)
             keep = pa.array([may_link(*row, percent) for row in rows], pa.bool_())
-            yield batch.select(["a", "b"]).filter(keep)
+            yield batch.select(ends).filter(keep)
 
-    return both.select("a", "b", *names).mapInArrow(run, pairs.schema)
+    return both.select(*ends, *names).mapInArrow(run, both.select(*ends).schema)
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of the lowest document of each group, with all their columns.
 
-    Repeated rows of that document are one; rows without an id all stay.
+    Rows of that document with the same text are one, its other texts stay; rows without an id all stay.
     """
     stay = link_groups(docs, text, doc_id).filter("doc_id = component_id").select("doc_id").distinct()
     stay = stay.withColumnRenamed("doc_id", doc_id)
-    kept = docs.join(stay, doc_id, "left_semi").dropDuplicates([doc_id])
+    kept = docs.join(stay, doc_id, "left_semi").dropDuplicates([doc_id, text])
     return kept.select(*docs.columns).union(docs.filter(F.col(doc_id).isNull()))

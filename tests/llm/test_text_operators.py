@@ -68,6 +68,24 @@ def test_one_of_each_keeps_lowest_and_rows_without_id(spark):
     assert none.columns == ["doc_id", "n_shingles", "component_id"] and none.count() == 0
 
 
+def test_an_id_with_several_texts_links_through_each_of_them(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a), (2, a), (2, b), (3, b + " more"), (4, "a text of its own that is linked with nothing")]
+    docs = spark.createDataFrame(rows + rows[2:3], "doc_id long, text string").repartition(3)
+    got = Counter((r["doc_id"], r["component_id"]) for r in jaccard.link_groups(docs).collect())
+    assert got == Counter({(1, 1): 1, (2, 1): 3, (3, 1): 1, (4, 4): 1})
+    assert [r["doc_id"] for r in jaccard.one_of_each(docs).orderBy("doc_id").collect()] == [1, 4]
+
+
+def test_equal_sets_of_one_task_are_indexed_once(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(i, text) for i in range(50)], "doc_id long, text string").coalesce(1)
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    index = jaccard._index(docs, "text", 5, 75, spark.sparkContext.broadcast(none))
+    assert index.count() == 1
+    assert jaccard._members(index, 75).count() == 0
+
+
 def _repeats(t: str | None) -> dict:
     t = t or ""
     w = t.encode().split()
