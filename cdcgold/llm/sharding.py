@@ -1,7 +1,8 @@
 """Balanced label propagation: linked documents move towards their neighbours' shards.
 
-Links are given by hubs: documents of one hub, here of one text, are linked to each other, so a
-hub of n documents is n rows and not n * n links.  Every round counts each hub's documents by
+Links are given by hubs: documents of one hub are linked to each other, so a hub of n documents is
+n rows and not n * n links.  Hubs are equal texts, or whatever the caller names, such as the sentences
+that several texts share; a document may have any number of them.  Every round counts each hub's documents by
 shard, sums the counts of a document's hubs to votes, and lets documents move to the shard with
 most votes, as many from a to b as from b to a, and more as far as b has room; where more want to
 move than may, those with most to gain go first, by a table of demand by gain.  In every other round
@@ -10,8 +11,10 @@ full shards are no aim, so that their would-be members gather where there is roo
 The law is `rows`: counts of any two shards differ by one at most.  A hub larger than a shard is
 spread over shards, as it must be.
 
-Defined cases: a null text has size 1 and no links; equal texts are linked also if a row is
-repeated; a null id is an id like any other.  No rows give no rows.
+Defined cases: a null text has size 1 and no links; an empty text is a text, so empty ones are equal
+texts, and has no sentences; equal texts are linked also if a row is repeated; a null id is an id like
+any other.  Texts are only split and hashed, so long ones need no more than themselves.  Ties fall by
+hashes of rows and hubs.  No rows give no rows.
 """
 
 from __future__ import annotations
@@ -120,8 +123,39 @@ def _quotas(demand: list, free: dict[int, int]) -> tuple[dict[tuple[int, int, in
     return part, moved
 
 
-def assign(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shards: int = 8) -> DataFrame:
-    """Every document's shard and its slot there, counted from 0 without gaps."""
+#: Shorter sentences are phrases that link nothing.
+SENTENCE = 8
+
+
+def sentences(text: str = "text", least: int = SENTENCE) -> Column:
+    """Hubs for `assign`: the digests of a text's sentences and lines of `least` words or more."""
+    parts = F.transform(F.split(F.lower(F.col(text)), r"[\n.!?]+"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
+    return F.transform(F.filter(parts, lambda x: F.size(F.split(x, " ")) >= least), lambda x: F.xxhash64(x))
+
+
+def _equal_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, hub) of texts that occur again, and (hub, n) of those hubs."""
+    # the three digests together tell texts apart
+    key = ["hub", "text_crc32", "size"]
+    shared = rows.filter("hub is not null").groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"))
+    members = rows.join(shared.filter("n > 1"), key).select("node", F.col("first").alias("hub"))
+    return members, shared.select(F.col("first").alias("hub"), "n")
+
+
+def _given(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same of the hubs that the caller named."""
+    every = rows.select("node", F.explode(F.array_distinct("hubs")).alias("hub")).filter("hub is not null")
+    shared = materialise(every.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shard-hubs")
+    return every.join(shared.select("hub"), "hub").select("node", "hub"), shared
+
+
+def assign(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shards: int = 8, hubs: Column | None = None
+) -> DataFrame:
+    """Every document's shard and its slot there, counted from 0 without gaps.
+
+    `hubs` is a list of longs for every row, the hubs that link it; without, equal texts are linked.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
         F.col(doc_id).alias("doc_id"),
@@ -129,18 +163,16 @@ def assign(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shards:
         F.crc32(body.cast("binary")).alias("text_crc32"),
         F.when(F.col(text).isNotNull(), F.xxhash64(body)).alias("hub"),
         F.monotonically_increasing_id().alias("node"),
+        *([] if hubs is None else [hubs.alias("hubs")]),
     )
     rows, n = materialise_counted(rows, "shard-rows")
-    # the three digests together tell texts apart
-    key = ["hub", "text_crc32", "size"]
-    shared = rows.filter("hub is not null").groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"))
-    members = rows.join(shared.filter("n > 1"), key).select("node", F.col("first").alias("hub"))
-    members = materialise(members, "shard-members")
+    members, shared = _equal_texts(rows) if hubs is None else _given(rows)
+    rows, members = rows.drop("hubs"), materialise(members, "shard-members")
     labels = propagate(members, shards, n // shards)
 
     quota = [n // shards + (k < n % shards) for k in range(shards)]
     # what is beyond a shard's quota is taken from its largest hubs
-    sized = labels.join(shared.select(F.col("first").alias("hub"), "n"), "hub")
+    sized = labels.join(shared, "hub")
     placed = materialise(numbered(sized, "shard", ["n", "hub", "node"], "slot"), "placed")
     limit = F.element_at(F.array(*[F.lit(q) for q in quota]), F.col("shard") + 1)
     placed = placed.filter(F.col("slot") < limit).select("node", "shard", "slot")

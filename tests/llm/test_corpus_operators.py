@@ -102,6 +102,27 @@ def test_shards_are_even_and_keep_copies_together(spark, hot, single, least):
     assert len(sharding.assign(docs.limit(3)).collect()) == 3
 
 
+def test_shared_sentences_draw_documents_to_one_shard(spark):
+    def passage(g):
+        return " ".join(f"g{g}word{i}" for i in range(9))
+
+    common = "this very common notice stands at the end of half of all texts"
+    rows = [(i, f"Own{i}. {passage(i % 60)}!\n{common if i % 2 else ''}") for i in range(480)] + [(None, None), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = sharding.assign(docs, hubs=sharding.sentences()).collect()
+    sizes = Counter(r["shard"] for r in out)
+    assert len(out) == len(rows) and max(sizes.values()) - min(sizes.values()) <= 1
+    for k in range(8):
+        assert sorted(r["slot"] for r in out if r["shard"] == k) == list(range(sizes[k]))
+    near = defaultdict(Counter)
+    for r in out[:]:
+        if r["doc_id"] is not None and r["size"] > 1:
+            near[r["doc_id"] % 60][r["shard"]] += 1
+    # of 8 documents with a passage, dealt blindly, about 2.3 would lie in the fullest shard
+    assert sum(max(c.values()) for c in near.values()) / 60 > 5
+    assert sharding.assign(docs.limit(0), hubs=sharding.sentences()).count() == 0
+
+
 PAGES = [
     ("<html><body><nav><a href=x>Home</a></nav><article><h1>A &amp; B</h1><p>One,\n  two&nbsp;three.<p>Short<br>er.</article>"
      "<footer>&copy; me</footer></body></html>", "A & B\nOne, two three.\nShort er."),
