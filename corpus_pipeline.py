@@ -1,7 +1,11 @@
 """From documents to a sharded training corpus; every stage works on what the one before kept.
 
 Quality rules, one document of each group of near duplicates, no benchmark passages, sources
-mixed to target weights, shards.  Each stage is written as Parquet and read again.
+mixed to target weights, shards, where documents that share sentences are kept together.  Each
+stage is written as Parquet and read again.
+
+Nulls, empty and long texts, repeated rows and ties are treated as the stages' operators state in
+their docstrings; further columns go along to the last stage, and empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -29,7 +33,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.assign(docs)
+    # equal texts are gone by now; what still links documents is sentences that they share
+    return sharding.assign(docs, hubs=sharding.sentences())
 
 
 STAGES = [
