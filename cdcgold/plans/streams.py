@@ -24,6 +24,7 @@ from cdcgold.plans.shop import (
 from cdcgold.session import settings, workspace
 from cdcgold.sources.topics import once, stream_files
 from cdcgold.spec import ChildSpec
+from cdcgold.streaming.counted import NewestView, by_edge, by_field
 from cdcgold.streaming.feed import ChangeApplier
 from cdcgold.streaming.incremental import IncrementalProfiles
 from cdcgold.streaming.keyed import KeyedTable
@@ -230,6 +231,82 @@ def stream_fold_both(spark, directory):
     )
 
 
+ROOT_SCHEMA = f"{CUSTOMER_SCHEMA}, updated_ms bigint"
+ONE_ENDED = ChildSpec("tie", "t", "user_id", "ties", ("t", "k"))
+CHANGING = SHOP.with_(children=(ONE_ENDED,), root_delete="drop", reparent="move")
+NEWEST = 50
+
+
+def root_records(spark, directory):
+    """Events as changes of their users: the kind of event is the status, an error deletes the user."""
+    log = pref_log(spark, directory)
+    row = F.struct(
+        F.col("user_id").alias("c_custkey"), F.concat(F.lit("user-"), "user_id").alias("c_name"),
+        F.col("event_type").alias("c_mktsegment"), F.col("__source_ts_ms").alias("updated_ms"), "__op", "__deleted",
+    )
+    return log.select(
+        F.lit(CUSTOMER_TOPIC).alias("topic"), F.lit(0).alias("partition"), "offset",
+        F.col("user_id").cast("string").alias("key"), F.to_json(row).alias("value"),
+        F.timestamp_millis("__source_ts_ms").alias("timestamp"),
+    )
+
+
+def _with_views(spark, directory, *views):
+    """Users and edges that change, move and go in every batch, with views kept beside the documents."""
+    schemas = {"customer": ROOT_SCHEMA, "tie": TIE_SCHEMA}
+    engine = IncrementalProfiles(spark, CHANGING, schemas, workspace(spark, "profiles"), buckets=8, views=views)
+    folder = workspace(spark, "records")
+    for part in _ranges(root_records(spark, directory).unionByName(tie_records(spark, directory))):
+        _land(part.coalesce(1), folder)
+    _run(spark, engine, folder, workspace(spark, "checkpoint"))
+    return engine
+
+
+_VIEWED_SQL = f"""
+WITH {LOG_SQL},
+users AS (
+  SELECT user_id AS c_custkey, arg_max(event_type, event_id) AS status, arg_max(epoch_us(ts) // 1000, event_id) AS updated_ms
+  FROM log GROUP BY 1 HAVING arg_max(event_type, event_id) <> 'error'
+),
+ties AS (
+  SELECT event_id % 397 AS t, arg_max(user_id, event_id) AS c_custkey, arg_max(k, event_id) AS k
+  FROM log GROUP BY 1 HAVING arg_max(event_type, event_id) <> 'error'
+)"""
+
+
+@query(f"{_VIEWED_SQL} SELECT status AS c_mktsegment, count(*) AS n FROM users GROUP BY 1")
+def stream_status_counts(spark, directory):
+    """Documents by status, kept by what each batch adds and takes off."""
+    view = by_field(spark, workspace(spark, "view"), "c_mktsegment", buckets=2)
+    _with_views(spark, directory, view)
+    return view.counts()
+
+
+@query(f"{_VIEWED_SQL} SELECT k, c_custkey, count(*) AS n FROM ties JOIN users USING (c_custkey) GROUP BY 1, 2")
+def stream_reverse_edges(spark, directory):
+    """Documents by the ends of their edges, kept while edges move between documents and documents go."""
+    view = by_edge(spark, workspace(spark, "view"), "c_custkey", "ties", "k", buckets=8)
+    _with_views(spark, directory, view)
+    return view.counts()
+
+
+@query(
+    f"""{_VIEWED_SQL},
+    n AS (SELECT c_custkey, count(*) AS n, string_agg(t::VARCHAR, ',' ORDER BY t) AS ties FROM ties GROUP BY 1)
+    SELECT c_custkey, status AS c_mktsegment, coalesce(n, 0) AS n_ties, coalesce(ties, '') AS ties_text
+    FROM users LEFT JOIN n USING (c_custkey) ORDER BY updated_ms DESC, c_custkey LIMIT {NEWEST}
+    """
+)
+def stream_newest(spark, directory):
+    """The documents changed last: keys from the last days that are needed, documents by their buckets."""
+    newest = NewestView(spark, workspace(spark, "view"), "c_custkey", "updated_ms", buckets=8)
+    engine = _with_views(spark, directory, *newest.views())
+    docs = engine.documents_of(newest.newest(NEWEST).select("c_custkey"))
+    return docs.select(
+        "c_custkey", "c_mktsegment", F.size("ties").cast("bigint").alias("n_ties"), text_of("ties", "t").alias("ties_text")
+    )
+
+
 _SLICED_SQL = f"""
 WITH {LOG_SQL},
 state AS (

@@ -12,7 +12,7 @@ children had before, so a batch reads the buckets of what it changes and no more
 from __future__ import annotations
 
 import time
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import partial, reduce
 
@@ -30,6 +30,7 @@ from cdcgold.session import materialise, scratch
 from cdcgold.sources.topics import RECORD_SCHEMA, once
 from cdcgold.sources.wire import from_wire, wire_schema
 from cdcgold.spec import ChildSpec, ProfileSpec
+from cdcgold.streaming.counted import CountedView
 from cdcgold.streaming.keyed import KeyedTable, read_batches, write_batch
 
 _POSITION = "topic string, partition int, offset bigint"
@@ -49,6 +50,7 @@ class IncrementalProfiles:
 
     ``compact_every``: fold every table into one base after so many batches, and remove what the
     base before it had replaced; None leaves both to the caller.
+    ``views`` are kept up to date with the documents, from their states before and after each batch.
     """
 
     def __init__(
@@ -60,9 +62,10 @@ class IncrementalProfiles:
         *,
         buckets: int = 64,
         compact_every: int | None = 16,
+        views: Sequence[CountedView] = (),
     ):
         self.spark, self.spec, self.path, self.buckets = spark, spec, path.rstrip("/"), buckets
-        self.compact_every = compact_every
+        self.compact_every, self.views = compact_every, list(views)
         self.schemas = {t: schema_of(schemas[t]) for t in self.tables}
         self.bronze = {t: self._bronze(t) for t in self.tables}
         self.ends = {c.table: self._by_end(c) for c in spec.children if self._indexed(c)}
@@ -135,6 +138,10 @@ class IncrementalProfiles:
         """Current documents of all keys."""
         return self.gold().current().where(~F.col(GONE)).drop(GONE, "batch_id")
 
+    def documents_of(self, keys: DataFrame) -> DataFrame:
+        """Current documents of some keys; only the files of their buckets are read."""
+        return self.gold().current(materialise(keys, "asked")).where(~F.col(GONE)).drop(GONE, "batch_id")
+
     def audit(self) -> DataFrame:
         """Raw records as taken in, once per coordinate."""
         schema = schema_of(f"{RECORD_SCHEMA}, ingested_at timestamp, table string")
@@ -174,6 +181,7 @@ class IncrementalProfiles:
         current[self.spec.root] = current_root(self.spec, rows[self.spec.root])
         docs = build_profiles(self.spec, current)
         self.gold(docs.schema).append(docs.withColumn(GONE, F.lit(False)), batch_id)
+        self._keep_views(None, batch_id)
 
     def dead_letters(self) -> DataFrame:
         schema = schema_of(f"{RECORD_SCHEMA}, reason string")
@@ -240,6 +248,14 @@ class IncrementalProfiles:
             out[child.table] = current_child(self.spec, child, rows)
         return out
 
+    def _keep_views(self, touched: DataFrame | None, batch_id: int) -> None:
+        """Views take in the documents that a batch has written, as they were and as they are."""
+        if self.views:
+            gold = self.gold()
+            states = gold.current(touched, before=batch_id), gold.batch(batch_id)
+            before, after = (s.where(~F.col(GONE)) for s in states)
+            self._together([partial(v.apply, before, after, batch_id) for v in self.views])
+
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """Apply one micro-batch; running it again with the same id gives the same tables."""
         with scratch(self.spark):
@@ -271,6 +287,7 @@ class IncrementalProfiles:
             gone.withColumn(GONE, F.lit(True)), allowMissingColumns=True
         )
         self.gold(docs.schema).append(rows, batch_id)
+        self._keep_views(touched, batch_id)
 
         upto = raw.groupBy("topic", "partition").agg(F.max("offset").alias("end_offset"))
         times = [F.lit(bronze_ms).alias("bronze_ms"), F.lit(_now_ms()).alias("gold_ms")]
@@ -286,11 +303,12 @@ class IncrementalProfiles:
             list(pool.map(lambda write: write(), [inheritable_thread_target(self.spark)(w) for w in writes]))
 
     def stored(self) -> list[KeyedTable]:
-        return [*self.bronze.values(), *self.ends.values(), self.gold()]
+        return [*self.bronze.values(), *self.ends.values(), self.gold(), *(v.table for v in self.views)]
 
     def compact(self) -> None:
-        for table in self.stored():
-            table.compact()
+        views = [v.table for v in self.views]
+        for kept in [*(t for t in self.stored() if t not in views), *self.views]:
+            kept.compact()
 
     def start(
         self, records: DataFrame, checkpoint: str, trigger: Mapping[str, object] | None = None,
