@@ -9,13 +9,15 @@ never article text (`AWAY`) and containers inside it whose ratio is far below.
 says that it is no article is left out unless it holds half of the page's text by ratio.
 
 Defined cases: a null or empty page, and one without text, gives the empty string; unclosed,
-crossing and cut-off tags are read as browsers read them, near enough; repeated rows repeat.
+crossing and cut-off tags are read as browsers read them, near enough; repeated rows repeat.  Long
+pages take time in proportion to their length: elements below `DEEPEST` others add no step to a path.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -63,6 +65,8 @@ AWAY_WORDS = frozenset(
 HOLDERS = frozenset("html body main article".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
 HEADING = re.compile(r"h[1-6]$")
+#: Steps of a path, and named elements around a block, that are told apart; browsers nest no deeper.
+DEEPEST = 512
 
 
 @dataclass
@@ -100,7 +104,10 @@ def _is_named(tag: str, attrs: dict[str, str]) -> bool:
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, int]] = []  # tag, label, away, number of a named element or 0
+    # tag, path, away, numbers of named elements around
+    stack: list[tuple[str, tuple[str, ...], bool, tuple[int, ...]]] = []
+    open_at: dict[str, list[int]] = defaultdict(list)  # by tag: its places in the stack
+    known: dict[tuple[str, ...], tuple[str, ...]] = {}  # equal paths are kept once
     n_named = 0
     words: list[str] = []
     linked, link_depth = 0, 0
@@ -109,18 +116,20 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         text = " ".join(html.unescape("".join(words)).split())
         if text:
-            path, named = tuple(s[1] for s in stack), tuple(s[3] for s in stack if s[3])
-            out.append(Block(path, text, min(linked, len(text)), bool(stack) and stack[-1][2], named))
+            _, path, away, named = stack[-1] if stack else ("", (), False, ())
+            out.append(Block(path, text, min(linked, len(text)), away, named))
         words.clear()
         linked = 0
 
+    def cut(height: int) -> None:
+        while len(stack) > height:
+            open_at[stack.pop()[0]].pop()
+
     def pop(tags: frozenset[str] | set[str], until: frozenset[str]) -> None:
         """Close the open elements of `tags` that are inside the nearest one of `until`."""
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in until:
-                return
-            if stack[i][0] in tags:
-                del stack[i:]
+        edge = max((open_at[t][-1] for t in until if open_at[t]), default=-1)
+        places = [(open_at[t], bisect_right(open_at[t], edge)) for t in tags]
+        cut(min((at[k] for at, k in places if k < len(at)), default=len(stack)))
 
     def say(text: str) -> None:
         nonlocal linked
@@ -146,9 +155,8 @@ def blocks(page: str) -> list[Block]:
                 link_depth = max(0, link_depth - 1)
             elif tag in BLOCK:
                 flush()
-                if any(s[0] == tag for s in stack):
-                    while stack.pop()[0] != tag:
-                        pass
+                if open_at[tag]:
+                    cut(open_at[tag][-1])
                 link_depth = 0
             continue
         if tag in OPAQUE:
@@ -169,14 +177,20 @@ def blocks(page: str) -> list[Block]:
                 pop(*CLOSES[tag])
             elif tag not in ("html", "body"):
                 pop({"p"}, frozenset({"td", "th", "table", "button"}))
-                if HEADING.match(tag):
-                    pop({f"h{i}" for i in range(1, 7)}, frozenset(s[0] for s in stack if not HEADING.match(s[0])))
+                while HEADING.match(tag) and stack and HEADING.match(stack[-1][0]):
+                    cut(len(stack) - 1)
             attrs = _attributes(m["attrs"]) if m["attrs"].strip() else {}
-            inside = any(s[0] in ("article", "main") for s in stack)
-            away = (bool(stack) and stack[-1][2]) or _is_away(tag, attrs, inside)
+            inside = bool(open_at["article"] or open_at["main"])
+            _, path, away, named = stack[-1] if stack else ("", (), False, ())
+            away = away or _is_away(tag, attrs, inside)
             name = attrs.get("class", "").split()
-            n_named += _is_named(tag, attrs)
-            stack.append((tag, f"{tag}.{name[0]}" if name else tag, away, n_named if _is_named(tag, attrs) else 0))
+            if _is_named(tag, attrs) and len(named) < DEEPEST:
+                n_named += 1
+                named = (*named, n_named)
+            if len(path) < DEEPEST:
+                path = (*path, f"{tag}.{name[0]}" if name else tag)
+            open_at[tag].append(len(stack))
+            stack.append((tag, known.setdefault(path, path), away, named))
     flush()
     return out
 
