@@ -99,6 +99,9 @@ _KINDS = {
 KINDS = tuple(_KINDS)
 _KIND = {k: re.compile(v, re.ASCII) for k, v in _KINDS.items()}
 _PATTERNS = re.compile("|".join(f"(?P<{k}>{v})" for k, v in _KINDS.items()), re.ASCII)
+_NO_MAIL = re.compile("|".join(f"(?P<{k}>{v})" for k, v in _KINDS.items() if k != "email"), re.ASCII)
+#: A run of what the first part of an address may hold, and whether it is one, by what stands behind it.
+_RUN = re.compile(r"[A-Za-z0-9._%+-]*(?P<host>@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})?", re.ASCII)
 #: Calling codes of two digits; 1 and 7 have one, all others three.
 _CALLING = frozenset(
     "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86"
@@ -302,12 +305,13 @@ class Pseudonyms:
                 return end, new
         return None
 
-    def _at(self, text: str, start: int, back: bool) -> tuple[str, int, str] | None:
+    def _at(self, text: str, start: int, back: bool, mail: bool) -> tuple[str, int, str] | None:
         """Kind, end and pseudonym of the value that begins here; where a kind fails, the next ones are tried."""
-        m = _PATTERNS.match(text, start)
+        m = (_PATTERNS if mail else _NO_MAIL).match(text, start)
         if not m:
             return None
-        first = next(i for i, k in enumerate(KINDS) if m[k])
+        found = m.groupdict()
+        first = next(i for i, k in enumerate(KINDS) if found.get(k))
         for kind in KINDS[first:]:
             m = _KIND[kind].match(text, start)
             if m and (made := self._value(kind, text, start, m.end(), back)):
@@ -320,7 +324,7 @@ class Pseudonyms:
         A value begins at the digit, plus, bracket or letter run before the mark found.  Where it is not
         valid, the search goes on behind its first mark, so a value inside or behind it is found.
         """
-        at = 0
+        at, end, mail = 0, 0, False  # a run that is no address is read once, not from each of its characters
         while (mark := _NEXT.search(text, at)) is not None:
             begin = mark.start()
             while begin > at and (
@@ -329,7 +333,11 @@ class Pseudonyms:
                 begin -= 1
             at = mark.end()
             for start in range(begin, at):
-                if made := self._at(text, start, back):
+                if start >= end:
+                    run = _RUN.match(text, start)
+                    mail = run["host"] is not None
+                    end = max(start + 1, run.start("host") if mail else run.end())
+                if made := self._at(text, start, back, mail):
                     kind, at, new = made
                     yield kind, start, at, new
                     break
