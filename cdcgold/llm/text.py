@@ -96,7 +96,7 @@ def words(texts: pa.Array, inside: np.ndarray = NOT_SPACE, lower: bool = True) -
     for i in left:  # words longer than the weights, in blocks
         for at in range(start[i] + len(_WEIGHT), end[i], BLOCK_BYTES):
             part = table[data[at : min(at + BLOCK_BYTES, end[i])]]
-            hashes[i] = mix(hashes[i : i + 1] + U(at - start[i]))[0] + (part * noise(len(part), 2)).sum()
+            hashes[i : i + 1] = mix(hashes[i : i + 1] + U(at - start[i])) + (part * noise(len(part), 2)).sum()
     hashes = mix(hashes)
     return Words(hashes, np.searchsorted(start, offset), start, end, data, offset)
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -152,6 +153,14 @@ def test_main_text_of_long_and_deep_pages():
     assert extract.main_text(long).count("\n") == 19_999
     assert extract.main_text("<div>" * 2000 + "x, y." + "<" * 5000) == "x, y." + "<" * 5000
     assert extract.main_text('<p title="' + "x" * 100_000 + "<p>") is not None
+    # time in proportion to the length, with text in every element of a deep page
+    for step in ("<div>a, b.", "<div class=ad>a, b.", "<div class=c%d>a."):
+        page = "<p><td>" + "".join(step % i if "%" in step else step for i in range(60_000))
+        begun = time.process_time()
+        assert extract.main_text(page)
+        assert time.process_time() - begun < 30
+    below = [b.path for b in extract.blocks("<div>" * 600 + "x" + "</div>" * 599 + "y")]
+    assert [len(p) for p in below] == [extract.DEEPEST, 1]
 
 
 def test_main_text_in_wrappers_and_beside_unlisted_adverts():
@@ -401,3 +410,15 @@ def test_every_stage_takes_odd_rows_and_none(spark):
     for docs in (spark.createDataFrame(rows, DOC_SCHEMA), spark.createDataFrame([], DOC_SCHEMA)):
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, docs, DIRECTORY).count() <= docs.count()
+
+
+def test_pseudonyms_of_encoded_runs():
+    own = Pseudonyms("key")
+    for text in ("%41" * 300_000, "%41" * 300_000 + "@", "a%" * 100_000 + "@-.x"):
+        begun = time.process_time()
+        assert own.apply(text) == (text, [])
+        assert time.process_time() - begun < 20
+    # an address is found behind such a run, and begins where it did
+    new, spans = own.apply("%41" * 50 + " %20bob@example.com")
+    assert [(s["kind"], s["start"], s["stop"]) for s in spans] == [("email", 152, 169)]
+    assert own.apply(new, back=True)[0] == "%41" * 50 + " %20bob@example.com"
