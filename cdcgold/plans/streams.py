@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cdcgold.operators.decode import decode
 from cdcgold.operators.fold import build_profiles
 from cdcgold.operators.latest import latest, live
-from cdcgold.operators.metrics import sync_lag
+from cdcgold.operators.metrics import catch_up, sync_lag
 from cdcgold.plans.decoding import _KIND_SQL, PREF_SCHEMA, raw_records
 from cdcgold.plans.registry import query
 from cdcgold.plans.shop import (
@@ -28,6 +28,7 @@ from cdcgold.streaming.counted import NewestView, by_edge, by_field
 from cdcgold.streaming.feed import ChangeApplier
 from cdcgold.streaming.incremental import IncrementalProfiles
 from cdcgold.streaming.keyed import KeyedTable
+from cdcgold.streaming.progress import batches, timed
 from cdcgold.streaming.stateful import ROCKSDB, changed_elements, documents_of, elements_table
 
 CUSTOMER_SCHEMA = "c_custkey bigint, c_name string, c_mktsegment string"
@@ -184,6 +185,34 @@ def stream_sync_lag(spark, directory):
     return lag.groupBy("topic").agg(F.count(F.lit(1)).alias("n_records"), F.count_if(unseen).alias("n_unseen"))
 
 
+@query(
+    f"""WITH {LOG_SQL},
+    ends AS (
+      SELECT '{TOPIC}' AS topic, CAST(k % 4 AS INTEGER) AS part, max(event_id) AS end_offset FROM log GROUP BY 2
+      UNION ALL SELECT '{CUSTOMER_TOPIC}', CAST(0 AS INTEGER), max(c_custkey) FROM customer
+    )
+    SELECT topic, part, end_offset, end_offset AS applied_offset, CAST(0 AS BIGINT) AS backlog, TRUE AS caught_up,
+           TRUE AS timed FROM ends
+    """
+)
+def stream_catch_up(spark, directory):
+    """A stream with a trigger of its own, caught up by the times that it reports itself."""
+    engine = IncrementalProfiles(spark, STREAMED, SCHEMAS, workspace(spark, "profiles"), buckets=8)
+    records = stream_files(spark, _landed(spark, directory), files_per_trigger=8)
+    query = engine.start(records, workspace(spark, "checkpoint"), {"processingTime": "1 second"})
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    reports = batches(spark, query)
+    restart = reports.agg(F.min("started_ms")).first()[0]
+    report = catch_up(engine.audit(), timed(engine.ledger(), reports), restart)
+    return report.select(
+        "topic", F.col("partition").alias("part"), "end_offset", "applied_offset", "backlog", "caught_up",
+        (F.col("catch_up_ms") >= 0).alias("timed"),
+    )
+
+
 TIE_TOPIC, TIES = "src.shop.tie", ChildSpec("tie", "t", "user_id", "ties", ("t",), other_fk="k")
 TIE_SCHEMA = "t bigint, user_id bigint, k bigint, event_type string"
 TIED = SHOP.with_(children=(TIES,), direction="both", reparent="move")

@@ -18,6 +18,7 @@ from cdcgold.spec import ChildSpec, ProfileSpec
 from cdcgold.streaming.feed import ChangeApplier
 from cdcgold.streaming.incremental import IncrementalProfiles
 from cdcgold.streaming.keyed import KeyedTable
+from cdcgold.streaming.progress import batches, timed
 from cdcgold.streaming.stateful import ROCKSDB, _tagged, changed_elements, documents_of, elements_table, fold_stream
 
 SMALL = ProfileSpec(
@@ -279,3 +280,30 @@ def test_scratch_folders_go_and_the_result_stays(spark):
     assert sorted(r.id for r in out.collect()) == [1, 2, 3, 4, 5]
     with pytest.raises(Exception):
         spark.read.parquet(*files).count()
+
+
+def test_batches_are_timed_by_the_query(spark):
+    log, folder = story(), workspace(spark, "records")
+    engine = IncrementalProfiles(spark, SMALL, party.SCHEMAS, workspace(spark, "t"), buckets=2)
+    log.frame(spark, log.records[:5]).coalesce(1).write.mode("append").parquet(folder)
+    begun = int(time.time() * 1000)
+    query = engine.start(
+        stream_files(spark, folder, files_per_trigger=1), workspace(spark, "checkpoint"), {"processingTime": "1 second"}
+    )
+    try:
+        query.processAllAvailable()
+        # records that come later wait for the trigger
+        log.frame(spark, log.records[5:]).coalesce(1).write.mode("append").parquet(folder)
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    ended = int(time.time() * 1000)
+    reports = batches(spark, query)
+    rows = {r["batch_id"]: r for r in reports.collect()}
+    assert {b: r["n_records"] for b, r in rows.items()} == {0: 5, 1: len(log.records) - 5}
+    # a batch does not start before the one ahead of it has ended
+    assert begun - 1000 <= rows[0]["started_ms"] <= rows[0]["done_ms"] <= rows[1]["started_ms"] <= rows[1]["done_ms"] <= ended + 1000
+    ledger = timed(engine.ledger(), reports)
+    assert ledger.count() == engine.ledger().count()
+    assert {(r["batch_id"], r["gold_ms"]) for r in ledger.collect()} == {(b, r["done_ms"]) for b, r in rows.items()}
+    assert timed(engine.ledger(), reports.where("batch_id = 0")).where("batch_id = 1").isEmpty()
