@@ -36,6 +36,8 @@ CUSTOMER_TOPIC = "src.shop.customer"
 SCHEMAS = {"customer": CUSTOMER_SCHEMA, "pref": PREF_SCHEMA}
 STREAMED = SHOP.with_(children=(PREFS,))
 PARTS = 3
+#: Records of a landed file, about.
+FILE_ROWS = 1 << 16
 
 
 def customer_records(spark, directory):
@@ -54,28 +56,41 @@ def customer_records(spark, directory):
     )
 
 
-def _ranges(records, parts=PARTS):
+def _end(records):
+    return records.agg(F.max("offset") + 1).first()[0]
+
+
+def _ranges(records, parts=PARTS, end=None):
     """The log cut into consecutive offset ranges."""
-    end = records.agg(F.max("offset") + 1).first()[0]
-    number = F.expr(f"offset * {parts} div {end}")
+    number = F.expr(f"offset * {parts} div {end or _end(records)}")
     return [records.where(number == i) for i in range(parts)]
 
 
-def _land(records, folder):
-    records.write.mode("append").parquet(folder)
+def _parts(records):
+    """The log in consecutive ranges, and how many files each part is landed as, one micro-batch a part.
+
+    The files grow in number, not in size, and the micro-batches grow in size, not in number.
+    """
+    end = _end(records)
+    return _ranges(records, end=end), max(1, -(-end // (PARTS * FILE_ROWS)))
+
+
+def _land(records, folder, files):
+    """Exactly so many files, so that a trigger of as many takes in the part and nothing else."""
+    records.repartition(files, "topic", "partition", "offset").write.mode("append").parquet(folder)
 
 
 def _landed(spark, directory):
-    """A folder of record files: some children come before their roots, then the rest."""
+    """A folder of record files: some children come before their roots, then the rest; files a part."""
     folder = workspace(spark, "records")
-    first, *rest = _ranges(raw_records(spark, directory))
+    (first, *rest), files = _parts(raw_records(spark, directory))
     for part in (first, customer_records(spark, directory), *rest):
-        _land(part, folder)
-    return folder
+        _land(part, folder, files)
+    return folder, files
 
 
-def _run(spark, engine, folder, checkpoint):
-    records = stream_files(spark, folder, files_per_trigger=1)
+def _run(spark, engine, folder, files, checkpoint):
+    records = stream_files(spark, folder, files_per_trigger=files)
     engine.start(records, checkpoint, {"availableNow": True}).awaitTermination()
 
 
@@ -103,7 +118,7 @@ FROM customer LEFT JOIN p ON user_id = c_custkey
 @query(_STREAM_SQL)
 def stream_fold(spark, directory):
     engine = IncrementalProfiles(spark, STREAMED, SCHEMAS, workspace(spark, "profiles"), buckets=8)
-    _run(spark, engine, _landed(spark, directory), workspace(spark, "checkpoint"))
+    _run(spark, engine, *_landed(spark, directory), workspace(spark, "checkpoint"))
     return _flat(engine.documents())
 
 
@@ -111,14 +126,14 @@ def stream_fold(spark, directory):
 def stream_resume(spark, directory):
     """Stopped after the first files; a second run takes up the rest, some of it delivered twice."""
     path, checkpoint, folder = (workspace(spark, n) for n in ("profiles", "checkpoint", "records"))
-    first, *rest = _ranges(raw_records(spark, directory))
-    _land(first, folder)
-    _land(customer_records(spark, directory), folder)
-    _run(spark, IncrementalProfiles(spark, STREAMED, SCHEMAS, path, buckets=8), folder, checkpoint)
+    (first, *rest), files = _parts(raw_records(spark, directory))
+    for part in (first, customer_records(spark, directory)):
+        _land(part, folder, files)
+    _run(spark, IncrementalProfiles(spark, STREAMED, SCHEMAS, path, buckets=8), folder, files, checkpoint)
     for part in (first, *rest):
-        _land(part, folder)
+        _land(part, folder, files)
     engine = IncrementalProfiles(spark, STREAMED, SCHEMAS, path, buckets=8)
-    _run(spark, engine, folder, checkpoint)
+    _run(spark, engine, folder, files, checkpoint)
     engine.compact()
     return _flat(engine.documents())
 
@@ -166,7 +181,7 @@ def stream_seeded(spark, directory):
     seeded = live(latest(half, ["user_id", "k"])).select("user_id", "k", "event_type", "value")
     for _ in range(2):
         engine.seed({"customer": load(spark, directory, "customer"), "pref": seeded})
-    _run(spark, engine, _landed(spark, directory), workspace(spark, "checkpoint"))
+    _run(spark, engine, *_landed(spark, directory), workspace(spark, "checkpoint"))
     return _flat(engine.documents())
 
 
@@ -198,7 +213,8 @@ def stream_sync_lag(spark, directory):
 def stream_catch_up(spark, directory):
     """A stream with a trigger of its own, caught up by the times that it reports itself."""
     engine = IncrementalProfiles(spark, STREAMED, SCHEMAS, workspace(spark, "profiles"), buckets=8)
-    records = stream_files(spark, _landed(spark, directory), files_per_trigger=8)
+    folder, files = _landed(spark, directory)
+    records = stream_files(spark, folder, files_per_trigger=8 * files)
     query = engine.start(records, workspace(spark, "checkpoint"), {"processingTime": "1 second"})
     try:
         query.processAllAvailable()
@@ -250,11 +266,10 @@ def stream_fold_both(spark, directory):
     schemas = {"customer": CUSTOMER_SCHEMA, "tie": TIE_SCHEMA}
     engine = IncrementalProfiles(spark, TIED, schemas, workspace(spark, "profiles"), buckets=8)
     folder = workspace(spark, "records")
-    first, *rest = _ranges(tie_records(spark, directory))
-    _land(first, folder)
-    for part in (customer_records(spark, directory), *rest):
-        _land(part.coalesce(1), folder)
-    _run(spark, engine, folder, workspace(spark, "checkpoint"))
+    (first, *rest), files = _parts(tie_records(spark, directory))
+    for part in (first, customer_records(spark, directory), *rest):
+        _land(part, folder, files)
+    _run(spark, engine, folder, files, workspace(spark, "checkpoint"))
     return engine.documents().select(
         "c_custkey", "c_name", F.size("ties").cast("bigint").alias("n_ties"), text_of("ties", "t").alias("ties_text")
     )
@@ -285,9 +300,10 @@ def _with_views(spark, directory, *views):
     schemas = {"customer": ROOT_SCHEMA, "tie": TIE_SCHEMA}
     engine = IncrementalProfiles(spark, CHANGING, schemas, workspace(spark, "profiles"), buckets=8, views=views)
     folder = workspace(spark, "records")
-    for part in _ranges(root_records(spark, directory).unionByName(tie_records(spark, directory))):
-        _land(part.coalesce(1), folder)
-    _run(spark, engine, folder, workspace(spark, "checkpoint"))
+    parts, files = _parts(root_records(spark, directory).unionByName(tie_records(spark, directory)))
+    for part in parts:
+        _land(part, folder, 2 * files)  # two records an event
+    _run(spark, engine, folder, 2 * files, workspace(spark, "checkpoint"))
     return engine
 
 
@@ -353,8 +369,8 @@ FROM customer JOIN range(2) slices(s) ON TRUE LEFT JOIN p ON user_id = c_custkey
 
 @query(_SLICED_SQL)
 def stream_fold_state(spark, directory):
-    folder, checkpoint = _landed(spark, directory), workspace(spark, "checkpoint")
-    records = stream_files(spark, folder, files_per_trigger=1)
+    (folder, files), checkpoint = _landed(spark, directory), workspace(spark, "checkpoint")
+    records = stream_files(spark, folder, files_per_trigger=files)
     topics = {"customer": CUSTOMER_TOPIC, "pref": TOPIC}
     logs = {t: decode(records.where(F.col("topic") == topics[t]), SCHEMAS[t])[0] for t in SCHEMAS}
     partitions = str(spark.sparkContext.defaultParallelism)
@@ -389,7 +405,7 @@ def stream_change_apply(spark, directory):
     changes = log.select("offset", "user_id", "k", "event_type", "value", "__op")
     # late parts come first, and each is several files
     for part in reversed(_ranges(changes)):
-        _land(part.repartition(4), folder)
+        part.repartition(4).write.mode("append").parquet(folder)
 
     def feed(batch):
         return batch.select(
@@ -432,7 +448,7 @@ def stream_root_changes(spark, directory):
     changes = log.select("offset", "user_id", "k", "event_type", "value", "__op")
     first, second, *rest = _ranges(changes)
     for part in (second, first, *rest):
-        _land(part.repartition(3), folder)
+        part.repartition(3).write.mode("append").parquet(folder)
 
     def feed(batch):
         operation = F.when(F.col("__op") == "d", "delete").otherwise("update")
@@ -458,15 +474,15 @@ def stream_root_changes(spark, directory):
 def stream_once(spark, directory):
     """A third of the log a batch, with repeats inside the time they are remembered, and long after it."""
     log = raw_records(spark, directory).withColumn("timestamp", F.timestamp_seconds(F.col("offset") + 86400))
-    first, second, third = _ranges(log)
-    end = log.agg(F.max("offset")).first()[0]
+    (first, second, third), files = _parts(log)
+    end = _end(log) - 1
     folder = workspace(spark, "records")
     # the second batch repeats the end of the first; the third also records far behind the watermark
     again = first.where(F.col("offset") > end // 4)
     for part in (first, second.unionByName(again), third.unionByName(again).unionByName(first)):
-        _land(part.coalesce(1), folder)
+        _land(part, folder, files)
     table, checkpoint = workspace(spark, "once"), workspace(spark, "checkpoint")
-    stream = once(stream_files(spark, folder, files_per_trigger=1), f"{int(0.36 * end)} seconds")
+    stream = once(stream_files(spark, folder, files_per_trigger=files), f"{int(0.36 * end)} seconds")
     partitions = str(spark.sparkContext.defaultParallelism)
     with settings(spark, {**ROCKSDB, "spark.sql.shuffle.partitions": partitions}):
         writer = stream.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint)

@@ -3,16 +3,18 @@
 They share one stream of (key, slice, array, pk, position, gone, payload).  Payloads are JSON
 text, so the Python part only compares positions; parsing, typing and ordering happen in Spark.
 
-``changed_elements`` keeps positions alone and emits the elements that changed: a batch costs what
-it changes, however large the documents are.  Positions of removed elements expire.
+``changed_elements`` keeps positions alone and emits the elements that changed: a batch costs the
+groups of elements that it changes, however large the documents are.  Positions of removed elements expire.
 ``fold_stream`` keeps the payloads as well and emits whole documents, for sinks that replace them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+import json
+from collections.abc import Iterable, Iterator, Mapping
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,46 +41,64 @@ _OUTPUT = (
 )
 
 
+# Columns of the frames that Python sees; names with a leading underscore would not reach it.
+_ROW = ("doc", "slice", "array", "pk", "part", "pos", "gone", "payload")
+_ELEMENT_NAMES = ["_key", "segment", *_ROW[2:]]
 _ELEMENT = "_key string, segment int, array string, pk string, part int, pos bigint, gone boolean, payload string"
 #: How long a removed element is remembered: a record older than the removal is ignored for so long.
 REMEMBER_MS = 7 * 24 * 3600 * 1000
+#: Groups whose positions are one value of state each.
+GROUPS = 1 << 12
+ELEMENT_GROUP = ("doc", "slice", "array", "pk")
+
+
+def _newest(frames: Iterator[pd.DataFrame]) -> dict[tuple, tuple]:
+    """The newest row of each element, in the order of ``_ROW``; of equal positions the last."""
+    newest: dict[tuple, tuple] = {}
+    for frame in frames:
+        for row in zip(*(frame[c].tolist() for c in _ROW), strict=True):
+            name = row[:4]
+            if name not in newest or newest[name][4:6] <= row[4:6]:
+                newest[name] = row
+    return newest
+
+
+def _loaded(state) -> list[list]:
+    held = state.get()
+    return [] if held is None else json.loads(held[0])
+
+
+def _store(state, entries: Iterable[list]) -> None:
+    state.update((json.dumps(list(entries), ensure_ascii=False, separators=(",", ":")),))
 
 
 class ElementState(StatefulProcessor):
-    """The position last applied to each element of one document slice; newer changes pass.
+    """The position last applied to each element of a group; newer changes pass.
 
-    Positions of removed elements are in a state of their own, whose values expire.  Roots do not:
-    a document without its root is not shown, so there is nothing to forget.
+    A group is a share of all elements by digest.  Its positions are one state value, so a batch asks
+    the state store twice a group, not several times an element.  Removed elements are forgotten after
+    their time, when their group changes next.  Roots are not: a document without its root is not
+    shown, so there is nothing to forget.
     """
 
     def __init__(self, remember_ms: int):
         self.remember_ms = remember_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        name, position = "array string, pk string", "part int, pos bigint"
-        self._held = handle.getMapState("held", name, position)
-        self._removed = handle.getMapState("removed", name, position, ttlDurationMs=self.remember_ms)
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        newest: dict[tuple, Row] = {}
-        for r in rows:
-            name = r.array, r.pk
-            if name not in newest or (newest[name].part, newest[name].pos) <= (r.part, r.pos):
-                newest[name] = r
-        for name, r in newest.items():
-            at, removed = (r.part, r.pos), r.gone and r.array != _ROOT
-            held, gone = self._held.getValue(name), self._removed.getValue(name)
-            if any(known is not None and tuple(known) > at for known in (held, gone)):
-                continue
-            (self._removed if removed else self._held).updateValue(name, at)
-            if removed and held is not None:
-                self._held.removeKey(name)
-            elif not removed and gone is not None:
-                self._removed.removeKey(name)
-            yield Row(
-                _key=key[0], segment=key[1], array=r.array, pk=r.pk, part=r.part, pos=r.pos, gone=r.gone,
-                payload=r.payload,
-            )
+        self._known = handle.getValueState("known", "elements string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        now, newest = timerValues.getCurrentProcessingTimeInMs(), _newest(rows)
+        known = {tuple(e[:4]): e for e in _loaded(self._known) if e[6] is None or now < e[6] + self.remember_ms}
+        changed = []
+        for name, row in newest.items():
+            at, (array, gone) = known.get(name), (row[2], row[6])
+            if at is None or (at[4], at[5]) <= row[4:6]:
+                known[name] = [*row[:6], now if gone and array != _ROOT else None]
+                changed.append(row)
+        if changed:
+            _store(self._known, known.values())
+            yield pd.DataFrame(changed, columns=_ELEMENT_NAMES)
 
     def close(self) -> None:
         pass
@@ -148,13 +168,13 @@ def fold_stream(
     ``slices`` > 1 keeps every document in that many parts by child key, each its own group,
     so a document that receives a large share of the changes is worked on by several tasks.
     """
-    folded = _changes(spec, logs, slices).transformWithState(
+    folded = _changes(spec, logs, slices).groupBy("_key", "_slice").transformWithState(
         statefulProcessor=DocumentState(), outputStructType=_OUTPUT, outputMode="Update", timeMode="None"
     )
     return _typed(spec, schemas, folded, slices)
 
 
-def _changes(spec: ProfileSpec, logs: Mapping[str, DataFrame], slices: int):
+def _changes(spec: ProfileSpec, logs: Mapping[str, DataFrame], slices: int) -> DataFrame:
     if spec.reparent != "keep_both" or spec.direction != "from":
         raise ValueError("state is per (parent, child): use the incremental build for other policies")
     root = _tagged(logs[spec.root], spec.key, _ROOT, (spec.key,))
@@ -163,18 +183,30 @@ def _changes(spec: ProfileSpec, logs: Mapping[str, DataFrame], slices: int):
     for c in spec.children:
         child = _tagged(logs[c.table], c.fk, c.array, c.pk)
         parts.append(child.withColumn("_slice", slot([F.col("pk")], F.lit(slices))))
-    return reduce(DataFrame.unionByName, parts).groupBy("_key", "_slice")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _grouped(changes: DataFrame, by: tuple[str, ...], groups: int):
+    """Changes by a digest of some columns: what is known of a group is read and written as one."""
+    rows = changes.withColumnsRenamed({"_key": "doc", "_slice": "slice"}).select(*_ROW)
+    return rows.withColumn("group", F.pmod(F.xxhash64(*by), F.lit(groups)).cast("int")).groupBy("group")
 
 
 def changed_elements(
-    spec: ProfileSpec, logs: Mapping[str, DataFrame], *, slices: int = 1, remember_ms: int = REMEMBER_MS
-) -> DataFrame:
+    spec: ProfileSpec, logs: Mapping[str, DataFrame], *, slices: int = 1, remember_ms: int = REMEMBER_MS,
+    groups: int = GROUPS,
+) -> DataFrame:
     """Streams of decoded rows per table to a stream of elements that changed, removals included.
 
     Keep them in a table by ELEMENT_KEY (``elements_table``), newest row first.  Records that are
     delivered again, or out of order within ``remember_ms`` of a removal, change nothing.
+
+    ``groups``: elements are dealt by digest to that many groups, so those of a hot document are worked
+    on by all tasks.  A batch reads and writes the positions of the groups that it changes: more groups
+    make small batches cheaper, fewer make large ones cheaper.  It stays as it is for a checkpoint.
     """
-    return _changes(spec, logs, slices).transformWithState(
+    changes = _grouped(_changes(spec, logs, slices), ELEMENT_GROUP, groups)
+    return changes.transformWithStateInPandas(
         statefulProcessor=ElementState(remember_ms), outputStructType=_ELEMENT, outputMode="Update",
         timeMode="ProcessingTime",
     )

@@ -3,6 +3,7 @@
 import random
 import time
 
+import pandas as pd
 import pytest
 from party_data import ROWS, Log, address, contact, customer, documents, link
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from cdcgold.functions.cdc import table_of
 from cdcgold.operators.decode import decode, schema_of
 from cdcgold.operators.fold import profiles_from_logs
+from cdcgold.plans import streams
 from cdcgold.session import materialise, scratch, settings, workspace
 from cdcgold.sources import party
 from cdcgold.sources.topics import RECORD_SCHEMA, stream_files
@@ -19,7 +21,7 @@ from cdcgold.streaming.feed import ChangeApplier
 from cdcgold.streaming.incremental import IncrementalProfiles
 from cdcgold.streaming.keyed import KeyedTable
 from cdcgold.streaming.progress import batches, timed
-from cdcgold.streaming.stateful import ROCKSDB, _tagged, changed_elements, documents_of, elements_table, fold_stream
+from cdcgold.streaming.stateful import ROCKSDB, ElementState, _tagged, changed_elements, documents_of, elements_table, fold_stream
 
 SMALL = ProfileSpec(
     root="customer",
@@ -307,3 +309,75 @@ def test_batches_are_timed_by_the_query(spark):
     assert ledger.count() == engine.ledger().count()
     assert {(r["batch_id"], r["gold_ms"]) for r in ledger.collect()} == {(b, r["done_ms"]) for b, r in rows.items()}
     assert timed(engine.ledger(), reports.where("batch_id = 0")).where("batch_id = 1").isEmpty()
+
+
+class Asked:
+    """A state value that counts how often it is asked."""
+
+    def __init__(self):
+        self.value, self.calls = None, 0
+
+    def getValueState(self, *_):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+
+class At:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.ms
+
+
+def test_a_group_of_elements_asks_the_state_twice_a_batch():
+    state, known = ElementState(remember_ms=10), Asked()
+    state.init(known)
+    names = ["doc", "slice", "array", "pk", "part", "pos", "gone", "payload"]
+
+    def batch(ms, *rows):
+        frames = [pd.DataFrame([r], columns=names) for r in rows]
+        return [tuple(r) for f in state.handleInputRows((0,), iter(frames), At(ms)) for r in f.itertuples(index=False)]
+
+    first = [("d|é", i % 2, "items", str(i), 0, i, i == 7, "{}") for i in range(300)]
+    assert batch(0, *first) == first and known.calls == 2
+    assert batch(1, *first) == first, "delivered again"
+    older = [(*r[:5], -1, False, "{}") for r in first]
+    assert batch(2, *older) == [] and known.calls == 5
+    # the removal is forgotten after its time, counted from its last delivery
+    assert batch(10, *older) == [] and batch(11, *older) == [older[7]]
+
+
+def test_parts_are_landed_as_files_of_bounded_size_and_one_batch_each(spark, monkeypatch):
+    monkeypatch.setattr(streams, "FILE_ROWS", 50)
+    log = spark.range(1000, numPartitions=20).select(
+        F.lit("t").alias("topic"), F.lit(0).alias("partition"), F.col("id").alias("offset"), F.lit("k").alias("key"),
+        F.lit("v").alias("value"), F.timestamp_seconds("id").alias("timestamp"),
+    )
+    (first, *rest), files = streams._parts(log)
+    assert files == 7
+    folder, seen = workspace(spark, "records"), []
+    for part in (first, *rest):
+        streams._land(part, folder, files)
+    assert spark.read.parquet(folder).groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] < 100
+
+    def keep(batch, batch_id):
+        seen.append(batch.agg(F.min("offset"), F.max("offset"), F.count("offset")).first())
+
+    writer = stream_files(spark, folder, files_per_trigger=files).writeStream.foreachBatch(keep)
+    writer.option("checkpointLocation", workspace(spark, "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert [tuple(r) for r in seen] == [(0, 333, 334), (334, 666, 333), (667, 999, 333)]
+
+
+def test_partitions_of_the_log_make_no_micro_batches(spark):
+    directory = "/root/testdata/sf0.001"
+    with settings(spark, {"spark.sql.files.maxPartitionBytes": "4k", "spark.sql.files.openCostInBytes": "1k"}):
+        folder, files = streams._landed(spark, directory)
+    assert files == 1 and len(spark.read.parquet(folder).inputFiles()) == 4
