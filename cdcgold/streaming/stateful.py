@@ -15,7 +15,7 @@ from collections.abc import Iterable, Iterator, Mapping
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -34,11 +34,11 @@ ROCKSDB = {
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 _ROOT = ""
-_ENTRY = "payload string, part int, pos bigint, gone boolean"
 _OUTPUT = (
     "_key string, segment int, root string, gone boolean,"
     " items array<struct<array: string, payload: string>>"
 )
+_OUTPUT_NAMES = ["_key", "segment", "root", "gone", "items"]
 
 
 # Columns of the frames that Python sees; names with a leading underscore would not reach it.
@@ -50,6 +50,7 @@ REMEMBER_MS = 7 * 24 * 3600 * 1000
 #: Groups whose positions are one value of state each.
 GROUPS = 1 << 12
 ELEMENT_GROUP = ("doc", "slice", "array", "pk")
+DOCUMENT_GROUP = ("doc", "slice")
 
 
 def _newest(frames: Iterator[pd.DataFrame]) -> dict[tuple, tuple]:
@@ -105,33 +106,32 @@ class ElementState(StatefulProcessor):
 
 
 class DocumentState(StatefulProcessor):
-    """Root row and child rows of one document slice, each with the position it came from.
+    """Root row and child rows of each document slice of a group, each with the position it came from.
 
     A row older than the one held is ignored, and a removed row leaves its position behind,
     so records delivered again change nothing.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._entries = handle.getMapState("entries", "array string, pk string", _ENTRY)
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        newest: dict[tuple, tuple] = {}
-        for r in rows:
-            name, entry = (r.array, r.pk), (r.payload, r.part, r.pos, r.gone)
-            if name not in newest or newest[name][1:3] <= entry[1:3]:
-                newest[name] = entry
-        for name, entry in newest.items():
-            held = self._entries.getValue(name)
-            if held is None or (held[1], held[2]) <= entry[1:3]:
-                self._entries.updateValue(name, entry)
-        root, items = None, []
-        for name, held in self._entries.iterator():
-            if name[0] == _ROOT:
-                root = held
-            elif not held[3]:
-                items.append((name[0], held[0]))
-        if root is not None:
-            yield Row(_key=key[0], segment=key[1], root=root[0], gone=root[3], items=items)
+        self._held = handle.getValueState("held", "entries string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        newest = _newest(rows)
+        held = {tuple(e[:4]): e for e in _loaded(self._held)}
+        for name, row in newest.items():
+            if name not in held or tuple(held[name][4:6]) <= row[4:6]:
+                held[name] = list(row)
+        _store(self._held, held.values())
+        roots, items = {}, {name[:2]: [] for name in newest}
+        for doc, part, array, _, _, _, gone, payload in held.values():
+            if (doc, part) not in items:
+                continue
+            if array == _ROOT:
+                roots[doc, part] = payload, gone
+            elif not gone:
+                items[doc, part].append({"array": array, "payload": payload})
+        if roots:
+            yield pd.DataFrame([(*d, *root, items[d]) for d, root in roots.items()], columns=_OUTPUT_NAMES)
 
     def close(self) -> None:
         pass
@@ -162,13 +162,16 @@ def fold_stream(
     schemas: Mapping[str, str | T.StructType],
     *,
     slices: int = 1,
+    groups: int = GROUPS,
 ) -> DataFrame:
     """Streams of decoded rows per table to a stream of changed documents.
 
-    ``slices`` > 1 keeps every document in that many parts by child key, each its own group,
+    ``slices`` > 1 keeps every document in that many parts by child key, each in a group of its own,
     so a document that receives a large share of the changes is worked on by several tasks.
+    ``groups``: document slices are dealt by digest to that many groups, and a batch reads and writes
+    all that is held of the groups that it changes.  It stays as it is for a checkpoint.
     """
-    folded = _changes(spec, logs, slices).groupBy("_key", "_slice").transformWithState(
+    folded = _grouped(_changes(spec, logs, slices), DOCUMENT_GROUP, groups).transformWithStateInPandas(
         statefulProcessor=DocumentState(), outputStructType=_OUTPUT, outputMode="Update", timeMode="None"
     )
     return _typed(spec, schemas, folded, slices)

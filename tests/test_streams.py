@@ -21,7 +21,7 @@ from cdcgold.streaming.feed import ChangeApplier
 from cdcgold.streaming.incremental import IncrementalProfiles
 from cdcgold.streaming.keyed import KeyedTable
 from cdcgold.streaming.progress import batches, timed
-from cdcgold.streaming.stateful import ROCKSDB, ElementState, _tagged, changed_elements, documents_of, elements_table, fold_stream
+from cdcgold.streaming.stateful import ROCKSDB, DocumentState, ElementState, _tagged, changed_elements, documents_of, elements_table, fold_stream
 
 SMALL = ProfileSpec(
     root="customer",
@@ -381,3 +381,24 @@ def test_partitions_of_the_log_make_no_micro_batches(spark):
     with settings(spark, {"spark.sql.files.maxPartitionBytes": "4k", "spark.sql.files.openCostInBytes": "1k"}):
         folder, files = streams._landed(spark, directory)
     assert files == 1 and len(spark.read.parquet(folder).inputFiles()) == 4
+
+
+def test_a_group_of_documents_asks_the_state_twice_a_batch():
+    state, held = DocumentState(), Asked()
+    state.init(held)
+    names = ["doc", "slice", "array", "pk", "part", "pos", "gone", "payload"]
+
+    def batch(*rows):
+        frames = state.handleInputRows((0,), iter([pd.DataFrame(list(rows), columns=names)]), None)
+        return {d: (root, gone, [e["payload"] for e in items]) for f in frames for d, _, root, gone, items in f.itertuples(index=False)}
+
+    def items(doc, pos=1):
+        return [(doc, 0, "items", str(i), 0, pos, False, f"{doc}{i}") for i in range(100)]
+
+    assert batch(*items("a"), *items("b"), ("b", 0, "", "b", 0, 1, False, "root")) == {
+        "b": ("root", False, [r[7] for r in items("b")])
+    }
+    assert held.calls == 2
+    # a document is given when it changes; an older row changes nothing, a removed one goes
+    changed = batch(("a", 0, "", "a", 0, 2, False, "late"), ("a", 0, "items", "0", 0, 0, True, ""), ("a", 0, "items", "1", 0, 2, True, ""))
+    assert changed == {"a": ("late", False, ["a0", *(r[7] for r in items("a")[2:])])} and held.calls == 4
