@@ -9,6 +9,22 @@ from pyspark.sql import DataFrame
 
 from cdcgold.llm.text import SLICE_BYTES, slices
 
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of a batch sent to Python, unless the cluster sets another number.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The rows, for Python to get as batches of few whole texts.
+
+    A task holds a batch outside its heap, rounded up to a power of two and twice while it
+    grows; with Spark's 10,000 rows that is over 100 MB a task, which stays with the process.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_CONF, None) is None:
+        conf.set(_BATCH_CONF, BATCH_ROWS)
+    return df
+
 
 def add_columns(
     df: DataFrame,
@@ -26,7 +42,7 @@ def add_columns(
             yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + list(made.values()), [*keep, *made])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for c in keep for f in [df.schema[c]]]
-    return df.mapInArrow(run, ", ".join([*fields, schema]))
+    return small_batches(df).mapInArrow(run, ", ".join([*fields, schema]))
 
 
 def keep_rows(
@@ -38,4 +54,4 @@ def keep_rows(
         for part in slices(batches, text, limit):
             yield part.filter(passes(part))
 
-    return df.mapInArrow(run, df.schema)
+    return small_batches(df).mapInArrow(run, df.schema)

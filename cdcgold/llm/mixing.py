@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from cdcgold.llm.arrow import add_columns
 from cdcgold.llm.text import LOWER, NOT_SPACE, raw
-from cdcgold.session import materialise, materialise_counted
+from cdcgold.session import materialise, materialise_counted, release
 
 Target = float | Mapping[str, float]
 SOURCE, LANGUAGE, TOPIC = "_source", "_lang", "topic"
@@ -112,21 +112,28 @@ def rake(cells: DataFrame, targets: Mapping[str, Target], sweeps: int = SWEEPS)
     margin is met only as far as that allows.
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    shares = {c: materialise(_shares(cells, c, t), "shares") for c, t in targets.items()}
     state = cells.withColumn("fitted", F.col("tokens").cast("double"))
+    out = state.columns
+    # the shares go along with the cells: a margin then needs one broadcast a sweep, not two
+    shares = {c: f"_share{i}" for i, c in enumerate(targets)}
+    for c, name in shares.items():
+        state = state.join(_shares(cells, c, targets[c]).withColumnRenamed("share", name), c)
+    state = materialise(state, "shares")
     for _ in range(sweeps):
         before = state.columns
         state = state.withColumn("moved", F.lit(0.0))
-        for c, share in shares.items():
-            margin = state.groupBy(c).agg(F.sum("fitted").alias("has")).join(share, c)
-            factor = margin.select(c, (F.col("share") * F.lit(float(total)) / F.col("has")).alias("factor"))
-            state = state.join(factor, c).withColumn("fitted", F.col("fitted") * F.col("factor"))
+        for c, name in shares.items():
+            factor = (F.max(name) * F.lit(float(total)) / F.sum("fitted")).alias("factor")
+            state = state.join(state.groupBy(c).agg(factor), c).withColumn("fitted", F.col("fitted") * F.col("factor"))
             state = state.withColumn("moved", F.greatest("moved", F.abs(F.col("factor") - 1))).drop("factor")
         state = materialise(state, "raked")
         worst = state.agg(F.max("moved")).first()[0]
         state = state.select(*before)
+        # a broadcast table takes a page of each executor's memory until the driver drops it
+        release(cells.sparkSession)
         if worst is None or worst < CLOSE:
             break
+    state = state.select(*out)
     return state.withColumn("factor", F.col("fitted") / F.col("tokens"))
 
 

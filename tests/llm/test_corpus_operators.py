@@ -7,11 +7,13 @@ import time
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from helpers import DOC_SCHEMA
 
 import corpus_pipeline
 from cdcgold.llm import extract, mixing, pseudonyms, sharding, urls, warc
+from cdcgold.llm.arrow import BATCH_ROWS, add_columns
 from cdcgold.llm.pseudonyms import Feistel, Pseudonyms, luhn
 from cdcgold.llm.queries import QUERIES, SQL
 
@@ -27,6 +29,32 @@ def _mixed(spark, n=400):
     return spark.createDataFrame(rows, DOC_SCHEMA)
 
 
+def test_python_gets_small_batches(spark):
+    docs = spark.range(5 * BATCH_ROWS).coalesce(1).selectExpr("id", "'x' AS text")
+    out = add_columns(docs, lambda b: {"n": pa.array([b.num_rows] * b.num_rows)}, "n long", "text", ["id"])
+    found = out.agg({"n": "max", "id": "count"}).first().asDict()
+    assert found == {"max(n)": BATCH_ROWS, "count(id)": 5 * BATCH_ROWS}
+
+
+def test_a_sweep_joins_each_margin_once(spark):
+    cells = mixing.measured(_mixed(spark), [], "text", "source", "lang").groupBy(*mixing.TARGETS).count()
+    joins = []
+    write = mixing.materialise
+
+    def count(df, name):
+        if name == "raked":
+            joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join Inner"))
+        return write(df, name)
+
+    mixing.materialise = count
+    try:
+        mixing.rake(cells.withColumnRenamed("count", "tokens"), mixing.TARGETS, sweeps=1)
+    finally:
+        mixing.materialise = write
+    # each margin is taken of the state after the one before: 1 + 2 + 4 joins
+    assert joins == [7]
+
+
 def test_raked_margins_and_expected_sample(spark):
     docs = _mixed(spark)
     targets = {mixing.SOURCE: {"big": 0.3}, mixing.LANGUAGE: 0.5, mixing.TOPIC: 1.0}
