@@ -61,9 +61,10 @@ def _end(records):
 
 
 def _ranges(records, parts=PARTS, end=None):
-    """The log cut into consecutive offset ranges."""
-    number = F.expr(f"offset * {parts} div {end or _end(records)}")
-    return [records.where(number == i) for i in range(parts)]
+    """The log cut into consecutive offset ranges, by bounds that a scan can skip row groups by."""
+    end = end or _end(records)
+    cuts = [-(-end * i // parts) for i in range(parts + 1)]
+    return [records.where((F.col("offset") >= a) & (F.col("offset") < b)) for a, b in zip(cuts, cuts[1:])]
 
 
 def _parts(records):

@@ -376,6 +376,17 @@ def test_parts_are_landed_as_files_of_bounded_size_and_one_batch_each(spark, mon
     assert [tuple(r) for r in seen] == [(0, 333, 334), (334, 666, 333), (667, 999, 333)]
 
 
+def test_parts_of_the_log_are_read_by_bounds(spark):
+    log = streams.raw_records(spark, "/root/testdata/sf0.001")
+    parts = streams._ranges(log)
+    plan = parts[1]._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(event_id" in plan and "LessThan(event_id" in plan
+    end = log.agg(F.max("offset") + 1).first()[0]
+    for i, part in enumerate(parts):
+        assert part.exceptAll(log.where(F.expr(f"offset * 3 div {end} = {i}"))).isEmpty()
+    assert sum(p.count() for p in parts) == log.count()
+
+
 def test_partitions_of_the_log_make_no_micro_batches(spark):
     directory = "/root/testdata/sf0.001"
     with settings(spark, {"spark.sql.files.maxPartitionBytes": "4k", "spark.sql.files.openCostInBytes": "1k"}):
