@@ -21,7 +21,7 @@ from cdcgold.plans.shop import (
     slot_sql,
     text_of,
 )
-from cdcgold.session import settings, workspace
+from cdcgold.session import materialise, settings, workspace
 from cdcgold.sources.topics import once, stream_files
 from cdcgold.spec import ChildSpec
 from cdcgold.streaming.counted import NewestView, by_edge, by_field
@@ -179,7 +179,7 @@ def stream_seeded(spark, directory):
     engine = IncrementalProfiles(spark, STREAMED, SCHEMAS, workspace(spark, "profiles"), buckets=8)
     log = decode(raw_records(spark, directory), SCHEMAS["pref"])[0]
     half = log.where(F.col("offset") % 2 == 0)
-    seeded = live(latest(half, ["user_id", "k"])).select("user_id", "k", "event_type", "value")
+    seeded = materialise(live(latest(half, ["user_id", "k"])).select("user_id", "k", "event_type", "value"), "seeded")
     for _ in range(2):
         engine.seed({"customer": load(spark, directory, "customer"), "pref": seeded})
     _run(spark, engine, *_landed(spark, directory), workspace(spark, "checkpoint"))

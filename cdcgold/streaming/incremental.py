@@ -168,6 +168,10 @@ class IncrementalProfiles:
 
         Running it again replaces what it wrote, as long as no record has been processed.
         """
+        with scratch(self.spark):
+            self._seed(tables, batch_id)
+
+    def _seed(self, tables: Mapping[str, DataFrame], batch_id: int) -> None:
         rows = {}
         for t in self.tables:
             names = [f.name for f in self._stored(t)]
@@ -177,6 +181,8 @@ class IncrementalProfiles:
             none = {n: F.lit(None).cast(self.bronze[t].schema[n].dataType) for n in names if n not in given.columns}
             rows[t] = given.withColumns(none | {k: v for k, v in first.items() if k in names}).select(*names)
         self._together([partial(self._store, t, r, batch_id) for t, r in rows.items()])
+        # what was stored is read again, so the given tables are computed once
+        rows = {t: self.bronze[t].batch(batch_id).select(*r.columns) for t, r in rows.items()}
         current = {c.table: current_child(self.spec, c, rows[c.table]) for c in self.spec.children}
         current[self.spec.root] = current_root(self.spec, rows[self.spec.root])
         docs = build_profiles(self.spec, current)

@@ -129,6 +129,35 @@ def test_a_small_batch_reads_no_more_files_after_a_long_history(spark):
     assert 0 < read[1] <= read[0] + 16, read
 
 
+def seed_tables(spark):
+    """Tables to seed, and how many of their rows have been computed."""
+    computed = {t: spark.sparkContext.accumulator(0) for t in ("customer", "customer_address", "relationship")}
+
+    def table(name, schema, *rows):
+        def count(row, computed=computed[name]):
+            computed.add(1)
+            return row
+
+        return spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(count), schema)
+
+    tables = {
+        "customer": table("customer", "customer_id string, first_name string", ("p1", "A"), ("p2", "B")),
+        "customer_address": table("customer_address", "address_id string, customer_id string, line1 string", ("a1", "p1", "x")),
+        "relationship": table("relationship", "relationship_id string, party_id_from string", ("r1", "p2"), ("r2", "p1")),
+    }
+    return tables, computed
+
+
+@pytest.mark.parametrize("policy", [{}])
+def test_seeding_computes_the_given_tables_once(spark, policy):
+    tables, computed = seed_tables(spark)
+    engine = IncrementalProfiles(spark, SMALL.with_(**policy), party.SCHEMAS, workspace(spark, "t"), buckets=2)
+    engine.seed(tables)
+    assert {t: n.value for t, n in computed.items()} == {"customer": 2, "customer_address": 1, "relationship": 2}
+    docs = {d.customer_id: ([x.line1 for x in d.addresses], [x.relationship_id for x in d.links]) for d in engine.documents().collect()}
+    assert docs == {"p1": (["x"], ["r2"]), "p2": ([], ["r1"])}
+
+
 def test_failed_batch_is_run_again_by_the_stream(spark):
     log, folder, checkpoint = story(), workspace(spark, "in"), workspace(spark, "cp")
     path = workspace(spark, "t")
