@@ -216,6 +216,8 @@ class IncrementalProfiles:
         ends = [child.fk, child.other_fk] if self._two_ended(child) else [child.fk]
         ends = F.array_distinct(F.array_compact(F.array(*(F.col(e).cast(self._key_type()) for e in ends))))
         changed = newest.dropna(subset=keys).withColumns({ID: F.xxhash64(*keys), ENDS: ends})
+        # asked for its buckets, for its places and for its rows: decoded and ranked once
+        changed = materialise(changed, f"changed-{table}")
         places = self.bronze[table].current(changed.select(ID).distinct(), before=batch_id)
         old = [F.col(c).alias(f"_old{c}") for c in (*LOG_ORDER, ENDS)]
         placed = changed.join(places.select(*keys, *old), keys, "left")

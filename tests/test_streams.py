@@ -148,7 +148,7 @@ def seed_tables(spark):
     return tables, computed
 
 
-@pytest.mark.parametrize("policy", [{}])
+@pytest.mark.parametrize("policy", [{}, {"reparent": "move"}])
 def test_seeding_computes_the_given_tables_once(spark, policy):
     tables, computed = seed_tables(spark)
     engine = IncrementalProfiles(spark, SMALL.with_(**policy), party.SCHEMAS, workspace(spark, "t"), buckets=2)
@@ -158,6 +158,18 @@ def test_seeding_computes_the_given_tables_once(spark, policy):
     assert docs == {"p1": (["x"], ["r2"]), "p2": ([], ["r1"])}
 
 
+def test_a_batch_decodes_the_changes_of_moving_children_once(spark):
+    tables, computed = seed_tables(spark)
+    engine = IncrementalProfiles(spark, SMALL.with_(reparent="move"), party.SCHEMAS, workspace(spark, "t"), buckets=2)
+    first = {"topic": F.lit("t"), "partition": F.lit(0), "offset": F.lit(1).cast("bigint"), "__op": F.lit("c")}
+    names = [f.name for f in engine._stored("relationship")]
+    rows = tables["relationship"].withColumns(first)
+    missing = {n: F.lit(None).cast(engine.bronze["relationship"].schema[n].dataType) for n in names if n not in rows.columns}
+    engine._store("relationship", rows.withColumns(missing).select(*names), 0)
+    assert computed["relationship"].value == 2
+    assert engine.bronze_current("relationship").count() == 2 == engine.ends["relationship"].batch(0).count()
+
+
 def test_failed_batch_is_run_again_by_the_stream(spark):
     log, folder, checkpoint = story(), workspace(spark, "in"), workspace(spark, "cp")
     path = workspace(spark, "t")
